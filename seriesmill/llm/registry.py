@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import mixing, secrets
+from . import bpe, mixing, quality, secrets
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,8 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mixing": _documents(mixing.mix),
     "op2_secret_automaton": _documents(secrets.find),
+    "op4_divergence_rules": _documents(quality.report),
+    "op5_bpe_transducer": _documents(bpe.encode_documents),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_divergence_rules": quality.SQL}
