@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, mixing, quality, secrets
+from . import bpe, mixing, quality, secrets, tokenfile
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_automaton": _documents(secrets.find),
     "op4_divergence_rules": _documents(quality.report),
     "op5_bpe_transducer": _documents(bpe.encode_documents),
+    "op10_token_files": _documents(tokenfile.round_trip),
 }
 
 ORACLE: dict[str, str] = {"op4_divergence_rules": quality.SQL}
