@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, mixing, quality, secrets, tokenfile
+from . import bpe, jaccard, mixing, ppm, quality, secrets, tokenfile
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_automaton": _documents(secrets.find),
     "op4_divergence_rules": _documents(quality.report),
     "op5_bpe_transducer": _documents(bpe.encode_documents),
+    "op6_jaccard_join": _documents(jaccard.link),
+    "op7_ppm_scoring": _documents(ppm.score),
     "op10_token_files": _documents(tokenfile.round_trip),
 }
 
-ORACLE: dict[str, str] = {"op4_divergence_rules": quality.SQL}
+ORACLE: dict[str, str] = {"op6_jaccard_join": jaccard.SQL, "op4_divergence_rules": quality.SQL}
