@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, jaccard, mixing, ppm, quality, secrets, tokenfile
+from . import bpe, classifier, jaccard, mixing, personal, ppm, quality, secrets, tokenfile
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_transducer": _documents(bpe.encode_documents),
     "op6_jaccard_join": _documents(jaccard.link),
     "op7_ppm_scoring": _documents(ppm.score),
+    "op8_quality_classifier": lambda spark, sf_dir: classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op9_personal_data": _documents(personal.find),
     "op10_token_files": _documents(tokenfile.round_trip),
 }
 
