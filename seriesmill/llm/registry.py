@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, classifier, jaccard, mixing, personal, ppm, quality, secrets, tokenfile
+from . import bpe, classifier, jaccard, jpeg, mixing, personal, ppm, quality, secrets, tokenfile
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,7 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mixing": _documents(mixing.mix),
     "op2_secret_automaton": _documents(secrets.find),
+    "op3_progressive_jpeg": _documents(jpeg.store),
     "op4_divergence_rules": _documents(quality.report),
     "op5_bpe_transducer": _documents(bpe.encode_documents),
     "op6_jaccard_join": _documents(jaccard.link),
