@@ -135,7 +135,9 @@ def report(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``judge`` rejects: all columns as they are, and no shuffle of texts."""
     whole = docs.select("doc_id", "text", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
-    return judge(whole, ("row_",)).filter("kept").select("row_.*")
+    # a filter on the verdict would be pushed below the steps that make it, and repeat each of them in its condition
+    told = judge(whole, ("row_",)).select(F.explode_outer(F.when(F.col("kept"), F.array("row_"))).alias("row_"))
+    return told.filter("row_ is not null").select("row_.*")
 
 
 SQL = r"""
