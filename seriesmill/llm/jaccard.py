@@ -34,7 +34,8 @@ from .components import components
 
 SHINGLE = 4
 PERCENT = 85
-GROUPS = 64
+GROUPS = 128
+FULL = 65535
 #: Most documents in one chunk of a bucket's cell; most frequent shingles whose counts steer the order.
 CELL = 4096
 FREQUENT, FREQUENT_FROM = 100_000, 4
@@ -65,9 +66,16 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
+    """Batches of fewer rows, to hold fewer sets at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of documents (kind 0: doc_id, n, fingerprint) and of shingles frequent in this batch (kind 1: hash, count)."""
-    for batch in batches:
+    for batch in _slices(batches):
         found = [shingles(t) for t in batch["text"]]
         marks = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in found]
         yield pd.DataFrame({"kind": 0, "id": batch["doc_id"].array, "n": [len(s) for s in found], "f1": [m[0] for m in marks], "f2": [m[1] for m in marks]})
@@ -82,10 +90,10 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _points(frequent: np.ndarray, place: np.ndarray):
-    """Rows (doc_id, n, vec, prefix): group counts as bytes of unsigned 32-bit, prefix in the common order."""
+    """Rows (doc_id, n, vec, prefix): group counts as bytes of unsigned 16-bit, prefix in the common order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingles(text)
@@ -98,21 +106,28 @@ def _points(frequent: np.ndarray, place: np.ndarray):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     often = frequent[at] == s
                     first = np.concatenate([s[~often], s[often][np.argsort(place[at[often]], kind="stable")]])
-                counts = np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS)
-                rows.append((doc_id, len(s), counts.astype("<u4").tobytes(), _signed(first[:p].copy())))
+                counts = np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS), FULL)
+                rows.append((doc_id, len(s), counts.astype("<u2").tobytes(), _signed(first[:p].copy())))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "vec", "prefix"])
 
     return run
 
 
+def overlap_bound(na, nb, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sum of coordinate minima; where a count may have been cut off at FULL on both sides, the smaller size."""
+    least = np.minimum(na, nb)
+    return np.where(least > FULL, least, np.minimum(v, w).sum(axis=1, dtype=np.int64))
+
+
 def may_link(na, nb, overlap, percent: int = PERCENT):
     """100 * overlap >= percent * union, for counts or arrays of counts."""
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
-def tree_pairs(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarray | None = None, percent: int = PERCENT):
+def tree_pairs(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, prev: np.ndarray, side: np.ndarray | None = None, percent: int = PERCENT):
     """Pairs (i, j), i < j, of different components whose bound allows a link. Points must be in order of n. ``side``:
-    only pairs with different sides. The tree's leaves hold LEAF consecutive points; a leaf is left out if its sizes are
+    only pairs with different sides. Pairs whose prefixes agree one element earlier too (``prev``) are met in that
+    element's bucket. The tree's leaves hold LEAF consecutive points; a leaf is left out if its sizes are
     too small, if it has no other component, or if the sum of minima with its maxima is too small."""
     m = len(n)
     starts = np.arange(0, m, LEAF)
@@ -126,17 +141,17 @@ def tree_pairs(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, side: np.ndarra
         leaves = leaves[(one[leaves] != comp[j]) | (other[leaves] != comp[j])]
         if not len(leaves):
             continue
-        bound = np.minimum(top[leaves], vec[j]).sum(axis=1, dtype=np.int64)
+        bound = overlap_bound(largest[leaves], n[j], top[leaves], vec[j])
         # a smaller partner needs the least overlap
         leaves = leaves[may_link(n[j], smallest[leaves], bound, percent)]
         if not len(leaves):
             continue
         points = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
         points = points[points < j]
-        points = points[comp[points] != comp[j]]
+        points = points[(comp[points] != comp[j]) & ((prev[points] != prev[j]) | (prev[j] == 0))]
         if side is not None:
             points = points[side[points] != side[j]]
-        points = points[may_link(n[j], n[points], np.minimum(vec[points], vec[j]).sum(axis=1, dtype=np.int64), percent)]
+        points = points[may_link(n[j], n[points], overlap_bound(n[points], n[j], vec[points], vec[j]), percent)]
         left.append(points)
         right.append(np.full(len(points), j))
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
@@ -148,8 +163,8 @@ def _bucket_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: pd.DataFrame | None = None
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, n, comp, side = (rows[c].to_numpy() for c in ("rep", "n", "comp", "side"))
-        vec = np.frombuffer(b"".join(rows["vec"]), "<u4").reshape(len(rows), GROUPS)
+        ids, n, comp, side, prev = (rows[c].to_numpy() for c in ("rep", "n", "comp", "side", "prev"))
+        vec = np.frombuffer(b"".join(rows["vec"]), "<u2").reshape(len(rows), GROUPS)
         key = rows["key"].to_numpy()
         cut = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(rows)]])
         size = np.diff(cut)
@@ -157,12 +172,12 @@ def _bucket_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs = []
         many = size > 4 * LEAF
         for a, b in zip(cut[:-1][many], cut[1:][many], strict=True):
-            i, j = tree_pairs(n[a:b], vec[a:b], comp[a:b], side[a:b] if mixed[a] else None)
+            i, j = tree_pairs(n[a:b], vec[a:b], comp[a:b], prev[a:b], side[a:b] if mixed[a] else None)
             pairs.append((i + a, j + a))
         run = np.repeat(np.arange(len(size)), size)
         few = ~np.repeat(many, size)
         for k in range(1, 4 * LEAF):
-            i = np.nonzero(few[:-k] & (run[k:] == run[:-k]) & (comp[k:] != comp[:-k]))[0] if k < len(rows) else np.zeros(0, int)
+            i = np.nonzero(few[:-k] & (run[k:] == run[:-k]) & (comp[k:] != comp[:-k]) & ((prev[k:] != prev[:-k]) | (prev[k:] == 0)))[0] if k < len(rows) else np.zeros(0, int)
             if not len(i):
                 if k >= len(rows) or not (run[k:] == run[:-k]).any():
                     break
@@ -170,7 +185,7 @@ def _bucket_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             i = i[may_link(n[i], n[i + k], n[i])]
             for at in range(0, len(i), 20_000):
                 part = i[at : at + 20_000]
-                part = part[may_link(n[part], n[part + k], np.minimum(vec[part], vec[part + k]).sum(axis=1, dtype=np.int64))]
+                part = part[may_link(n[part], n[part + k], overlap_bound(n[part], n[part + k], vec[part], vec[part + k]))]
                 pairs.append((part, part + k))
         i = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, int)
         j = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, int)
@@ -189,7 +204,7 @@ def _bucket_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in _slices(batches):
         cache: dict[int, np.ndarray] = {}
         good = []
         for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
@@ -232,7 +247,8 @@ def link(docs: DataFrame) -> DataFrame:
     points = settle(made.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "points")
 
     # one leader for each document: of its buckets' least documents, the one that shares most of its prefix
-    rows = points.select("rep", "n", F.explode("prefix").alias("token"))
+    each = F.transform("prefix", lambda x, i: F.struct(x.alias("token"), F.get("prefix", i - 1).alias("prev")))
+    rows = points.select("rep", "n", F.explode(each).alias("e")).select("rep", "n", "e.token", "e.prev")
     shared = rows.groupBy("token").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     # buckets of several documents only: what comes after works on these
     rows = settle(rows.join(shared, "token"), "buckets")
@@ -245,7 +261,7 @@ def link(docs: DataFrame) -> DataFrame:
 
     # across those components, all pairs that the tree can't rule out
     of = F.coalesce("component", "rep")
-    told = rows.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("token", "rep", "n", of.alias("comp"))
+    told = rows.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("token", "rep", "n", "prev", of.alias("comp"))
     mixed = told.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2")
     cells = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
     own = F.pmod(F.xxhash64("rep"), cells).cast("int")
@@ -254,7 +270,7 @@ def link(docs: DataFrame) -> DataFrame:
     low, high = F.least("own", "other"), F.greatest("own", "other")
     # odd cells hold two chunks: pairs within one of them are met in that chunk's own cell
     cell = 2 * (low * 65536 + high) + (low != high).cast("int")
-    dealt = dealt.select("token", cell.cast("long").alias("cell"), "rep", "n", "comp", F.col("own").alias("side")).join(flat.select("rep", "vec"), "rep")
+    dealt = dealt.select("token", cell.cast("long").alias("cell"), "rep", "n", "comp", F.coalesce("prev", F.lit(0)).alias("prev"), F.col("own").alias("side")).join(flat.select("rep", "vec"), "rep")
     dealt = dealt.repartition("token", "cell").sortWithinPartitions("token", "cell", "n", "rep")
     pairs = dealt.mapInPandas(_bucket_pairs, "a long, b long").distinct()
     more = verified(pairs, docs)
@@ -268,8 +284,9 @@ def link(docs: DataFrame) -> DataFrame:
 def _bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
-            v, w = (np.frombuffer(b"".join(batch[c]), "<u4").reshape(len(batch), GROUPS) for c in ("vec", "vec2"))
-            good = may_link(batch["n"].to_numpy(), batch["n2"].to_numpy(), np.minimum(v, w).sum(axis=1, dtype=np.int64))
+            v, w = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(len(batch), GROUPS) for c in ("vec", "vec2"))
+            n, n2 = batch["n"].to_numpy(), batch["n2"].to_numpy()
+            good = may_link(n, n2, overlap_bound(n, n2, v, w))
             a, b = batch["rep"].to_numpy()[good], batch["leader"].to_numpy()[good]
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
