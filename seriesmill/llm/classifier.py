@@ -97,7 +97,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """BUCKETS x WIDTH, unit length. What comes to the driver is of this one size."""
     parts = texts(docs).mapInPandas(_accumulate, "bucket int, vec array<float>")
     sums = parts.groupBy("bucket").agg(*[F.sum(F.get("vec", F.lit(k)).cast("double")).alias(f"v{k}") for k in range(WIDTH)])
-    rows = settle(sums, "word-vectors").toPandas()
+    rows = settle(sums, "word-vectors").toArrow().to_pandas()
     out = np.zeros((BUCKETS, WIDTH), np.float32)
     out[rows["bucket"]] = rows.drop(columns="bucket").to_numpy()
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
@@ -197,7 +197,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, cut: float = CUT)
             yield pd.DataFrame({"h": batch["h"], "quality": batch["quality"], "x": pd.Series(list(pooled(batch["text"], vectors.value, memory)), dtype=object)})
 
     rows = texts(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("text", "h", F.col("quality").cast("int").alias("quality"))
-    got = rows.mapInPandas(features, "h long, quality int, x array<double>").toPandas()
+    got = rows.mapInPandas(features, "h long, quality int, x array<double>").toArrow().to_pandas()
     got["key"] = [np.asarray(x).tobytes() for x in got["x"]]
     got = got.sort_values(["h", "key"])
     net = train(np.vstack(got["x"]) if len(got) else np.zeros((0, 1)), got["quality"].to_numpy(float))

@@ -238,7 +238,7 @@ def link(docs: DataFrame) -> DataFrame:
     known = all_docs.filter("doc_id is not null and n > 0")
     classes = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     members = settle(known.join(classes, ["f1", "f2"]).select("doc_id", "n", "rep"), "members")
-    often = first.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).toPandas()
+    often = first.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).toArrow().to_pandas()
     frequent = often["id"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(frequent)
     place = -np.arange(len(frequent))[order]  # the most frequent one is last of all
