@@ -85,9 +85,12 @@ _AT = r"(?:\x20?[\[({<]\x20?(?:at|@|arroba|arobase)\x20?[\])}>]\x20?)"
 _DOT = r"(?:\x20?[\[({<]\x20?(?:dot|\.|punto|punkt|point)\x20?[\])}>]\x20?|\x20(?:dot|punto|punkt)\x20)"
 _LABEL = "[A-Za-z0-9-]+"
 _NAME = rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*"
-# a bare "at" counts only before a domain whose dots are spelled as well; a bracketed one before any domain
+#: Ends of a domain that bare words may spell: fixed values.
+_ENDS = "(?:com|org|net|edu|gov|info|biz|io|co|dev|app|ai|eu|uk|us|de|fr|es|it|nl|ch|at|se|no|fi|pl|ru|cn|jp|in|br|au|ca|test|example)(?![A-Za-z0-9-])"
+# a bare "at" counts only before a domain whose dots are spelled as well and that ends as domains do; a bracketed one
+# before any domain
 _DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9_%+.-])(?:{_NAME}{_AT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+|{_NAME}(?:@|\x20(?:at|arroba|arobase)\x20){_LABEL}(?:\.{_LABEL})*{_DOT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*)", re.IGNORECASE
+    rf"(?<![A-Za-z0-9_%+.-])(?:{_NAME}{_AT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+|{_NAME}(?:@|\x20(?:at|arroba|arobase)\x20){_LABEL}(?:(?:\.|{_DOT}){_LABEL})*{_DOT}{_ENDS}(?:(?:\.|{_DOT}){_ENDS})*)", re.IGNORECASE
 )
 _PART = re.compile(rf"({_AT}|\x20(?:at|arroba|arobase)\x20)|({_DOT})", re.IGNORECASE)
 _WORD = re.compile("[A-Za-z]+")
