@@ -25,7 +25,7 @@ class PieceMemory:
     """encode(texts): the ids of each text as little-endian unsigned 32-bit integers. ``encode_pieces`` gets pieces not
     met before. At most ``most`` parts and pieces stay in memory; beyond that the memory starts afresh."""
 
-    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], Iterable[bytes]], most: int = 400_000):
+    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], Iterable[bytes]], most: int = 600_000):
         self.cut = regex.compile(exact(pattern)).findall
         self.encode_pieces, self.most = encode_pieces, most
         self.pieces: dict[str, bytes] = {}
@@ -51,7 +51,8 @@ class PieceMemory:
         first, *rest = text.split(" ")
         parts = self.parts
         if fresh := set(rest).difference(parts):
-            cuts = {x: self.cut(" " + x) for x in fresh}
+            # letters alone, and letters before one of these marks, need no expression to cut them
+            cuts = {x: (" " + x,) if x.isalpha() else (" " + x[:-1], x[-1]) if x[-1] in ".,;:!?" and x[:-1].isalpha() else self.cut(" " + x) for x in fresh}
             self._learn({p for c in cuts.values() for p in c})
             get = self.pieces.__getitem__
             parts.update((x, b"".join(map(get, c))) for x, c in cuts.items())

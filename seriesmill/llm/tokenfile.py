@@ -18,7 +18,6 @@ an empty table writes no file; other columns are ignored.
 from __future__ import annotations
 
 import gc
-import os
 import uuid
 import zlib
 from array import array
@@ -46,7 +45,7 @@ FILE_IDS = 4_000_000
 def pack(ids: np.ndarray) -> tuple[np.ndarray, ...]:
     """ids -> least, width, payload start and exception start of each block, payload, exception positions and high parts."""
     n = -(-len(ids) // BLOCK)
-    padded = np.full(n * BLOCK, 0, np.int64)
+    padded = np.zeros(n * BLOCK, np.int64 if len(ids) and ids.max() >> 31 else np.int32)
     padded[: len(ids)] = ids
     if len(ids) % BLOCK:
         padded[len(ids) :] = ids[-1]
@@ -60,10 +59,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.searchsorted(where, np.arange(n))
     payload_at = np.concatenate([[0], np.cumsum(width * (BLOCK // 8))])
     payload = np.zeros(payload_at[-1], np.uint8)
-    low = (diffs & ((1 << width) - 1)[:, None]).astype("<u4")
+    wide = 32 if n and width.max() > 16 else 16
+    low = (diffs & ((1 << width) - 1)[:, None]).astype(f"<u{wide // 8}")
     for w in np.unique(width[width > 0]):
         chosen = np.nonzero(width == w)[0]
-        bits = np.unpackbits(low[chosen].view(np.uint8).reshape(len(chosen), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
+        bits = np.unpackbits(low[chosen].view(np.uint8).reshape(len(chosen), BLOCK, wide // 8), axis=2, bitorder="little")[:, :, :w]
         packed = np.packbits(bits.reshape(len(chosen), -1), axis=1, bitorder="little")
         payload[payload_at[chosen][:, None] + np.arange(packed.shape[1])] = packed
     return least.astype("<u4"), width.astype(np.uint8), payload_at[:-1].astype("<u8"), first.astype("<u4"), payload, position.astype(np.uint8), high[where, position].astype("<u4")
@@ -76,9 +76,9 @@ def unpack(n_ids: int, least, width, payload_at, first, payload, position, high)
         chosen = np.nonzero(width == w)[0]
         packed = payload[payload_at[chosen].astype(np.int64)[:, None] + np.arange(w * BLOCK // 8)]
         bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(chosen), BLOCK, w)
-        wide = np.zeros((len(chosen), BLOCK, 32), np.uint8)
-        wide[:, :, :w] = bits
-        diffs[chosen] = np.packbits(wide, axis=2, bitorder="little").view("<u4")[:, :, 0]
+        full = np.zeros((len(chosen), BLOCK, 16 if w <= 16 else 32), np.uint8)
+        full[:, :, :w] = bits
+        diffs[chosen] = np.packbits(full, axis=2, bitorder="little").view("<u2" if w <= 16 else "<u4")[:, :, 0]
     where = np.repeat(np.arange(n), np.diff(np.append(first, len(position)).astype(np.int64)))
     diffs[where, position] |= high << width[where]
     return (diffs + least[:, None]).reshape(-1)[:n_ids]
@@ -105,20 +105,22 @@ def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def encoder(path: str | None = None) -> PieceMemory:
-    """The tokenizers library on each distinct piece of the texts; pieces met before come from memory, which serves all
-    tasks of a Python worker. Pieces are cut already, so the library's own cutting is off."""
+    """The tokenizers library's model on each distinct piece of the texts; pieces met before come from memory, which serves
+    all tasks of a Python worker. Pieces are cut already, and the library's byte alphabet is applied here, so that only
+    its model runs."""
     import public_tokenizers
     from tokenizers import Tokenizer
-    from tokenizers.pre_tokenizers import ByteLevel
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     gc.set_threshold(200_000, 20, 100)  # the memory is large and long-lived
-    own = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-    own.encode_special_tokens = True  # their strings in a text are ordinary text
-    own.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+    model = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY)).model
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    letters = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    tokenize = model.tokenize
 
     def pieces(fresh: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in own.encode_batch_fast(fresh, add_special_tokens=False)]
+        spelled = (p.encode("utf-8").decode("latin-1").translate(letters) for p in fresh)
+        return [array("I", [t.id for t in tokenize(p)]).tobytes() for p in spelled]
 
     return PieceMemory(public_tokenizers.PATTERN, pieces)
 
