@@ -94,3 +94,12 @@ def test_empty_tables(obs):
     empty = obs.filter("false")
     for f in (series.latest, series.previous, series.trajectory_features, series.cusum, series.monitor, series.inflection, series.lag_features):
         assert f(empty).count() == 0
+
+
+def test_terms_map_to_the_nearest_alias_or_stay_unknown(spark):
+    from seriesmill.operators import extraction
+
+    vocabulary = spark.createDataFrame([("hemoglobin", "Hb"), ("creatinine", "Cr"), ("platelets", "Plt")], "alias string, label string")
+    raw = spark.createDataFrame([(1, "HEMOGLOBIN"), (2, "hemoglobine"), (3, "creatinin"), (4, "zzz")], "id int, name string")
+    got = {r["id"]: r["label"] for r in extraction.normalise_terms(raw, vocabulary).collect()}
+    assert got == {1: "Hb", 2: "Hb", 3: "Cr", 4: "unknown"}
