@@ -34,7 +34,7 @@ _add("x3_lab_lines", lambda t: ex.lab_lines(_reports(t), "o_orderkey", "text").g
 _add("x2_lab_values", lambda t: ex.lab_values(_reports(t), "o_orderkey", "text", {"sodium": r"(?:Na|Sodium)[ |:]+(\d+)()", "potassium": r"K[ |:]+(\d+)()"}), f"with {_R} select o_orderkey, 'sodium' as test, na::double as value, null as unit from r")
 _add("x4_dates", lambda t: ex.dates(_reports(t), "o_orderkey", "text").select("o_orderkey", "line_no", F.col("date").cast("string").alias("date"), "kind"), f"with {_R} select o_orderkey, 0 as line_no, d::varchar as date, 'report' as kind from r union all select o_orderkey, 1, d::varchar, 'collection' from r")
 _add("x5_document_date", lambda t: ex.document_date(ex.dates(_reports(t), "o_orderkey", "text"), "o_orderkey").select("o_orderkey", F.col("date").cast("string").alias("date"), "kind"), f"with {_R} select o_orderkey, d::varchar as date, 'collection' as kind from r")
-_add("x6_medicine_lines", lambda t: ex.medicine_lines(_reports(t), "o_orderkey", "text"), "select o_orderkey, 6 as line_no, 'Tablet 5 mg' as line, 'once daily' as instruction from orders")
+_add("x6_medicine_lines", lambda t: ex.medicine_lines(_reports(t), "o_orderkey", "text"), "select o_orderkey, 5 as line_no, 'Tablet 5 mg' as line, 'once daily' as instruction from orders")
 _add("x11_noisy_variants", lambda t: ex.noisy_variants(t("part").select("p_brand").distinct(), "p_brand").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")), "select p_brand, count(distinct v) as n from (select p_brand, unnest([p_brand, upper(p_brand), lower(p_brand), p_brand || '.', '- ' || p_brand, p_brand || ' (serum)']) as v from (select distinct p_brand from part)) group by 1")
 
 
