@@ -204,9 +204,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Whole texts to ids and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(Merges(ranks))
-        self.memory = PieceMemory(pattern, self._encode)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, states: int, pieces: int):
+        self.transducer = Transducer(Merges(ranks), states)
+        self.memory = PieceMemory(pattern, self._encode, pieces)
         self.spelled = {i: t for t, i in ranks.items()}
 
     def _encode(self, pieces: list[str]) -> Iterable[bytes]:
@@ -226,20 +226,21 @@ class Codec:
 
 
 @lru_cache(maxsize=1)
-def codec(path: str | None = None) -> Codec:
+def codec(path: str | None = None, states: int = 150_000, pieces: int = 400_000) -> Codec:
     """One per Python worker, made where it is used, from a vocabulary file that every machine has; what it has learnt
     serves the worker's later tasks."""
     gc.set_threshold(200_000, 20, 100)  # its states are many and long-lived
     import public_tokenizers
 
-    return Codec(load_ranks(path or public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
+    return Codec(load_ranks(path or public_tokenizers.path(RANKS)), public_tokenizers.PATTERN, states, pieces)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids (array of int)."""
+def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False, states: int = 150_000, pieces: int = 400_000) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids (array of int). ``states`` and
+    ``pieces`` bound what a Python worker remembers."""
 
     def make():
-        own = codec(path)
+        own = codec(path, states, pieces)
 
         def one(text: str) -> tuple:
             ids = own.encode(text)

@@ -46,10 +46,12 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[str], tuple]], colum
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = make()
-        for batch in batches:
-            out = pd.DataFrame([one(t) for t in batch["text"]], columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            yield out
+        for whole in batches:
+            for at in range(0, len(whole), 1000):  # few results at a time
+                batch = whole.iloc[at : at + 1000]
+                out = pd.DataFrame([one(t) for t in batch["text"]], columns=names)
+                out.insert(0, "doc_id", batch["doc_id"].array)
+                yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return texts(docs).mapInPandas(run, f"doc_id {kind}, {columns}")
@@ -57,7 +59,3 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[str], tuple]], colum
 
 def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
-
-
-def part_sizes(df: DataFrame, target: int, rows: int) -> int:
-    return max(1, -(-rows // target))
