@@ -1,9 +1,13 @@
 """Language-model scoring: prediction by partial matching over bytes, beside a smoothed word unigram.
 
-Byte grams of the training documents are counted in Spark; shorter contexts' counts are sums of longer ones'. From the
-counts a static trie is compiled: escape by method C (distinct symbols against occurrences) and full exclusion of the
-symbols that a longer context has. As the symbols of a context contain those of each longer one, what exclusion leaves
-of the next shorter context is one pair of numbers for each context, so each byte costs one lookup per order.
+Byte grams of the training documents are counted in Spark; shorter contexts' counts are sums of longer ones'. They are a
+static trie, each depth of it a table of all its grams and one of all its contexts: escape by method C (distinct symbols
+against occurrences) and full exclusion of the symbols that a longer context has. As the symbols of a context contain those
+of each longer one, what exclusion leaves of the next shorter context is one pair of numbers for each context.
+
+What a gram of the longest order scores depends on it alone. The most frequent ones (a bounded number) are broadcast with
+their scores; every other gram of every text, seen in training or not, meets the trie's tables in joins, order by order.
+How many are broadcast changes no result.
 
 The unigram's counts stay a distributed table: the most frequent tokens (a bounded number) are broadcast, every other
 token of every text meets its count in a join.
@@ -18,7 +22,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -29,8 +33,8 @@ from .common import fold_of, settle, texts
 
 ORDER = 4
 START, STOP = b"\xfe" * ORDER, b"\xff"  # neither byte occurs in UTF-8
-#: Trie nodes of one order that a model may hold; rarer grams than that fall back to shorter contexts.
-MOST_NODES = 1_000_000
+#: Grams in the broadcast part of the trie.
+MOST_GRAMS = 1_000_000
 #: Tokens in the broadcast part of the word counts.
 MOST_WORDS = 150_000
 ALPHA = 0.1
@@ -141,101 +145,95 @@ class Table:
         return out
 
 
-class Order:
-    """One context length: its grams with counts, and its contexts with totals and distinct symbols."""
-
-    def __init__(self, k: int, keys: np.ndarray, counts: np.ndarray):
-        by = np.argsort(keys, kind="stable")
-        self.keys, self.counts = keys[by], counts[by].astype(np.float64)
-        self.contexts, first, self.of = np.unique(self.keys >> 8, return_index=True, return_inverse=True)
-        self.total = np.add.reduceat(self.counts, first) if len(first) else np.zeros(0)
-        self.distinct = np.diff(np.append(first, len(self.keys))).astype(np.float64)
-        self.first, self.k = first, k
-        self.grams, self.places = Table(self.keys), Table(self.contexts)
-        self.log_count = np.log10(self.counts)
-
-    def exclude(self, lower: Order) -> None:
-        """What is left of the next shorter context when each of this order's contexts rules its own symbols out."""
-        below = lower.grams.find(self.keys & ((1 << (8 * self.k)) - 1))
-        seen = np.add.reduceat(np.where(below >= 0, lower.counts[below], 0.0), self.first) if len(self.first) else np.zeros(0)
-        at = lower.places.find(self.contexts & ((1 << (8 * (self.k - 1))) - 1))
-        self.left_total = np.maximum(lower.total[at] - seen, 0.0)
-        self.left_distinct = np.maximum(lower.distinct[at] - self.distinct, 0.0)
-
-
-class Model:
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
-        """tables[k]: grams of k + 1 bytes and their counts, for k from 0 up."""
-        self.orders = [Order(k, keys, counts) for k, (keys, counts) in enumerate(tables)]
-        for upper, lower in zip(self.orders[1:], self.orders, strict=False):
-            upper.exclude(lower)
-
-    def log10(self, gram: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's last byte after its others."""
-        out = np.zeros(len(gram))
-        todo = np.arange(len(gram))
-        total = distinct = None  # what exclusion leaves, where a longer context was known; NaN elsewhere
-        for order in reversed(self.orders):
-            if not len(todo):
-                break
-            key = gram[todo] & ((1 << (8 * (order.k + 1))) - 1)
-            hit = order.grams.find(key)
-            # a gram's context is known with it; other contexts are looked up
-            ctx = np.where(hit >= 0, order.of[hit] if len(order.of) else -1, -1)
-            miss = np.nonzero(hit < 0)[0]
-            ctx[miss] = order.places.find(key[miss] >> 8)
-            own_total = np.where(ctx >= 0, order.total[ctx] if len(order.total) else 0.0, 0.0)
-            own_distinct = np.where(ctx >= 0, order.distinct[ctx] if len(order.total) else 0.0, 0.0)
-            if total is not None:
-                own_total = np.where(np.isnan(total), own_total, total)
-                own_distinct = np.where(np.isnan(total), own_distinct, distinct)
-            size = own_total + own_distinct
-            known = hit >= 0
-            out[todo[known]] += order.log_count[hit[known]] - np.log10(size[known])
-            open_ = ~known
-            escape = open_ & (own_distinct > 0)
-            out[todo[escape]] += np.log10(own_distinct[escape] / size[escape])
-            ctx = ctx[open_]
-            if order.k:
-                total = np.where(ctx >= 0, order.left_total[ctx] if len(order.total) else 0.0, np.nan)
-                distinct = np.where(ctx >= 0, order.left_distinct[ctx] if len(order.total) else 0.0, np.nan)
-            todo = todo[open_]
-        if len(todo):
-            out[todo] -= math.log10(max(256 - len(self.orders[0].keys), 1))
-        return out
-
-    def score(self, many: list[bytes]) -> np.ndarray:
-        gram, inside, starts = _laid_out(many)
-        return np.add.reduceat(np.where(inside, self.log10(gram), 0.0), starts)
-
-
 class Shared:
-    """What is broadcast: counts alone. Each Python worker compiles its model from them when it first scores."""
+    """What is broadcast. Each Python worker indexes the grams when it first scores."""
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], words: dict[str, float]):
-        self.tables, self.words = tables, words
+    def __init__(self, grams: np.ndarray, logs: np.ndarray, words: dict[str, float]):
+        self.grams, self.logs, self.words = grams, logs, words
 
     @cached_property
-    def model(self) -> Model:
-        return Model(self.tables)
-
+    def places(self) -> Table:
+        return Table(self.grams)
 
-def fit(grams: DataFrame, most: int = MOST_NODES, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
-    """grams (gram, n) of the longest order -> a model's tables, with at most ``most`` nodes in an order: the rarest are
-    left out, by a threshold on their count that holds for the order."""
-    tables = []
+    def score(self, many: list[bytes], order: int) -> Iterator[tuple[float, np.ndarray | None, np.ndarray | None]]:
+        """For each text, the log10 probability of its grams that are known here, the other grams and how often they occur."""
+        gram, inside, starts = _laid_out(many)
+        gram &= (1 << 8 * (order + 1)) - 1
+        hit = self.places.find(gram)
+        known = np.zeros(len(gram))
+        at = np.nonzero(inside & (hit >= 0))[0]
+        known[at] = self.logs[hit[at]]
+        rest = np.nonzero(inside & (hit < 0))[0]
+        cuts = np.searchsorted(rest, starts)
+        for total, a, b in zip(np.add.reduceat(known, starts), cuts, [*cuts[1:], len(rest)], strict=True):
+            yield (total, *(np.unique(gram[rest[a:b]], return_counts=True) if a < b else (None, None)))
+
+
+def trie(grams: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
+    """grams (gram, n) of the longest order -> for each context length from 0 up, all its grams (key, n) and all its contexts
+    (context, total, distinct, and what is left of the next shorter context when they rule their own symbols out)."""
+    levels = []
     for k in range(order, -1, -1):
-        per = settle(grams.groupBy((F.col("gram") % 256 ** (k + 1)).alias("gram")).agg(F.sum("n").alias("n")), f"grams-{k}")
-        sizes = per.groupBy("n").count().orderBy(F.desc("n")).limit(100_000).toArrow().to_pandas()
-        fits = sizes["n"][sizes["count"].cumsum() <= most]
-        kept = per.filter(F.col("n") >= int(fits.min()) if len(fits) and len(fits) < len(sizes) else F.lit(True)).toArrow().to_pandas()
-        tables.append((kept["gram"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)))
-        del kept
-        grams = per
-    return tables[::-1]
-
-
-def score(docs: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
+        grams = settle(grams.groupBy((F.col("gram") % 256 ** (k + 1)).alias("gram")).agg(F.sum("n").alias("n")), f"grams-{k}")
+        levels.append(grams.withColumnRenamed("gram", "key"))
+    out: list[tuple[DataFrame, DataFrame]] = []
+    for k, own in enumerate(levels[::-1]):
+        # up to 65,536 rows, whatever the input
+        few = F.broadcast if k <= 2 else lambda df: df
+        if k:
+            lower = few(out[-1][0].select(F.col("key").alias("below"), F.col("n").alias("n_below")))
+            own_below = own.withColumn("below", F.col("key") % 256**k).join(lower, "below", "left")
+        else:
+            own_below = own.withColumn("n_below", F.lit(0).cast("long"))
+        contexts = own_below.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum("n_below").alias("seen"))
+        if k:
+            few = F.broadcast if k <= 3 else lambda df: df
+            shorter = few(out[-1][1].select(F.col("context").alias("shorter"), F.col("total").alias("all"), F.col("distinct").alias("kinds")))
+            contexts = contexts.withColumn("shorter", F.col("context") % 256 ** (k - 1)).join(shorter, "shorter", "left")
+        else:
+            contexts = contexts.withColumns({"all": F.col("seen"), "kinds": F.col("distinct")})
+        contexts = contexts.select("context", "total", "distinct", (F.col("all") - F.col("seen")).alias("left_total"), (F.col("kinds") - F.col("distinct")).alias("left_distinct"))
+        out.append((own, settle(contexts, f"contexts-{k}")))
+    return out
+
+
+def log10(grams: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Distinct grams of the longest order -> gram, log: log10 probability of its last byte after its others."""
+    none = F.lit(None).cast("long")
+    # total and distinct: what exclusion leaves, where a longer context was known
+    todo, done = grams.select("gram", F.lit(0.0).alias("log"), none.alias("total"), none.alias("distinct")), []
+    for k in range(len(levels) - 1, -1, -1):
+        own, contexts = levels[k]
+        own = F.broadcast(own) if k <= 1 else own
+        contexts = contexts.select("context", F.col("total").alias("own_total"), F.col("distinct").alias("own_distinct"), "left_total", "left_distinct")
+        contexts = F.broadcast(contexts) if k <= 2 else contexts
+        todo = todo.withColumn("key", F.col("gram") % 256 ** (k + 1)).withColumn("context", F.shiftright("key", 8))
+        met = todo.join(own, "key", "left").join(contexts, "context", "left")
+        total, distinct = F.coalesce("total", "own_total"), F.coalesce("distinct", "own_distinct")
+        step = F.when(F.col("n").isNotNull(), F.log10("n") - F.log10(total + distinct)).when(distinct > 0, F.log10(distinct / (total + distinct))).otherwise(0.0)
+        met = met.select("gram", (F.col("log") + step).alias("log"), F.col("n").isNotNull().alias("known"), F.col("left_total").alias("total"), F.col("left_distinct").alias("distinct"))
+        met = settle(met, f"lm-met-{k}")
+        done.append(met.filter("known").select("gram", "log"))
+        todo = met.filter("not known").drop("known")
+    never = math.log10(max(256 - levels[0][0].count(), 1))
+    done.append(todo.select("gram", (F.col("log") - never).alias("log")))
+    return reduce(DataFrame.unionAll, done)
+
+
+def frequent(levels: list[tuple[DataFrame, DataFrame]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` grams of the longest order with their scores: the most frequent, by a threshold on their count."""
+    own, contexts = levels[-1]
+    sizes = own.groupBy("n").count().orderBy(F.desc("n")).limit(100_000).toArrow().to_pandas()
+    fits = sizes["n"][sizes["count"].cumsum() <= most]
+    if not len(fits):
+        return np.zeros(0, np.int64), np.zeros(0)
+    # a known gram's context is known with it
+    both = own.filter(F.col("n") >= int(fits.min())).withColumn("context", F.shiftright("key", 8)).join(contexts, "context")
+    told = both.select("key", (F.log10("n") - F.log10(F.col("total") + F.col("distinct"))).alias("log")).toArrow()
+    return told["key"].to_numpy(), told["log"].to_numpy()
+
+
+def score(docs: DataFrame, folds: int = 10, order: int = ORDER, most: int = MOST_GRAMS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     marked = texts(docs).withColumn("held_out", F.coalesce(fold_of(F.col("doc_id"), folds) == 0, F.lit(False)))
@@ -249,13 +247,13 @@ def score(docs: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
     common = counts.filter(F.col("n") >= least).toArrow().to_pandas() if least is not None else pd.DataFrame({"word": [], "n": []})
     words = dict(zip(common["word"], (math.log10((c + ALPHA) / below) for c in common["n"]), strict=True))
     del common
-    tables = fit(told.filter("gram is not null").select("gram", "n"), order=order)
-    shared = spark.sparkContext.broadcast(Shared(tables, words))
+    levels = trie(told.filter("gram is not null").select("gram", "n"), order)
+    shared = spark.sparkContext.broadcast(Shared(*frequent(levels, most), words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known = shared.value.model, shared.value.words
+        known = shared.value.words
         for batch in batches:
-            scores = [x for many in _chunks(batch["text"]) for x in model.score(many)]
+            scores, grams, times = zip(*(x for many in _chunks(batch["text"]) for x in shared.value.score(many, order)), strict=True) if len(batch) else ((), (), ())
             rows = []
             for t in batch["text"]:
                 found = words_of(t)
@@ -267,10 +265,10 @@ def score(docs: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
                 rows.append((len(found), len(hit), math.fsum(hit), rest))
             out = pd.DataFrame(rows, columns=["n_tokens", "hits", "hit_score", "rest"])
             out.insert(0, "doc_id", batch["doc_id"].array)
-            yield out.assign(held_out=batch["held_out"].to_numpy(), score=scores)
+            yield out.assign(held_out=batch["held_out"].to_numpy(), known_score=scores, grams=grams, times=times)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = marked.mapInPandas(run, f"doc_id {kind}, n_tokens long, hits long, hit_score double, rest string, held_out boolean, score double")
+    scored = marked.mapInPandas(run, f"doc_id {kind}, n_tokens long, hits long, hit_score double, rest string, held_out boolean, known_score double, grams array<long>, times array<long>")
     scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rest = scored.filter("rest is not null").select("row", F.explode(F.split("rest", " ")).alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
     # the broadcast words are known to be elsewhere
@@ -278,8 +276,12 @@ def score(docs: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
     seen = rest.join(rare, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + ALPHA) / below)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("found")
     )
-    out = scored.join(seen, "row", "left")
+    apart = scored.filter("grams is not null").select("row", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("row", "x.grams", "x.times").withColumnRenamed("grams", "gram")
+    told = settle(log10(apart.select("gram").distinct(), levels), "lm-logs")
+    others = apart.join(told, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("other_score"))
+    out = scored.join(seen, "row", "left").join(others, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("hits") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(whole["n"]).cast("long").alias("train_tokens"),
-        (F.col("hit_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("hit_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("known_score") + F.coalesce("other_score", F.lit(0.0))).alias("score"),
     )

@@ -287,6 +287,12 @@ def test_language_model_against_plain_counts(docs):
     assert got == want
 
 
+def test_language_model_scores_alike_however_few_grams_are_broadcast(docs):
+    told = lambda most: sorted(((r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 6)) for r in ppm.score(docs, most=most).collect()))
+    whole = told(ppm.MOST_GRAMS)
+    assert told(50) == whole and told(0) == whole
+
+
 def test_classifier_learns_and_never_sees_held_out_labels(spark):
     rng = random.Random(2)
     good = [" ".join(rng.choice(["tree", "river", "stone", "cloud"]) for _ in range(rng.randint(5, 40))) for _ in range(150)]
