@@ -82,15 +82,20 @@ _DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six sev
 _DIGIT = "(?:zero|one|two|three|four|five|six|seven|eight|nine|oh)"
 _SPELLED = re.compile(rf"\b(?:plus[\x20-]{{1,2}})?{_DIGIT}(?:[\x20,.-]{{1,2}}{_DIGIT}){{6,}}\b", re.IGNORECASE)
 _AT = r"(?:\x20?[\[({<]\x20?(?:at|@|arroba|arobase)\x20?[\])}>]\x20?)"
-_DOT = r"(?:\x20?[\[({<]\x20?(?:dot|\.|punto|punkt|point)\x20?[\])}>]\x20?|\x20(?:dot|punto|punkt)\x20)"
+_BOXED_DOT = r"\x20?[\[({<]\x20?(?:dot|\.|punto|punkt|point)\x20?[\])}>]\x20?"
+_DOT = rf"(?:{_BOXED_DOT}|\x20(?:dot|punto|punkt)\x20)"
+_OCTET = rf"(?:[0-9]++|\b{_DIGIT}(?:[\x20-]{_DIGIT}){{0,2}}\b)"
+_OCTETS = re.compile(rf"(?<![0-9]){_OCTET}(?:(?:\.|{_DOT}){_OCTET}){{3}}", re.IGNORECASE)
+_OCTET_PART = re.compile(rf"({_DOT})|(\.)|([0-9]+)|[A-Za-z]+", re.IGNORECASE)
+_BETWEEN_DIGITS = re.compile(rf"(?<=[0-9]){_BOXED_DOT}(?=[0-9])", re.IGNORECASE)
 _LABEL = "[A-Za-z0-9-]+"
 _NAME = rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*"
 #: Ends of a domain that bare words may spell: fixed values.
 _ENDS = "(?:com|org|net|edu|gov|info|biz|io|co|dev|app|ai|eu|uk|us|de|fr|es|it|nl|ch|at|se|no|fi|pl|ru|cn|jp|in|br|au|ca|test|example)(?![A-Za-z0-9-])"
-# a bare "at" counts only before a domain whose dots are spelled as well and that ends as domains do; a bracketed one
-# before any domain
+# a bare "at" counts only before a domain whose dots are spelled as well and that ends as domains do, a plain @ also before
+# one with a bracketed dot; a bracketed one before any domain
 _DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9_%+.-])(?:{_NAME}{_AT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+|{_NAME}(?:@|\x20(?:at|arroba|arobase)\x20){_LABEL}(?:(?:\.|{_DOT}){_LABEL})*{_DOT}{_ENDS}(?:(?:\.|{_DOT}){_ENDS})*)", re.IGNORECASE
+    rf"(?<![A-Za-z0-9_%+.-])(?:{_NAME}{_AT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+|{_NAME}@{_LABEL}(?:\.{_LABEL})*(?:{_BOXED_DOT}{_LABEL}(?:\.{_LABEL})*)+|{_NAME}(?:@|\x20(?:at|arroba|arobase)\x20){_LABEL}(?:(?:\.|{_DOT}){_LABEL})*{_DOT}{_ENDS}(?:(?:\.|{_DOT}){_ENDS})*)", re.IGNORECASE
 )
 _PART = re.compile(rf"({_AT}|\x20(?:at|arroba|arobase)\x20)|({_DOT})", re.IGNORECASE)
 _WORD = re.compile("[A-Za-z]+")
@@ -137,6 +142,35 @@ def digit_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def octet_edits(text: str) -> list[tuple[int, int, str]]:
+    """Dots and digit words of four octets, with the separators inside an octet."""
+    edits = []
+    for m in _OCTETS.finditer(text):
+        own, spelled, done, dots = [], "", None, 0
+        for p in _OCTET_PART.finditer(text, m.start(), m.end()):
+            if p.group(1) or p.group(2):
+                new, done = ".", None
+                dots += p.group(2) is not None
+            elif p.group(3):
+                new = p.group()
+            else:
+                new = _DIGITS[p.group().lower()]
+            if new != p.group():
+                own.append((p.start() if done is None else done, p.end(), new))
+            if new != "." and not p.group(3):
+                done = p.end()
+            spelled += new
+        # ten or more spelled digits with plain dots alone are a telephone number's form
+        if all(len(x.lstrip("0")) < 4 and int(x[-3:]) <= 255 for x in spelled.split(".")) and (dots < 3 or len(spelled) < 13):
+            edits += own
+    return edits
+
+
+def dot_edits(text: str) -> list[tuple[int, int, str]]:
+    """Bracketed dots between digits."""
+    return [(m.start(), m.end(), ".") for m in _BETWEEN_DIGITS.finditer(text)]
+
+
 def sign_edits(text: str) -> list[tuple[int, int, str]]:
     return [(p.start(), p.end(), "@" if p.group(1) else ".") for m in _DISGUISED.finditer(text) for p in _PART.finditer(text, m.start(), m.end())]
 
@@ -147,7 +181,7 @@ def disguised(text: str) -> list[Span]:
     if not odd and not _TRIGGER.search(text):
         return []
     tape = Tape(text)
-    for edits_of in (glyph_edits, digit_edits, sign_edits):
+    for edits_of in (glyph_edits, octet_edits, digit_edits, dot_edits, sign_edits):
         if edits := edits_of(tape.text):
             tape = tape.rewrite(edits)
     if tape.text == text:

@@ -342,6 +342,21 @@ def test_disguises_map_back(text, kind, piece):
     assert (kind, piece) in [(k, text[a:b]) for k, a, b in personal.spans(text)[1]]
 
 
+@pytest.mark.parametrize(("text", "kind", "piece"), [
+    ("host 192[.]168[.]0[.]1 is up", "ip", "192[.]168[.]0[.]1"), ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"), ("at 10.0 (dot) 0.7, up", "ip", "10.0 (dot) 0.7"),
+    ("host one nine two dot one six eight dot zero dot one.", "ip", "one nine two dot one six eight dot zero dot one"), ("one nine two.one six eight.zero.one", "ip", "one nine two.one six eight.zero.one"),
+    ("to user@host[.]shop now", "email", "user@host[.]shop"), ("to user@mail[.]host[.]museum.", "email", "user@mail[.]host[.]museum"), ("call +1[.]269[.]555[.]3296 now", "phone", "+1[.]269[.]555[.]3296"),
+])
+def test_disguised_dots_of_addresses_map_back(text, kind, piece):
+    assert [(k, text[a:b]) for k, a, b in personal.spans(text)[1]] == [(kind, piece)]
+
+
+def test_dots_of_no_address_give_no_spans():
+    for text in ("192 dot 168 dot 0 dot 999", "1 dot 2 dot 3", "one dot two dot three", "user@host dot then"):
+        assert personal.spans(text)[1] == []
+    assert [k for k, _, _ in personal.spans("five five five.one two three.four five.six seven")[1]] == ["phone"]
+
+
 def test_plain_prose_has_no_personal_data():
     assert personal.spans("we met at noon dot by dot, one two three and at home.")[1] == []
 
