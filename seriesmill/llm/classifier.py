@@ -40,7 +40,7 @@ def _index() -> tuple[np.ndarray, np.ndarray]:
 def shape_of(word: str) -> str:
     """Upper, lower, digit and other characters as X, x, 0 and themselves, runs cut to two."""
     out = []
-    for c in word[:40]:
+    for c in word:
         s = "X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c
         if out[-2:] != [s, s]:
             out.append(s)

@@ -311,6 +311,10 @@ def test_classifier_learns_and_never_sees_held_out_labels(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_shapes_take_whole_words():
+    assert classifier.shape_of("a" * 50 + "-1") == "xx-0" and classifier.shape_of("-a" * 30) != classifier.shape_of("-a" * 31)
+
+
 def personal_spans(t):
     found = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     found += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
