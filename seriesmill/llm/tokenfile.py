@@ -107,7 +107,8 @@ def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def encoder(path: str | None = None) -> PieceMemory:
     """The tokenizers library's model on each distinct piece of the texts; pieces met before come from memory, which serves
     all tasks of a Python worker. Pieces are cut already, and the library's byte alphabet is applied here, so that only
-    its model runs."""
+    its model runs. The vocabulary's added tokens are not looked for: a text that holds <|endoftext|> is read as plain text, as
+    the library does with ``encode_special_tokens``, so no text can put a special id into the files."""
     import public_tokenizers
     from tokenizers import Tokenizer
 

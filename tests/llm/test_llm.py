@@ -381,6 +381,16 @@ def test_token_files(docs):
     assert got == want
 
 
+def test_added_tokens_are_plain_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path(tokenfile.VOCABULARY))
+    lib.encode_special_tokens = True
+    for text in ("<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n"):
+        assert np.frombuffer(tokenfile.encoder().encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_packed_blocks_round_trip():
     rng = np.random.default_rng(0)
     for n in (1, 5, 255, 256, 257, 3000):
