@@ -3,9 +3,10 @@
 1. Equal sets collapse to one representative, the least doc_id, so exact copies never meet in pairs.
 2. Two linked sets share an element among the first n - ceil(0.85 n) + 1 in any common order. That prefix deals
    documents to buckets. The order puts frequent shingles last, so a passage that many documents share makes no bucket.
-3. Each document's shingles are hashed into groups; its group counts are a point. In a bucket the points are indexed
-   by a bulk-loaded R-tree; the sum of coordinate minima (with a node's maxima first, then with the points themselves)
-   bounds the overlap. Pairs that survive are verified on the whole texts.
+3. Each document's shingles are hashed into groups; its group counts are a point. In a bucket of many points
+   runs of them in order of set size are bounded by their coordinate maxima: one flat list of bounding leaves, scanned for
+   each point, in place of an R-tree (no inner nodes, no packing by coordinates). The sum of coordinate minima (with a leaf's
+   maxima first, then with the points themselves) bounds the overlap. Pairs that survive are verified on the whole texts.
 4. First each document is held against one bucket leader only; what these links join needs no more pairs. Then all
    surviving pairs across the components of step one are verified. A large group of near copies so costs one
    pair per document, and no link between different components is missed.
