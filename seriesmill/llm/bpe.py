@@ -20,12 +20,15 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 
-from .common import map_texts
-from .pieces import PieceMemory
+from .common import map_many
+from .pieces import PartMemory, exact
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: States that a worker's machine keeps, and bytes of parts that it remembers.
+STATES, MEMORY = 150_000, 60 << 20
 NEVER = 1 << 60
 
 
@@ -92,9 +95,10 @@ class State:
 
 
 class Transducer:
-    """encode(piece) for one piece; at most ``most`` states are kept, then the machine starts afresh."""
+    """encode(piece) for one piece; at most ``most`` states are kept, then the machine starts afresh, in the middle of a piece
+    too: the state at hand goes on."""
 
-    def __init__(self, merges: Merges, most: int = 150_000):
+    def __init__(self, merges: Merges, most: int = STATES):
         self.merges, self.most = merges, most
         self.reset()
 
@@ -142,6 +146,8 @@ class Transducer:
             parents = (0, *[p - root for p in parents[root + 1 :]])
         to = self.states.get((before, data))
         if to is None:
+            if len(self.states) >= self.most:
+                self.reset()
             to = self.states[before, data] = State(before, data, parents, live)
         arc = state.arcs[byte] = (to, ids)
         return arc
@@ -150,8 +156,6 @@ class Transducer:
         whole = self.merges.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.most:
-            self.reset()
         state, out = self.start, []
         for byte in piece:
             state, ids = state.arcs.get(byte) or self._extend(state, byte)
@@ -202,19 +206,26 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Whole texts to ids and back."""
+    """Whole texts to ids and back. ``states`` bounds the machine, ``most`` the bytes of remembered parts."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, states: int, pieces: int):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, states: int, most: int):
         self.transducer = Transducer(Merges(ranks), states)
-        self.memory = PieceMemory(pattern, self._encode, pieces)
+        self.cut = regex.compile(exact(pattern)).findall
+        self.memory = PartMemory(self._encode, most)
         self.spelled = {i: t for t, i in ranks.items()}
 
-    def _encode(self, pieces: list[str]) -> Iterable[bytes]:
-        encode = self.transducer.encode
-        return (b"".join(i.to_bytes(4, "little") for i in encode(p.encode("utf-8"))) for p in pieces)
+    def _encode(self, parts: list[str], letters: bool) -> list[list[int]]:
+        """Letters alone, with a space or not, need no expression to cut them."""
+        encode, cut = self.transducer.encode, self.cut
+        if letters:
+            return [encode(x.encode("utf-8")) for x in parts]
+        return [[i for piece in cut(x) for i in encode(piece.encode("utf-8"))] for x in parts]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.memory.encode(text), "<u4")
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        return self.memory.encode_all(texts)
 
     def decode(self, ids: Iterable[int], block: int = 4096) -> Iterator[bytes]:
         """Stream of decoded bytes; each item ends with a whole character."""
@@ -226,30 +237,31 @@ class Codec:
 
 
 @lru_cache(maxsize=1)
-def codec(path: str | None = None, states: int = 150_000, pieces: int = 400_000) -> Codec:
+def codec(path: str | None = None, states: int = STATES, most: int = MEMORY) -> Codec:
     """One per Python worker, made where it is used, from a vocabulary file that every machine has; what it has learnt
     serves the worker's later tasks."""
     gc.set_threshold(200_000, 20, 100)  # its states are many and long-lived
     import public_tokenizers
 
-    return Codec(load_ranks(path or public_tokenizers.path(RANKS)), public_tokenizers.PATTERN, states, pieces)
+    return Codec(load_ranks(path or public_tokenizers.path(RANKS)), public_tokenizers.PATTERN, states, most)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False, states: int = 150_000, pieces: int = 400_000) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False, states: int = STATES, most: int = MEMORY) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids (array of int). ``states`` and
-    ``pieces`` bound what a Python worker remembers."""
+    ``most`` (bytes of parts) bound what a Python worker remembers."""
 
     def make():
-        own = codec(path, states, pieces)
+        own = codec(path, states, most)
 
-        def one(text: str) -> tuple:
-            ids = own.encode(text)
-            back = hashlib.sha256()
-            for data in own.decode(ids.tolist()):
-                back.update(data)
-            row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), back.hexdigest())
-            return (*row, ids.astype("int32")) if keep_ids else row
+        def rows(many: list[str]) -> Iterator[tuple]:
+            for ids in own.encode_all(many):
+                back = hashlib.sha256()
+                for data in own.decode(ids.tolist()):
+                    back.update(data)
+                row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), back.hexdigest())
+                yield (*row, ids.astype("int32")) if keep_ids else row
 
-        return one
+        return rows
 
-    return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return map_many(docs, make, columns, 1000 if keep_ids else 4000)

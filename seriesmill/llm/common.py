@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,9 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a new temporary one only where that is unset (tests)."""
+    """The folder all executors share, ``spark.checkpoint.dir``; on a local master, where one machine does all the work, a new
+    temporary one if that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -32,7 +36,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables that no later plan reads."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t.settled_path
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -57,5 +71,22 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[str], tuple]], colum
     return texts(docs).mapInPandas(run, f"doc_id {kind}, {columns}")
 
 
+def map_many(docs: DataFrame, make: Callable[[], Callable[[list[str]], Iterator[tuple]]], columns: str, rows: int = 4000) -> DataFrame:
+    """As ``map_texts``, with ``make()`` taking the whole texts of up to ``rows`` rows at a time."""
+    names = [c.strip().split()[0] for c in columns.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = make()
+        for whole in batches:
+            for at in range(0, len(whole), rows):
+                batch = whole.iloc[at : at + rows]
+                out = pd.DataFrame(list(of(batch["text"].tolist())), columns=names)
+                out.insert(0, "doc_id", batch["doc_id"].array)
+                yield out
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return texts(docs).mapInPandas(run, f"doc_id {kind}, {columns}")
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds

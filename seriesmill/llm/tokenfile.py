@@ -11,16 +11,16 @@ Files are written by the tasks that encode, through a file system opened from th
 temporary name and then renamed, so that a task that is run again replaces its file with an equal one. They are read
 back by Spark's binary reader.
 
-Defined cases: null text is empty and yields the end id alone; equal doc_ids keep their order of text; null doc_ids come first;
-an empty table writes no file; other columns are ignored.
+Defined cases: null text is empty and yields the end id alone; equal doc_ids keep their order of text; null doc_ids come first, and so do
+ids that aren't whole numbers (files hold 64-bit ids): both come back as null; an empty table writes no file; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import gc
+import os
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,13 +33,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import new_path, settle, texts
-from .pieces import PieceMemory
+from .pieces import PartMemory
 
 VOCABULARY = "byte_bpe_50k.json"
 MAGIC = b"PFOR0001"
 BLOCK, PERCENTILE, END = 256, 90, 0
+#: Bytes of parts that a worker remembers.
+MEMORY = 100 << 20
 #: A file is closed when it holds so many ids, so its size is bounded however large a partition is.
 FILE_IDS = 4_000_000
+#: Partitions whose files make one stretch when ids before a file are added up.
+STRETCH = 4096
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -104,31 +108,35 @@ def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str | None = None) -> PieceMemory:
-    """The tokenizers library's model on each distinct piece of the texts; pieces met before come from memory, which serves
-    all tasks of a Python worker. Pieces are cut already, and the library's byte alphabet is applied here, so that only
-    its model runs. The vocabulary's added tokens are not looked for: a text that holds <|endoftext|> is read as plain text, as
-    the library does with ``encode_special_tokens``, so no text can put a special id into the files."""
+def encoder(path: str | None = None, most: int = MEMORY) -> PartMemory:
+    """The tokenizers library on each distinct part of the texts; parts met before come from memory, which serves all tasks
+    of a Python worker. Parts of letters alone need no cutting, so only the library's model runs on them; all others, and
+    whole texts that hold one of the vocabulary's added tokens (<|endoftext|>), go through the library as it is."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import public_tokenizers
     from tokenizers import Tokenizer
 
     gc.set_threshold(200_000, 20, 100)  # the memory is large and long-lived
-    model = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY)).model
+    library = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
+    tokenize, added = library.model.tokenize, [t.content for t in library.get_added_tokens_decoder().values()]
+    # how the library spells bytes: visible ones as themselves, the others from 256 on
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in visible]
     letters = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-    tokenize = model.tokenize
+    space = letters[32]
 
-    def pieces(fresh: list[str]) -> list[bytes]:
-        spelled = (p.encode("utf-8").decode("latin-1").translate(letters) for p in fresh)
-        return [array("I", [t.id for t in tokenize(p)]).tobytes() for p in spelled]
+    def parts(strings: list[str], plain: bool) -> list[list[int]]:
+        if plain:
+            spelled = (x.replace(" ", space) if x.isascii() else x.encode("utf-8").decode("latin-1").translate(letters) for x in strings)
+            return [[t.id for t in tokenize(x)] for x in spelled]
+        return [e.ids for at in range(0, len(strings), 10_000) for e in library.encode_batch_fast(strings[at : at + 10_000], add_special_tokens=False)]
 
-    return PieceMemory(public_tokenizers.PATTERN, pieces)
+    return PartMemory(parts, most, tuple(added))
 
 
 def _writer(folder: str, path: str | None, file_ids: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, encode = TaskContext.get().partitionId(), encoder(path).encode
+        part, encode_all = TaskContext.get().partitionId(), encoder(path).encode_all
         store, root = fs.FileSystem.from_uri(folder)
         held: list[tuple[int | None, np.ndarray]] = []
         n_held = seq = 0
@@ -143,13 +151,13 @@ def _writer(folder: str, path: str | None, file_ids: int):
             with store.open_output_stream(draft) as out:
                 out.write(data)
             store.move(draft, f"{root}/{name}")
-            row = pd.DataFrame({"file": [name], "n_docs": [len(held)], "n_ids": [n_held]})
+            row = pd.DataFrame({"file": [name], "part": [part], "seq": [seq], "n_docs": [len(held)], "n_ids": [n_held]})
             held, n_held, seq = [], 0, seq + 1
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.frombuffer(encode(text) + END.to_bytes(4, "little"), "<u4")
+            for doc_id, ids in zip(batch["doc_id"], encode_all(batch["text"].tolist()), strict=True):
+                ids = np.append(ids, np.uint32(END))
                 held.append((doc_id, ids))
                 n_held += len(ids)
                 if n_held >= file_ids:
@@ -162,10 +170,10 @@ def _writer(folder: str, path: str | None, file_ids: int):
 
 def write_files(docs: DataFrame, folder: str, path: str | None = None, file_ids: int = FILE_IDS, part_bytes: int = 24 << 20) -> DataFrame:
     """Writes the token files of ``docs`` (doc_id integer, text) to ``folder``; one row per file. Partitions are ranges of
-    doc_id, so file names in order hold ascending ids; texts are dealt before they are encoded, so that is done once."""
+    doc_id, so files in order of (part, seq) hold ascending ids; texts are dealt before they are encoded, so that is done once."""
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     dealt = texts(docs).repartitionByRange(max(1, -(-size // part_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
-    return settle(dealt.mapInPandas(_writer(folder, path, file_ids), "file string, n_docs long, n_ids long"), "token-file-list")
+    return settle(dealt.mapInPandas(_writer(folder, path, file_ids), "file string, part long, seq long, n_docs long, n_ids long"), "token-file-list")
 
 
 def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,8 +192,12 @@ def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_files(files: DataFrame, folder: str) -> DataFrame:
     """Reads the token files back: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
     spark = files.sparkSession
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = files.select(F.col("file").alias("named"), before.alias("before"))
+    # running totals within stretches of files, then over the stretches
+    files = files.withColumn("stretch", F.floor(F.col("part") / STRETCH))
+    earlier = lambda of, window: F.coalesce(F.sum(of).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = files.groupBy(F.col("stretch").alias("of")).agg(F.sum("n_ids").alias("n")).select("of", earlier("n", Window.orderBy("of")).alias("base"))
+    within = files.select("stretch", F.col("file").alias("named"), earlier("n_ids", Window.partitionBy("stretch").orderBy("part", "seq")).alias("inside"))
+    offsets = within.join(totals, F.col("stretch") == F.col("of")).select("named", (F.col("base") + F.col("inside")).alias("before"))
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     # the reader deals files out by size: one or a few to a task
@@ -197,5 +209,5 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     folder = new_path(docs.sparkSession, "token-files")
     kind = docs.schema["doc_id"].dataType
-    ids = docs if isinstance(kind, T.LongType) else docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    ids = docs if isinstance(kind, T.LongType) else docs.withColumn("doc_id", F.col("doc_id").try_cast("long"))
     return read_files(write_files(ids, folder, path), folder)
