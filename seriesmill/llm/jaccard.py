@@ -1,22 +1,25 @@
 """N-gram Jaccard join: exact links between documents whose 4-word shingle sets reach a Jaccard similarity.
 
-1. Equal sets collapse to one representative, the least doc_id, so exact copies never meet in pairs.
-2. Two linked sets share an element among the first n - ceil(0.85 n) + 1 in any common order. That prefix deals
-   documents to buckets. The order puts frequent shingles last, so a passage that many documents share makes no bucket.
-3. Each document's shingles are hashed into groups; its group counts are a point. In a bucket of many points
-   runs of them in order of set size are bounded by their coordinate maxima: one flat list of bounding leaves, scanned for
-   each point, in place of an R-tree (no inner nodes, no packing by coordinates). The sum of coordinate minima (with a leaf's
-   maxima first, then with the points themselves) bounds the overlap. Pairs that survive are verified on the whole texts.
-4. First each document is held against one bucket leader only; what these links join needs no more pairs. Then all
-   surviving pairs across the components of step one are verified. A large group of near copies so costs one
-   pair per document, and no link between different components is missed.
-
-Buckets with more than ``CELL`` documents are dealt to cells of two chunks each. Frequent shingles only steer the order
-(any order gives the same links), so their list may be bounded and is broadcast.
+1. Rows with equal sets are one node, so exact copies never meet in pairs.
+2. A node's shingles are hashed into groups; its group counts are a point. Two linked sets share an element among the
+   first n - ceil(0.85 n) + 1 in any common order, so each point stands once for each of these elements, and Spark deals
+   points by element. The order puts frequent shingles last; elements of a single node are left out.
+3. First each node is held against one leader only, of its elements' least nodes the one it meets most often; what these
+   links join needs no more pairs. A large group of near copies so costs one pair per document.
+4. A multi-level R-tree over (element, set size, group counts), bulk-loaded in that order, is joined with itself from the
+   root down, in each task over the elements it was dealt. A pair of tree nodes is left out if their elements or components
+   can't meet, if their sizes are too far apart, or if the summed coordinate minima of their upper corners bound the overlap
+   too low. The same tests end on pairs of points.
+5. Pairs that survive are verified on the whole texts. No link between different components is missed.
+
+Elements with more than ``CELL`` points are dealt to cells of two chunks each. Keys with many rows on one side of a join are
+split over several tasks (``skew.salted``). Frequent shingles and the bits of shared elements steer only the order and what
+is sent, not the links, so both are bounded and broadcast.
 
 Defined cases: null and empty texts have an empty set, are linked with nothing and are their own component; a null doc_id
-is returned with its count and no component, and takes no part in links; equal doc_ids with different texts count as one node
-of the graph; an empty table gives an empty result; other columns are ignored.
+is returned with its count and no component, and takes no part in links; rows of one doc_id with different texts are compared
+one by one, and link what each of them links (ids are what components hold); an empty table gives an empty result; doc_id may
+have any type that Spark can order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,19 +33,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, texts
+from .common import forget, settle, texts
 from .components import components
+from .skew import picked, salted
 
 SHINGLE = 4
 PERCENT = 85
 GROUPS = 128
-FULL = 65535
-#: Most documents in one chunk of a bucket's cell; most frequent shingles whose counts steer the order.
-CELL = 4096
-FREQUENT, FREQUENT_FROM = 100_000, 4
-LEAF = 16
-#: Ids that may be broadcast to pick texts for verification; beyond, texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+FULL = 255
+#: Most points in one chunk of an element's cell; children of a tree node; most pairs of vectors compared at once.
+CELL, FAN, PAIRS = 4096, 16, 20_000
+#: Most frequent shingles whose counts steer the order; how often a task must have met one to name it.
+FREQUENT, FREQUENT_FROM = 100_000, 3
+#: Shingles that a task counts at a time to find frequent ones.
+COUNTED = 4_000_000
+#: Bits (as a power of two) of the filter of shared elements.
+FILTER_BITS = 27
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -74,16 +80,27 @@ def _slices(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.Da
             yield batch.iloc[at : at + rows]
 
 
+def _often(sets: list[np.ndarray], ids: pd.Series) -> pd.DataFrame:
+    every, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
+    often = np.nonzero(counts >= FREQUENT_FROM)[0]
+    often = often[np.argsort(-counts[often], kind="stable")[:FREQUENT]]
+    return pd.DataFrame({"kind": 1, "doc_id": ids.iloc[:0].reindex(range(len(often))).array, "mark": _signed(every[often]), "n": counts[often], "f1": 0, "f2": 0})
+
+
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of documents (kind 0: doc_id, n, fingerprint) and of shingles frequent in this batch (kind 1: hash, count)."""
+    """Rows of documents (kind 0: doc_id, the text's mark, n, fingerprint) and of shingles frequent here (kind 1: hash, count)."""
+    held, n, ids = [], 0, None
     for batch in _slices(batches):
         found = [shingles(t) for t in batch["text"]]
         marks = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in found]
-        yield pd.DataFrame({"kind": 0, "id": batch["doc_id"].array, "n": [len(s) for s in found], "f1": [m[0] for m in marks], "f2": [m[1] for m in marks]})
-        every, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, int))
-        often = np.nonzero(counts >= FREQUENT_FROM)[0]
-        often = often[np.argsort(-counts[often], kind="stable")[:FREQUENT]]
-        yield pd.DataFrame({"kind": 1, "id": _signed(every[often]), "n": counts[often], "f1": 0, "f2": 0})
+        yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"].array, "mark": batch["mark"].array, "n": [len(s) for s in found], "f1": [m[0] for m in marks], "f2": [m[1] for m in marks]})
+        held += found
+        n, ids = n + sum(map(len, found)), batch["doc_id"]
+        if n >= COUNTED:
+            yield _often(held, ids)
+            held, n = [], 0
+    if held:
+        yield _often(held, ids)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -91,12 +108,12 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _points(frequent: np.ndarray, place: np.ndarray):
-    """Rows (doc_id, n, vec, prefix): group counts as bytes of unsigned 16-bit, prefix in the common order."""
+    """Rows (doc_id, mark, n, vec, prefix): group counts as bytes, prefix in the common order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _slices(batches):
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            rows, ids = [], []
+            for k, (mark, text) in enumerate(zip(batch["mark"], batch["text"], strict=True)):
                 s = shingles(text)
                 if not len(s):
                     continue
@@ -108,16 +125,19 @@ def _points(frequent: np.ndarray, place: np.ndarray):
                     often = frequent[at] == s
                     first = np.concatenate([s[~often], s[often][np.argsort(place[at[often]], kind="stable")]])
                 counts = np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS), FULL)
-                rows.append((doc_id, len(s), counts.astype("<u2").tobytes(), _signed(first[:p].copy())))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "vec", "prefix"])
+                rows.append((mark, len(s), counts.astype(np.uint8).tobytes(), _signed(first[:p].copy())))
+                ids.append(k)
+            out = pd.DataFrame(rows, columns=["mark", "n", "vec", "prefix"])
+            out.insert(0, "doc_id", batch["doc_id"].iloc[ids].array)
+            yield out
 
     return run
 
 
 def overlap_bound(na, nb, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Sum of coordinate minima; where a count may have been cut off at FULL on both sides, the smaller size."""
-    least = np.minimum(na, nb)
-    return np.where(least > FULL, least, np.minimum(v, w).sum(axis=1, dtype=np.int64))
+    least = np.minimum(v, w)
+    return np.where((least == FULL).any(axis=1), np.minimum(na, nb), least.sum(axis=1, dtype=np.int64))
 
 
 def may_link(na, nb, overlap, percent: int = PERCENT):
@@ -125,182 +145,245 @@ def may_link(na, nb, overlap, percent: int = PERCENT):
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
-def tree_pairs(n: np.ndarray, vec: np.ndarray, comp: np.ndarray, prev: np.ndarray, side: np.ndarray | None = None, percent: int = PERCENT):
-    """Pairs (i, j), i < j, of different components whose bound allows a link. Points must be in order of n. ``side``:
-    only pairs with different sides. Pairs whose prefixes agree one element earlier too (``prev``) are met in that
-    element's bucket. The tree's leaves hold LEAF consecutive points; a leaf is left out if its sizes are
-    too small, if it has no other component, or if the sum of minima with its maxima is too small."""
-    m = len(n)
-    starts = np.arange(0, m, LEAF)
-    top = np.maximum.reduceat(vec, starts, axis=0)
-    largest, smallest = np.maximum.reduceat(n, starts), n[starts]
-    one, other = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
-    left, right = [], []
-    for j in range(1, m):
-        low = np.searchsorted(largest, -(-n[j] * percent // 100))
-        leaves = np.arange(low, j // LEAF + 1)
-        leaves = leaves[(one[leaves] != comp[j]) | (other[leaves] != comp[j])]
-        if not len(leaves):
-            continue
-        bound = overlap_bound(largest[leaves], n[j], top[leaves], vec[j])
-        # a smaller partner needs the least overlap
-        leaves = leaves[may_link(n[j], smallest[leaves], bound, percent)]
-        if not len(leaves):
-            continue
-        points = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
-        points = points[points < j]
-        points = points[(comp[points] != comp[j]) & ((prev[points] != prev[j]) | (prev[j] == 0))]
-        if side is not None:
-            points = points[side[points] != side[j]]
-        points = points[may_link(n[j], n[points], overlap_bound(n[points], n[j], vec[points], vec[j]), percent)]
-        left.append(points)
-        right.append(np.full(len(points), j))
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _bucket_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (token, cell, n, rep): each run of equal (token, cell) is one bucket, of bounded size. Small runs go
-    through together by distance in the order; each large one through its tree."""
+class Tree:
+    """A bulk-loaded R-tree. Points come with their element's number in ascending order; within an element they are packed by
+    set size, in slabs, and by how their counts lean to one half of the groups. ``levels[0]`` are the points themselves, each
+    higher level bounds runs of FAN entries of the one below: element, size and component from lowest to highest, and the
+    highest count in each group."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, vec: np.ndarray, comp: np.ndarray):
+        half = vec[:, : GROUPS // 2].sum(axis=1, dtype=np.int64)
+        slab = np.floor(np.log(n) / np.log(1.05)).astype(np.int64)
+        self.order = np.lexsort((half, slab, key))
+        key, n, vec, comp = (x[self.order] for x in (key, n, vec, comp))
+        self.levels = [(key, key, n, n, comp, comp, vec)]
+        while len(self.levels[-1][0]) > 1:
+            k1, k2, n1, n2, c1, c2, top = self.levels[-1]
+            at = np.arange(0, len(k1), FAN)
+            low, high = np.minimum.reduceat, np.maximum.reduceat
+            self.levels.append((low(k1, at), high(k2, at), low(n1, at), high(n2, at), low(c1, at), high(c2, at), high(top, at, axis=0)))
+
+    def _meet(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the entry pairs (a, b) of a level those that may hold a link."""
+        k1, k2, n1, n2, c1, c2, top = self.levels[level]
+        good = (k1[a] <= k2[b]) & (k1[b] <= k2[a]) & (100 * n2[a] >= percent * n1[b]) & (100 * n2[b] >= percent * n1[a])
+        good &= (c1[a] != c2[a]) | (c1[b] != c2[b]) | (c1[a] != c1[b])
+        a, b = a[good], b[good]
+        kept = [np.zeros(0, bool)]
+        for at in range(0, len(a), PAIRS):
+            x, y = a[at : at + PAIRS], b[at : at + PAIRS]
+            # the smallest sizes need the least overlap
+            kept.append(may_link(n1[x], n1[y], overlap_bound(n2[x], n2[y], top[x], top[y]), percent))
+        kept = np.concatenate(kept)
+        return a[kept], b[kept]
+
+    def self_join(self, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of points (places in the caller's order) that pass all tests, some at a time."""
+        todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while todo:
+            level, a, b = todo.pop()
+            if level == 0:
+                yield self.order[a], self.order[b]
+                continue
+            below = len(self.levels[level - 1][0])
+            for at in range(0, len(a), 2 * PAIRS // FAN**2):
+                x, y = a[at : at + 2 * PAIRS // FAN**2], b[at : at + 2 * PAIRS // FAN**2]
+                one = np.repeat(x[:, None] * FAN + np.arange(FAN), FAN, axis=1).ravel()
+                two = np.tile(y[:, None] * FAN + np.arange(FAN), (1, FAN)).ravel()
+                real = (one < below) & (two < below) & ((one < two) if level == 1 else (one <= two))
+                one, two = self._meet(level - 1, one[real], two[real], percent)
+                if len(one):
+                    todo.append((level - 1, one, two))
+
+
+def _tree_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (token, cell): the runs of equal (token, cell) in a batch, each of bounded size, make one tree. Odd
+    cells hold two chunks (``side``): pairs within one of them are met in that chunk's own cell. Pairs whose prefixes agree one
+    element earlier too (``prev``) are met at that element."""
     held: pd.DataFrame | None = None
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, n, comp, side, prev = (rows[c].to_numpy() for c in ("rep", "n", "comp", "side", "prev"))
-        vec = np.frombuffer(b"".join(rows["vec"]), "<u2").reshape(len(rows), GROUPS)
-        key = rows["key"].to_numpy()
-        cut = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(rows)]])
-        size = np.diff(cut)
-        mixed = rows["cell"].to_numpy() % 2 == 1
-        pairs = []
-        many = size > 4 * LEAF
-        for a, b in zip(cut[:-1][many], cut[1:][many], strict=True):
-            i, j = tree_pairs(n[a:b], vec[a:b], comp[a:b], prev[a:b], side[a:b] if mixed[a] else None)
-            pairs.append((i + a, j + a))
-        run = np.repeat(np.arange(len(size)), size)
-        few = ~np.repeat(many, size)
-        for k in range(1, 4 * LEAF):
-            i = np.nonzero(few[:-k] & (run[k:] == run[:-k]) & (comp[k:] != comp[:-k]) & ((prev[k:] != prev[:-k]) | (prev[k:] == 0)))[0] if k < len(rows) else np.zeros(0, int)
-            if not len(i):
-                if k >= len(rows) or not (run[k:] == run[:-k]).any():
-                    break
-                continue
-            i = i[may_link(n[i], n[i + k], n[i])]
-            for at in range(0, len(i), 20_000):
-                part = i[at : at + 20_000]
-                part = part[may_link(n[part], n[part + k], overlap_bound(n[part], n[part + k], vec[part], vec[part + k]))]
-                pairs.append((part, part + k))
-        i = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, int)
-        j = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, int)
-        return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}).drop_duplicates()
+    def solve(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        node, n, comp, side, prev, cell = (rows[c].to_numpy() for c in ("node", "n", "comp", "side", "prev", "cell"))
+        vec = np.frombuffer(b"".join(rows["vec"]), np.uint8).reshape(len(rows), GROUPS)
+        same = (rows["token"].to_numpy()[1:] == rows["token"].to_numpy()[:-1]) & (cell[1:] == cell[:-1])
+        for i, j in Tree(np.concatenate([[0], np.cumsum(~same)]), n, vec, comp).self_join():
+            good = ((cell[i] % 2 == 0) | (side[i] != side[j])) & ((prev[i] != prev[j]) | (prev[i] == 0))
+            i, j = i[good], j[good]
+            yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
 
     for batch in batches:
         rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        rows["key"] = rows["token"] * 1_000_003 + rows["cell"]
-        last = (rows["key"] == rows["key"].iloc[-1]).to_numpy()
-        whole = len(rows) - (int(np.argmin(last[::-1])) if not last.all() else len(rows))
+        other = ((rows["token"] != rows["token"].iloc[-1]) | (rows["cell"] != rows["cell"].iloc[-1])).to_numpy()
+        whole = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
         if whole:
-            yield solve(rows.iloc[:whole])
-        held = rows.iloc[whole:].drop(columns="key")
+            yield from solve(rows.iloc[:whole])
+        held = rows.iloc[whole:]
     if held is not None and len(held):
-        yield solve(held.assign(key=held["token"] * 1_000_003 + held["cell"]))
+        yield from solve(held)
+
+
+def _bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch):
+            v, w = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), GROUPS) for c in ("vec", "vec2"))
+            n, n2 = batch["n"].to_numpy(), batch["n2"].to_numpy()
+            yield batch.loc[may_link(n, n2, overlap_bound(n, n2, v, w)), ["a", "b"]]
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one b together: its set is made once."""
+    last, t = None, np.zeros(0, np.uint64)
     for batch in _slices(batches):
-        cache: dict[int, np.ndarray] = {}
         good = []
-        for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
-            for k, t in ((a, x), (b, y)):
-                if k not in cache:
-                    cache[k] = shingles(t)
-            s, t = cache[a], cache[b]
-            both = np.intersect1d(s, t, assume_unique=True).size
-            good.append(bool(may_link(len(s), len(t), both)))
+        for b, x, y in zip(batch["b"], batch["text_a"], batch["text_b"], strict=True):
+            if b != last:
+                last, t = b, shingles(y)
+            s = shingles(x)
+            good.append(bool(may_link(len(s), len(t), np.intersect1d(s, t, assume_unique=True).size)))
         yield batch.loc[good, ["a", "b"]]
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts link. Texts of their documents alone are shuffled."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole texts link. Only texts of nodes in pairs are shuffled."""
     pairs = settle(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    n = pairs.count()
-    ids = F.broadcast(ids) if 2 * n <= BROADCAST_IDS else ids
-    # equal ids: the least text stands for all
-    known = texts(docs).join(ids, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    side = lambda x: known.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    return settle(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify, "a long, b long"), "links")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    of = settle(classes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("rep"), F.col("mark").alias("rep_mark")), "nodes")
+    # a row that stands for a node, wherever it lies; rows that repeat it are left out
+    own = picked(docs, of, (F.col("doc_id") == F.col("rep")) & (F.col("mark") == F.col("rep_mark"))).select("node", "text").dropDuplicates(["node"])
+    one = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = salted(one, own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b", "a", of=pairs)
+    links = settle(both.mapInPandas(_verify, "a long, b long"), "links")
+    forget(pairs, of)
+    return links
+
+
+def shared_filter(shared: DataFrame) -> np.ndarray:
+    """Bits of the hashes of ``shared`` (token), of one size whatever their number: at most 2 ** FILTER_BITS / 8 bytes."""
+    cell = F.col("token").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    parts = shared.groupBy(F.shiftright(cell, 15).cast("int").alias("at")).agg(F.bitmap_construct_agg(cell.bitwiseAND(F.lit(32767))).alias("bits")).toArrow()
+    out = np.zeros((1 << (FILTER_BITS - 15), 4096), np.uint8)
+    for at, bits in zip(parts["at"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        out[at] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _rows(bits):
+    """A row (node, n, token, prev) for each prefix element that the filter doesn't rule out."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mask = (1 << FILTER_BITS) - 1
+        for batch in _slices(batches):
+            size = np.fromiter(map(len, batch["prefix"]), np.int64, len(batch))
+            token = np.concatenate([*batch["prefix"], np.zeros(0, np.int64)]).astype(np.int64)
+            prev = np.concatenate([np.zeros(1, np.int64), token[:-1]])[: len(token)]
+            prev[(np.cumsum(size) - size)[size > 0]] = 0
+            cell = token & mask
+            keep = bits.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1 > 0
+            yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), size)[keep], "n": np.repeat(batch["n"].to_numpy(), size)[keep], "token": token[keep], "prev": prev[keep]})
 
-def link(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
+    return run
+
+
+def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs with marks -> all rows (doc_id, mark, n, f1, f2), frequent shingles, and a node for each distinct set that isn't
+    empty: node, size, and doc_id and mark of its least row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    first = settle(docs.mapInPandas(_sets, f"kind int, doc_id {kind}, mark long, n long, f1 long, f2 long"), "sets")
+    rows = first.filter("kind = 0").drop("kind")
+    own = rows.filter("doc_id is not null and n > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.count(F.lit(1)).alias("size"))
+    classes = settle(own.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "size", "least.doc_id", "least.mark"), "classes")
+    rows.settled_path = first.settled_path
+    return rows, first.filter("kind = 1").select("mark", "n"), classes
+
+
+def node_links(docs: DataFrame, frequent: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) that join all nodes that links join."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = settle(texts(docs).mapInPandas(_sets, "kind int, id long, n long, f1 long, f2 long"), "sets")
-    all_docs = first.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "f1", "f2")
-    known = all_docs.filter("doc_id is not null and n > 0")
-    classes = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    members = settle(known.join(classes, ["f1", "f2"]).select("doc_id", "n", "rep"), "members")
-    often = first.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).toArrow().to_pandas()
-    frequent = often["id"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    place = -np.arange(len(frequent))[order]  # the most frequent one is last of all
-    reps = members.filter("doc_id = rep").select("rep").distinct()
-    made = texts(docs).filter("doc_id is not null").mapInPandas(_points(frequent[order], place), "doc_id long, n long, vec binary, prefix array<long>")
-    points = settle(made.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "points")
-
-    # one leader for each document: of its buckets' least documents, the one that shares most of its prefix
-    each = F.transform("prefix", lambda x, i: F.struct(x.alias("token"), F.get("prefix", i - 1).alias("prev")))
-    rows = points.select("rep", "n", F.explode(each).alias("e")).select("rep", "n", "e.token", "e.prev")
-    shared = rows.groupBy("token").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    # buckets of several documents only: what comes after works on these
-    rows = settle(rows.join(shared, "token"), "buckets")
-    led = rows.filter("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("c"))
-    best = led.groupBy("rep").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
-    flat = points.select("rep", "n", "vec")
-    near = best.join(flat, "rep").join(flat.select(F.col("rep").alias("leader"), F.col("n").alias("n2"), F.col("vec").alias("vec2")), "leader")
-    links = verified(near.mapInPandas(_bounded, "a long, b long"), docs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    often = frequent.groupBy("mark").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "mark").limit(FREQUENT).toArrow().to_pandas()
+    known = often["mark"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    place = -np.arange(len(known))[order]  # the most frequent one is last of all
+    made = docs.filter("doc_id is not null").mapInPandas(_points(known[order], place), f"doc_id {kind}, mark long, n long, vec binary, prefix array<long>")
+    reps = classes.select("node", F.col("doc_id").alias("rep"), F.col("mark").alias("rep_mark"))
+    points = made.join(reps, (F.col("doc_id") == F.col("rep")) & (F.col("mark") == F.col("rep_mark"))).dropDuplicates(["doc_id", "mark"])
+    points = settle(points.select("node", "n", "vec", "prefix"), "points")
+
+    tokens = points.select("node", F.explode("prefix").alias("token"))
+    shared = settle(tokens.groupBy("token").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")
+    bits = spark.sparkContext.broadcast(shared_filter(shared))
+    sent = points.select("node", "n", "prefix").mapInPandas(_rows(bits), "node long, n long, token long, prev long")
+    # elements of several nodes only: what comes after works on these
+    sent = settle(sent, "sent")
+    rows = settle(salted(sent, shared, "token", "node"), "buckets")
+    forget(sent)
+    flat = points.select("node", "n", "vec")
+
+    # one leader for each node
+    led = rows.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
+    best = led.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
+    near = settle(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), "leaders")
+    side = lambda at, n, vec: flat.select(F.col("node").alias(at), F.col("n").alias(n), F.col("vec").alias(vec))
+    # the leader is b: rows of one leader are verified together
+    links = verified(salted(near.join(side("a", "n", "vec"), "a"), side("b", "n2", "vec2"), "b", "a", of=near).mapInPandas(_bounded, "a long, b long"), docs, classes)
     parts = components(links)
 
     # across those components, all pairs that the tree can't rule out
-    of = F.coalesce("component", "rep")
-    told = rows.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("token", "rep", "n", "prev", of.alias("comp"))
-    mixed = told.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2")
+    told = rows.join(parts.select(F.col("id").alias("node"), "component"), "node", "left").select("token", "node", "n", "prev", "size", F.coalesce("component", "node").alias("comp"))
+    told = settle(told, "told")
+    mixed = told.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("token")
     cells = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), cells).cast("int")
-    dealt = told.join(mixed.select("token", "size"), "token").withColumn("own", own)
+    dealt = salted(told, mixed, "token", "node").withColumn("own", F.pmod(F.xxhash64("node"), cells).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    # odd cells hold two chunks: pairs within one of them are met in that chunk's own cell
-    cell = 2 * (low * 65536 + high) + (low != high).cast("int")
-    dealt = dealt.select("token", cell.cast("long").alias("cell"), "rep", "n", "comp", F.coalesce("prev", F.lit(0)).alias("prev"), F.col("own").alias("side")).join(flat.select("rep", "vec"), "rep")
-    dealt = dealt.repartition("token", "cell").sortWithinPartitions("token", "cell", "n", "rep")
-    pairs = dealt.mapInPandas(_bucket_pairs, "a long, b long").distinct()
-    more = verified(pairs, docs)
-    final = components(links.union(more))
-    own_class = members.select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    placed = own_class.join(final, F.col("rep") == F.col("id"), "left").select(F.col("doc_id").alias("known_id"), F.coalesce("component", "rep").alias("component"))
-    out = all_docs.join(placed, F.col("doc_id") == F.col("known_id"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # odd cells hold two chunks
+    cell = 2 * (low.cast("long") * (1 << 30) + high) + (low != high).cast("long")
+    dealt = dealt.select("token", cell.alias("cell"), "node", "n", "comp", "prev", F.col("own").alias("side")).join(flat.select("node", "vec"), "node")
+    dealt = dealt.repartition("token", "cell").sortWithinPartitions("token", "cell")
+    more = verified(dealt.mapInPandas(_tree_pairs, "a long, b long").distinct(), docs, classes)
+    out = settle(links.union(more), "all-links")
+    forget(points, shared, rows, near, told, links, more, parts)
+    return out
 
 
-def _bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if len(batch):
-            v, w = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(len(batch), GROUPS) for c in ("vec", "vec2"))
-            n, n2 = batch["n"].to_numpy(), batch["n2"].to_numpy()
-            good = may_link(n, n2, overlap_bound(n, n2, v, w))
-            a, b = batch["rep"].to_numpy()[good], batch["leader"].to_numpy()[good]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def link(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
+    docs = texts(docs).withColumn("mark", F.xxhash64("text"))
+    rows, frequent, classes = classes_of(docs)
+    links = node_links(docs, frequent, classes)
+    # a doc_id with several sets joins their nodes
+    several = rows.filter("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("one"), F.max(F.struct("f1", "f2")).alias("two")).filter("one <> two").select("doc_id")
+    again = rows.filter("n > 0").join(several, "doc_id").select("doc_id", "f1", "f2").distinct().join(classes.select("f1", "f2", "node"), ["f1", "f2"])
+    again = settle(again.select("doc_id", "node"), "repeated-ids")
+    least = again.groupBy(F.col("doc_id").alias("of")).agg(F.min("node").alias("a"))
+    joined = settle(links.union(again.join(least, F.col("doc_id") == F.col("of")).select("a", F.col("node").alias("b")).filter("a <> b")), "all-links")
+    parts = components(joined)
+    # the least doc_id of each component that has several nodes, and of all others their own
+    placed = settle(classes.join(parts, F.col("node") == F.col("id"), "left").select("f1", "f2", "size", "doc_id", "component"), "placed")
+    least = placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = salted(placed.filter("component is not null").select("f1", "f2", "component"), least, "component", "f1").select("f1", "f2", "component_id")
+    ids = settle(linked.union(placed.filter("component is null").select("f1", "f2", F.col("doc_id").alias("component_id"))), "ids")
+    forget(links, again, joined, parts, placed, classes)
+    single = F.col("doc_id").isNull() | (F.col("n") == 0)
+    known = salted(rows.filter(~single), ids, ("f1", "f2"), "mark", "doc_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return known.union(rows.filter(single).select("doc_id", "n", "doc_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component, that of its least doc_id; documents without words stay as they are."""
+    """``docs`` with one row of each component, that of its least doc_id; documents without words or doc_id stay as they are. Of
+    rows with that least doc_id, each different text stays once."""
     names = docs.columns
-    chosen = settle(link(docs).filter("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("chosen_id")).distinct(), "kept")
+    linked = settle(link(docs), "linked")
+    gone = linked.filter("component_id <> doc_id").select("doc_id").distinct()
+    again = linked.filter("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id")
     whole = docs.select(F.col("doc_id").alias("own_id"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row_"))
-    kept = whole.join(chosen, F.col("own_id").eqNullSafe(F.col("chosen_id")), "left_semi")
-    # rows with one id are copies of each other
-    one = kept.filter("own_id is not null").dropDuplicates(["own_id"]).unionByName(kept.filter("own_id is null"))
-    return one.select("row_.*")
+    kept = picked(whole, settle(gone, "gone"), F.col("own_id") == F.col("doc_id"), "left_anti")
+    again = settle(again, "again")
+    if again.isEmpty():
+        return kept.select("row_.*")
+    once = picked(kept, again, F.col("own_id") == F.col("doc_id"), "left_anti")
+    several = picked(kept, again, F.col("own_id") == F.col("doc_id"), "left_semi").withColumn("text_", F.col("row_.text")).dropDuplicates(["own_id", "text_"])
+    return once.select("row_.*").unionByName(several.select("row_.*"))
 
 
 SQL = r"""
