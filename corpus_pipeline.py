@@ -41,7 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each remaining row, with the digests of ids and of what they decode to. Workers of the stages before
     still hold memory, so this one remembers less than the operator does alone."""
     share_code(spark)
-    return bpe.encode_documents(docs, keep_ids=True, states=50_000, pieces=120_000)
+    return bpe.encode_documents(docs, keep_ids=True, states=60_000, most=30 << 20)
 
 
 STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("secrets", secret_masking), ("mixing", source_mixing), ("tokens", tokens)]
