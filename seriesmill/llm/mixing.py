@@ -3,22 +3,23 @@
 Each source gets a target word total; every document of a source has the same expected number of takes
 r = target / source size (0 to 3). A document is taken floor(r) times for certain, and once more with probability
 frac(r). Those last takes are chosen by the cube method: a vector of inclusion probabilities walks through the null
-space of the balancing constraints (document total and word total) until each coordinate is 0 or 1, apart from two at
-most. The walk runs in blocks of a source, so that no task holds a whole source; the two open documents of each block
-meet in the next level's blocks, and the last level lands them.
+space of the balancing constraints (document total and word total) until each coordinate is 0 or 1, apart from a few of the
+smallest documents. Each step moves the largest open document, and the next ones in size make up for it, so what is left
+open at the end is small and landing moves few words. The walk runs in blocks of a source, so that no task holds a whole
+source; the open documents of each block meet in the next level's blocks, and the last level lands them.
 
 Defined cases: null text counts no words; a null source is a source of its own and comes last; a source without words
 has target 0; rows with equal ids and sizes are separate documents; an empty table gives an empty result; other columns
-are ignored. A walk meets its large documents first, so that those left open at its end are small and
-landing moves few words. Ties and draws come from hashes of ids, so reruns agree however the rows are dealt.
+are ignored. A source whose words lie in few documents can't come nearer than those allow. Ties and draws come from hashes of ids, so reruns agree however the rows are dealt.
 """
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, settle
@@ -27,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 MOST_TAKES = 3
 #: Documents that one walk holds on average.
 BLOCK = 2048
+#: Open documents that make up for the largest one's move.
+WINDOW = 64
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TAKES) -> DataFrame:
@@ -49,35 +52,61 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return per.select("source", "n", "source_size", F.least(cap, F.col("level") * F.col("weight")).alias("target"))
 
 
-def walk(pi: list[float], size: list[float], rng: random.Random, land: bool) -> list[float]:
-    """Flight of the cube method on constraints (1, size), three open coordinates at a time. ``land``: also settle the
-    last two, on the word total first, then by a plain draw."""
+def _direction(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A move of open documents that keeps their number and their words, the first one's by 1, the others' by what is left to
+    them; where the others can't make up for both, by their words alone; where not even that, a move without the first."""
+    room = p * (1 - p)
+    room[0] = 0.0
+    s0, s1, s2 = room.sum(), room @ size, room @ (size * size)
+    det = s0 * s2 - s1 * s1
+    if det > 1e-9 * s0 * s2:
+        a, b = (s2 - s1 * size[0]) / det, (s0 * size[0] - s1) / det
+        out = -room * (a + b * size)
+    elif s1 <= 0 < size[0]:  # only documents without words beside it
+        out = np.zeros(len(p))
+        out[1], out[2] = 1.0, -1.0
+        return out
+    else:
+        out = -room * (size[0] / s1 if size[0] else 1 / s0)
+    out[0] = 1.0
+    return out
+
+
+def walk(pi: np.ndarray, size: np.ndarray, rng: random.Random, land: bool) -> np.ndarray:
+    """Flight of the cube method on constraints (1, size) over documents in descending order of size, up to WINDOW open
+    ones at a time. ``land``: also settle the last two, on the word total first, then by a plain draw."""
     low, high = 1e-9, 1 - 1e-9
-    fresh = iter([i for i, p in enumerate(pi) if low < p < high])
-    pi = [0.0 if p <= low else 1.0 if p >= high else p for p in pi]
-    open_: list[int] = []
-
-    def step(direction: list[float]) -> None:
-        up = min((1 - pi[i]) / u if u > 0 else -pi[i] / u for i, u in zip(open_, direction, strict=True) if u)
-        down = min(pi[i] / u if u > 0 else (pi[i] - 1) / u for i, u in zip(open_, direction, strict=True) if u)
-        move = up if rng.random() * (up + down) < down else -down
-        for i, u in zip(open_, direction, strict=True):
-            p = pi[i] + move * u
-            pi[i] = 0.0 if p <= low else 1.0 if p >= high else p
-        open_[:] = [i for i in open_ if 0.0 < pi[i] < 1.0]
+    pi = np.where(pi <= low, 0.0, np.where(pi >= high, 1.0, pi))
+    fresh = np.flatnonzero((pi > 0) & (pi < 1))
+    at = min(WINDOW, len(fresh))
+    open_ = fresh[:at]
+    p, s = pi[open_], size[open_]
+
+    def step(u: np.ndarray) -> None:
+        nonlocal p, s, open_
+        moved = np.flatnonzero(np.abs(u) > 1e-300)
+        v, q = u[moved], p[moved]
+        up = float(np.min(np.where(v > 0, 1 - q, q) / np.abs(v)))
+        down = float(np.min(np.where(v > 0, q, 1 - q) / np.abs(v)))
+        p = p + u * (up if rng.random() * (up + down) < down else -down)
+        ended = (p <= low) | (p >= high)
+        if ended.any():
+            pi[open_[ended]] = (p[ended] > 0.5).astype(float)
+            p, s, open_ = p[~ended], s[~ended], open_[~ended]
 
     while True:
-        while len(open_) < 3 and (i := next(fresh, None)) is not None:
-            open_.append(i)
-        if len(open_) < 3:
+        if len(p) < WINDOW // 2 and at < len(fresh):
+            more = fresh[at : at + WINDOW - len(p)]
+            at += len(more)
+            open_, p, s = np.concatenate([open_, more]), np.concatenate([p, pi[more]]), np.concatenate([s, size[more]])
+        if len(p) < 3:
             break
-        a, b, c = (size[i] for i in open_)
-        step([c - b, a - c, b - a] if not a == b == c else [1.0, -1.0, 0.0])
-    if land and len(open_) == 2:
-        a, b = (size[i] for i in open_)
-        step([b, -a] if a and b else [1.0, -1.0])
-    if land and open_:
-        step([1.0] * len(open_))
+        step(_direction(p, s))
+    if land and len(p) == 2:
+        step(np.array([s[1], -s[0]]) if s[0] and s[1] else np.array([1.0, -1.0]))
+    while land and len(p):
+        step(np.eye(1, len(p))[0])
+    pi[open_] = p
     return pi
 
 
@@ -85,7 +114,7 @@ def _fly(seed: int, land_below: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable", na_position="first").reset_index(drop=True)
         rng = random.Random(f"{seed}|{pdf['source'].iat[0]}|{pdf['block'].iat[0]}|{len(pdf)}")
-        pdf["pi"] = walk(pdf["pi"].tolist(), pdf["size"].astype(float).tolist(), rng, bool(pdf["blocks"].iat[0] <= land_below))
+        pdf["pi"] = walk(pdf["pi"].to_numpy(float), pdf["size"].to_numpy(float), rng, bool(pdf["blocks"].iat[0] <= land_below))
         return pdf.drop(columns=["block", "blocks"])
 
     return run
@@ -126,14 +155,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TA
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: each row of ``docs`` repeated as often as ``mix`` takes it."""
+    """The mixed corpus itself: each row of ``docs`` repeated as often as ``mix`` takes it. Whole rows are shuffled once, to meet
+    their takes."""
     mixed = mix(docs, **options).groupBy("doc_id", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    names = docs.columns
+    mixed = settle(mixed, "mix-takes").withColumnsRenamed({"doc_id": "of_id", "size": "of_size"})
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    left = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("id_"), words.alias("size_"))
-    joined = left.join(mixed, F.col("id_").eqNullSafe(F.col("doc_id")) & (F.col("size_") == F.col("size")))
-    # equal rows of one id share their takes: the first ones get one more
-    nth = F.when(F.col("rows") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("id_", "size_").orderBy(F.xxhash64("row"))))
-    own = F.floor(F.col("copies") / F.col("rows")) + F.when(nth <= F.col("copies") % F.col("rows"), 1).otherwise(0)
-    repeated = joined.withColumn("own", own.cast("int")).filter("own > 0")
-    return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("nth")).select("row.*")
+    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), F.col("doc_id").alias("id_"), words.alias("size_"))
+    same = F.col("id_").eqNullSafe(F.col("of_id")) & (F.col("size_") == F.col("of_size"))
+
+    def repeated(rows: DataFrame, own: Column) -> DataFrame:
+        rows = rows.withColumn("own_", own.cast("int")).filter("own_ > 0")
+        return rows.select("row_", F.explode(F.sequence(F.lit(1), F.col("own_"))).alias("nth_")).select("row_.*")
+
+    several = mixed.filter("rows > 1")
+    if several.isEmpty():
+        return repeated(left.join(mixed, same), F.col("copies"))
+    # equal rows of one id share their takes: the first ones get one more. Which is first is drawn anew for each part of them,
+    # so that no task holds all rows of an id
+    part = F.pmod(F.xxhash64("row_"), F.ceil(F.col("rows") / F.lit(BLOCK))).cast("int")
+    apart = left.join(several, same).withColumn("part_", part)
+    share = apart.groupBy("of_id", "of_size", "part_").agg(F.count(F.lit(1)).alias("n_"), F.max("rows").alias("rows_"), F.max("copies").alias("copies_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy("of_id", "of_size").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = share.withColumn("before_", before).select(F.col("of_id").alias("share_id"), F.col("of_size").alias("share_size"), F.col("part_").alias("share_part"), "before_")
+    met = apart.join(share, F.col("of_id").eqNullSafe(F.col("share_id")) & (F.col("of_size") == F.col("share_size")) & (F.col("part_") == F.col("share_part")))
+    nth = F.col("before_") + F.row_number().over(Window.partitionBy("of_id", "of_size", "part_").orderBy(F.xxhash64("row_")))
+    shared = repeated(met, F.floor(F.col("copies") / F.col("rows")) + F.when(nth <= F.col("copies") % F.col("rows"), 1).otherwise(0))
+    return repeated(left.join(mixed.filter("rows = 1"), same), F.col("copies")).unionByName(shared)
