@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, settle, texts
@@ -291,7 +291,9 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = settle(docs.mapInPandas(_sets, f"kind int, doc_id {kind}, mark long, n long, f1 long, f2 long"), "sets")
     rows = first.filter("kind = 0").drop("kind")
     own = rows.filter("doc_id is not null and n > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.count(F.lit(1)).alias("size"))
-    classes = settle(own.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "size", "least.doc_id", "least.mark"), "classes")
+    # nodes in order of doc_id: the least document of near copies, most often what they were copied from, leads them
+    own = own.select("f1", "f2", "size", "least.doc_id", "least.mark").orderBy("doc_id", "mark")
+    classes = settle(own.withColumn("node", F.monotonically_increasing_id()), "classes")
     rows.settled_path = first.settled_path
     return rows, first.filter("kind = 1").select("mark", "n"), classes
 
@@ -315,7 +317,14 @@ def node_links(docs: DataFrame, frequent: DataFrame, classes: DataFrame) -> Data
     sent = points.select("node", "n", "prefix").mapInPandas(_rows(bits), "node long, n long, token long, prev long")
     # elements of several nodes only: what comes after works on these
     sent = settle(sent, "sent")
-    rows = settle(salted(sent, shared, "token", "node"), "buckets")
+    # of an element's points in order of size, only those stay that have a neighbour near enough in size; the least node of each
+    # run of such neighbours leads it. Elements that are dealt to several tasks keep all points and one leader
+    met = salted(sent, shared, "token", "node", keep=True)
+    by_size = Window.partitionBy("token", "salt_").orderBy("n")
+    met = met.withColumn("run", F.sum(F.when(PERCENT * F.col("n") <= 100 * F.lag("n").over(by_size), 0).otherwise(1)).over(by_size))
+    run, hot = Window.partitionBy("token", "salt_", "run"), F.col("copies_") > 1
+    met = met.withColumns({"in_run": F.count(F.lit(1)).over(run), "leads": F.min("node").over(run)}).filter(hot | (F.col("in_run") > 1))
+    rows = settle(met.select("token", "node", "n", "prev", "size", F.when(hot, F.col("leader")).otherwise(F.col("leads")).alias("leader")), "buckets")
     forget(sent)
     flat = points.select("node", "n", "vec")
 

@@ -14,20 +14,24 @@ HOT, HOT_KEYS = 256, 100_000
 FEW = 1_000_000
 
 
-def salted(left: DataFrame, right: DataFrame, key: str | tuple[str, ...], *by: str, of: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+def salted(left: DataFrame, right: DataFrame, key: str | tuple[str, ...], *by: str, of: DataFrame | None = None, hot: int = HOT, keep: bool = False) -> DataFrame:
     """The inner join of ``left`` with ``right``, whose keys are distinct. Rows of a key that ``left`` has more than ``hot``
     times are dealt by ``by`` to as many tasks as needed, each with a copy of the right row. ``of``: a settled table with the
-    keys of ``left`` as often as there, to count them by; else ``left`` is read for that."""
+    keys of ``left`` as often as there, to count them by; else ``left`` is read for that. ``keep``: leave the dealing's number
+    (salt_) in, and the number of tasks that the key's rows are dealt to (copies_)."""
     keys, of = [key] if isinstance(key, str) else list(key), left if of is None else of
     hot = max(hot, -(-of.count() // HOT_KEYS))
     copies = F.ceil(F.col("rows_") / F.lit(hot)).cast("int")
     many = settle(of.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_")).filter(F.col("rows_") > hot).select(*keys, copies.alias("copies_")), "hot-keys")
     if many.isEmpty():
-        return left.join(right, keys)
+        plain = left.join(right, keys)
+        return plain.withColumns({"salt_": F.lit(0), "copies_": F.lit(1)}) if keep else plain
     many = F.broadcast(many)
     own = F.coalesce("copies_", F.lit(1))
     dealt = left.join(many, keys, "left").withColumn("salt_", F.pmod(F.xxhash64(*by), own).cast("int")).drop("copies_")
     spread = right.join(many, keys, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), own - 1))).drop("copies_")
+    if keep:
+        return dealt.join(right.join(many, keys, "left").withColumn("copies_", own).withColumn("salt_", F.explode(F.sequence(F.lit(0), own - 1))), [*keys, "salt_"])
     return dealt.join(spread, [*keys, "salt_"]).drop("salt_")
 
 
