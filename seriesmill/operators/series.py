@@ -98,42 +98,63 @@ def inflection(df: DataFrame, keys: Sequence[str] = KEYS, v: str = "value", meth
     return inner.groupBy(*keys).agg(F.min_by(F.struct("evidence_id", "ts", v, "deviation"), best).alias("r")).select(*keys, "r.*")
 
 
-def trend_anchors(df: DataFrame, most: int = 2, gap_days: float = 14.0, keys: Sequence[str] = KEYS, v: str = "value") -> DataFrame:
-    """Baseline, endpoint and inflection, then up to ``most`` milestones that lie at least ``gap_days`` from each of
-    them, farthest from the chord first."""
+def trend_anchors(df: DataFrame, most: int = 5, gap_days: float = 14.0, keys: Sequence[str] = KEYS, v: str = "value") -> DataFrame:
+    """Baseline, endpoint and inflection, then milestones that lie at least ``gap_days`` from each of them, those farthest in
+    time first, until the series has ``most`` rows. A lone row is a single_observation; two are baseline and endpoint."""
     ends = _ends(df, keys, v).withColumn("deviation", F.round(chord_deviation(v), 6))
     by = F.struct(-F.col("deviation"), F.col("ts"), F.col("evidence_id"))
     inner = (F.col("rn") > 1) & (F.col("rn") < F.col("n"))
-    turn = F.min(F.when(inner, by.withField("d", F.col("d")))).over(whole(keys))
+    turn = F.min(F.when(inner & (F.col("deviation") > 0), by.withField("d", F.col("d")))).over(whole(keys))
     at = ends.withColumn("turn", turn)
-    near = F.least(F.abs(F.col("d") - F.col("d0")), F.abs(F.col("d") - F.col("d1")), F.abs(F.col("d") - F.col("turn.d")))
+    near = F.round(F.least(F.abs(F.col("d") - F.col("d0")), F.abs(F.col("d") - F.col("d1")), F.abs(F.col("d") - F.col("turn.d"))), 6)
     is_turn = F.coalesce(F.col("turn.evidence_id") == F.col("evidence_id"), F.lit(False)) & inner
-    role = F.when(F.col("rn") == 1, "baseline").when(F.col("rn") == F.col("n"), "endpoint").when(is_turn, "inflection").when(near >= gap_days, "milestone")
-    told = at.withColumn("role", role).filter("role is not null")
-    place = F.row_number().over(Window.partitionBy(*keys, "role").orderBy(F.desc("deviation"), "ts", "evidence_id"))
-    kept = told.withColumn("place", place).filter((F.col("role") != "milestone") | (F.col("place") <= most))
+    role = (
+        F.when(F.col("n") == 1, "single_observation").when(F.col("rn") == 1, "baseline").when(F.col("rn") == F.col("n"), "endpoint")
+        .when(is_turn, "inflection_point").when(near >= gap_days, "intermediate_milestone")
+    )
+    told = at.withColumns({"role": role, "near": near}).filter("role is not null")
+    place = F.row_number().over(Window.partitionBy(*keys, "role").orderBy(F.desc("near"), "ts", "evidence_id"))
+    slots = most - 2 - F.col("turn").isNotNull().cast("int")
+    kept = told.withColumn("place", place).filter((F.col("role") != "intermediate_milestone") | (F.col("place") <= slots))
     return kept.select(*keys, "evidence_id", "ts", v, "role")
 
 
-def trajectory_features(df: DataFrame, keys: Sequence[str] = KEYS, v: str = "value", flat: float = 0.05) -> DataFrame:
-    """One row per series: count, first and last time and value, span, change, slope per day, direction, share of steps in
-    that direction, monotonicity, extremes. One shuffle: the window and the aggregate share their keys."""
-    df = df.filter(F.col(v).isNotNull()).withColumn("d", days())
-    step = F.col(v) - F.lag(v).over(ordered(keys))
+def trajectory_features(df: DataFrame, keys: Sequence[str] = KEYS, v: str = "value", tolerance: float = 1e-4) -> DataFrame:
+    """One row per series: rows, first and last time and span of all of them; of those with a value, the first and last value,
+    extremes, change, change by the size of the first, change per day between the ends, direction, share of steps in that
+    direction, signed share of rises less falls, and the row farthest from the chord. Steps and changes within ``tolerance``
+    are flat. A single value is stable; without any the direction is insufficient_data. A column ``unit`` gives each series'
+    first unit. One shuffle: windows and aggregate share their keys."""
+    df = df.withColumns({"d": days(), "has": F.col(v).isNotNull()})
+    run = ordered(keys).rowsBetween(Window.unboundedPreceding, 0)
+    full = ordered(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edge = lambda f, c: f(F.when(F.col("has"), F.col(c)), ignorenulls=True).over(full)
+    df = df.withColumns({
+        "step": F.col(v) - F.last(v, ignorenulls=True).over(ordered(keys).rowsBetween(Window.unboundedPreceding, -1)), "k": F.count(v).over(run), "m": F.count(v).over(full),
+        "d0": edge(F.first, "d"), "d1": edge(F.last, "d"), "v0": edge(F.first, v), "v1": edge(F.last, v),
+    })
+    inner = F.col("has") & (F.col("k") > 1) & (F.col("k") < F.col("m"))
+    off = F.when(inner, F.round(chord_deviation(v), 6))
     at = F.struct("ts", "evidence_id")
-    agg = df.withColumn("step", step).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min_by(v, at).alias("baseline"), F.max_by(v, at).alias("latest"),
-        F.min(v).alias("low"), F.max(v).alias("high"), F.regr_slope(v, "d").alias("slope"), F.count_if(F.col("step") > 0).alias("ups"), F.count_if(F.col("step") < 0).alias("downs"),
+    unit = [F.min_by("unit", F.when(F.col("unit").isNotNull(), at)).alias("unit")] if "unit" in df.columns else []
+    agg = df.withColumn("off", off).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max("m").alias("m"), F.max("d0").alias("d0"), F.max("d1").alias("d1"),
+        F.max("v0").alias("baseline"), F.max("v1").alias("latest"), F.min(v).alias("low"), F.max(v).alias("high"),
+        F.count_if(F.col("step") > tolerance).alias("ups"), F.count_if(F.col("step") < -tolerance).alias("downs"),
+        F.min_by("evidence_id", F.when(F.col("off") > 0, F.struct(-F.col("off"), F.col("ts"), F.col("evidence_id")))).alias("turn"), F.max("off").alias("off"), *unit,
     )
-    delta = F.col("latest") - F.col("baseline")
-    relative = F.when(F.col("baseline") != 0, delta / F.abs("baseline"))
-    direction = F.when(F.col("n") < 2, "insufficient").when(F.abs(F.coalesce(relative, delta)) < flat, "stable").when(delta > 0, "rising").otherwise("falling")
-    steps = F.col("n") - 1
-    along = F.when(delta >= 0, F.col("ups")).otherwise(F.col("downs"))
-    return agg.select(
-        *keys, "n", "first_ts", "last_ts", F.round((micros("last_ts") - micros("first_ts")) / F.lit(DAY * 1e6), 4).alias("span_days"), "baseline", "latest", "low", "high",
-        F.round(delta, 4).alias("delta"), F.round(relative, 4).alias("relative_change"), F.round(F.coalesce("slope", F.lit(0.0)), 4).alias("slope_per_day"), direction.alias("direction"),
-        F.round(F.when(steps > 0, along / steps).otherwise(0.0), 4).alias("consistency"), ((F.col("ups") == 0) | (F.col("downs") == 0)).alias("monotone"),
+    one, none = F.col("m") == 1, F.col("m") == 0
+    agg = agg.withColumn("delta", F.round(F.col("latest") - F.col("baseline"), 6)).withColumn("steps", F.col("m") - 1)
+    relative = F.when(F.abs("baseline") > 1e-9, F.round(F.col("delta") / F.abs("baseline"), 6)).when(F.abs("latest") <= 1e-9, 0.0)
+    slope = F.when(F.col("d1") > F.col("d0"), F.round(F.col("delta") / (F.col("d1") - F.col("d0")), 6)).when(~none, 0.0)
+    direction = F.when(none, "insufficient_data").when(F.col("delta") > tolerance, "increasing").when(F.col("delta") < -tolerance, "decreasing").otherwise("stable")
+    along = F.when(F.col("direction") == "increasing", F.col("ups")).when(F.col("direction") == "decreasing", F.col("downs")).otherwise(F.col("steps") - F.col("ups") - F.col("downs"))
+    share = lambda c: F.when(none, 0.0).when(one, 1.0).otherwise(F.round(c / F.col("steps"), 4))
+    net = F.when(F.col("ups") + F.col("downs") == 0, F.col("steps")).otherwise(F.col("ups") - F.col("downs"))
+    span = F.round((micros("last_ts") - micros("first_ts")) / F.lit(DAY * 1e6), 2)
+    return agg.withColumn("direction", direction).select(
+        *keys, "n", "first_ts", "last_ts", span.alias("span_days"), "baseline", "latest", "low", "high", "delta", relative.alias("relative_change"), slope.alias("slope_per_day"), "direction",
+        share(along).alias("consistency"), share(net).alias("monotonicity"), F.col("turn").alias("inflection_id"), F.coalesce("off", F.lit(0.0)).alias("inflection_deviation"), *(["unit"] if unit else []),
     )
 
 
@@ -156,15 +177,23 @@ def robust_z(df: DataFrame, keys: Sequence[str] = KEYS, v: str = "value") -> Dat
     return mid.join(off, list(keys)).select(*keys, F.round(z, 4).alias("robust_z"))
 
 
-def zscore_trend(df: DataFrame, keys: Sequence[str] = KEYS, v: str = "value", steep: float = 0.1) -> DataFrame:
-    """z of the last value against the whole series, and the slope per step in deviations: rising, falling or stable;
-    fewer than three values are insufficient."""
-    df = df.filter(F.col(v).isNotNull()).withColumn("i", F.row_number().over(ordered(keys)).cast("double"))
-    agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max_by(v, "i").alias("last"), F.regr_slope(v, "i").alias("slope"))
-    z = F.when(F.col("std") > 0, (F.col("last") - F.col("mean")) / F.col("std")).otherwise(0.0)
-    s = F.when(F.col("std") > 0, F.col("slope") / F.col("std")).otherwise(0.0)
-    trend = F.when(F.col("n") < 3, "insufficient").when(s > steep, "rising").when(s < -steep, "falling").otherwise("stable")
-    return agg.select(*keys, "n", F.round(z, 4).alias("z"), F.round(s, 4).alias("slope_sd"), trend.alias("trend"))
+def zscore_trend(df: DataFrame, keys: Sequence[str] = KEYS, v: str = "value", steep: float = 0.25, limit: float = 2.0) -> DataFrame:
+    """z of the last value against the whole series with its mean and deviation, how many of the last values in a row are
+    farther than ``limit`` deviations, and the trend: slope per step in deviations above ``steep`` rises, below -``steep``
+    falls. Fewer than three values are insufficient_data, without figures."""
+    full = whole(keys)
+    df = df.filter(F.col(v).isNotNull()).withColumns({"i": F.row_number().over(ordered(keys)).cast("double"), "mean": F.avg(v).over(full), "std": F.stddev_pop(v).over(full)})
+    df = df.withColumn("z", F.when(F.col("std") > 0, (F.col(v) - F.col("mean")) / F.col("std")).otherwise(0.0))
+    agg = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.max("mean").alias("mean"), F.max("std").alias("std"), F.max_by("z", "i").alias("z"), F.regr_slope(v, "i").alias("slope"),
+        F.max(F.when(F.abs(F.round("z", 9)) <= limit, F.col("i"))).alias("near"),
+    )
+    few = F.col("n") < 3
+    s = F.round(F.when(F.col("std") > 0, F.col("slope") / F.col("std")).otherwise(0.0), 9)
+    trend = F.when(few, "insufficient_data").when(s > steep, "rising").when(s < -steep, "falling").otherwise("stable")
+    told = lambda c, digits: F.when(~few, F.round(c, digits)).alias(c)
+    streak = F.when(few, 0).otherwise(F.col("n") - F.coalesce("near", F.lit(0.0))).cast("long")
+    return agg.select(*keys, "n", trend.alias("trend"), told("z", 3), told("mean", 4), told("std", 4), streak.alias("streak"))
 
 
 def trailing_streak(df: DataFrame, limit: float = 2.0, keys: Sequence[str] = KEYS, v: str = "value") -> DataFrame:
@@ -214,25 +243,43 @@ def cusum(df: DataFrame, k: float = 0.5, h: float = 4.0, keys: Sequence[str] = K
     return df.select(*keys, F.round("s_up", 4).alias("s_up"), F.round("s_down", 4).alias("s_down"), size.alias("magnitude"), (size > h).alias("alarm"))
 
 
-def monitor(df: DataFrame, z_limit: float = 3.0, k: float = 0.5, h: float = 4.0, keys: Sequence[str] = KEYS, v: str = "value") -> DataFrame:
-    """Alarm where the last value's causal z or the CUSUM passes its limit; score in [-1, 1], sign of the z; short series say so."""
-    z = latest(causal_z(df, keys, v, 9), keys).select(*keys, "z")
-    c = cusum(df, k, h, keys, v, 9).select(*keys, "magnitude", F.col("alarm").alias("cusum_alarm"))
-    n = df.filter(F.col(v).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    out = n.join(z, list(keys), "left").join(c, list(keys), "left")
-    by_z, by_c = F.coalesce(F.abs("z") > z_limit, F.lit(False)), F.coalesce("cusum_alarm", F.lit(False))
-    strength = F.greatest(F.least(F.abs(F.coalesce("z", F.lit(0.0))) / (2 * z_limit), F.lit(1.0)), F.least(F.coalesce("magnitude", F.lit(0.0)) / (2 * h), F.lit(1.0)))
-    sign = F.when(F.coalesce("z", F.lit(0.0)) < 0, -1.0).otherwise(1.0)
-    triggers = F.concat_ws("+", F.when(by_z, F.lit("z")), F.when(by_c, F.lit("cusum")))
-    few = F.col("n") < 3
-    return out.select(*keys, "n", F.when(few, False).otherwise(by_z | by_c).alias("alarm"), F.when(few, 0.0).otherwise(F.round(sign * strength, 4)).alias("score"), F.when(few, "insufficient").otherwise(triggers).alias("triggers"))
+def monitor(df: DataFrame, z_limit: float = 2.0, step_limit: float = 0.25, k: float = 0.5, h: float = 4.0, keys: Sequence[str] = KEYS, v: str = "value") -> DataFrame:
+    """The last value of each series against those before it: causal z, change against the value before by its size, and the
+    two-sided CUSUM. Each may be a trigger; z or CUSUM raise the alarm, the change alone doesn't. The score runs from 1,
+    nothing unusual, to -1 by the strongest of the three. Series of fewer than three values score 0. All windows of a series share one
+    shuffle."""
+    run, full = ordered(keys).rowsBetween(Window.unboundedPreceding, 0), whole(keys)
+    df = df.filter(F.col(v).isNotNull()).withColumns({"rn": F.row_number().over(ordered(keys)), "n": F.count(F.lit(1)).over(full), "before": F.lag(v).over(ordered(keys))})
+    past = F.when(F.col("rn") < F.col("n"), F.col(v))
+    df = df.withColumns({"mean": F.avg(past).over(full), "std": F.stddev_pop(past).over(full)})
+    df = df.withColumn("unit_z", F.when(F.col("std") > 1e-12, (F.col(v) - F.col("mean")) / F.col("std")).otherwise(0.0))
+    df = df.withColumns({"up": F.sum(F.col("unit_z") - k).over(run), "down": F.sum(-F.col("unit_z") - k).over(run)})
+    side = lambda c: F.col(c) - F.least(F.lit(0.0), F.min(c).over(run))
+    df = df.withColumn("size", F.round(F.greatest(side("up"), side("down")), 9)).filter("rn = n")
+    step = (F.col(v) - F.col("before")) / F.greatest(F.abs("before"), F.lit(1e-6))
+    df = df.withColumns({"few": F.col("n") < 3, "z": F.round("unit_z", 9), "step": F.round(step, 9)})
+    flat = F.col("std") <= 1e-12
+    by_z, by_step, by_sum = F.abs("z") >= z_limit, F.abs("step") >= step_limit, ~flat & (F.col("size") > h)
+    strength = F.greatest(F.least(F.abs("z") / 3, F.lit(1.0)), F.least(F.abs("step") / (2 * step_limit), F.lit(1.0)), F.when(flat, 0.0).otherwise(F.least(F.col("size") / h, F.lit(1.0))))
+    triggers = F.concat_ws("+", F.when(by_z, F.lit("causal_z")), F.when(by_step, F.lit("pct_delta")), F.when(by_sum, F.lit("cusum")))
+    unless = lambda c, short=None: F.when(F.col("few"), F.lit(short)).otherwise(c)
+    return df.select(
+        *keys, "n", unless(by_z | by_sum, False).alias("alarm"), unless(F.round(1 - 2 * strength, 4), 0.0).alias("score"), unless(F.lit("statistical_monitor"), "zscore_fallback").alias("method"),
+        unless(F.round("z", 4)).alias("causal_z"), unless(F.round("step", 4)).alias("pct_delta"), unless(by_sum, False).alias("cusum_alarm"), unless(triggers, "").alias("triggers"),
+    )
 
 
-def detect(df: DataFrame, keys: Sequence[str] = KEYS, v: str = "value") -> DataFrame:
-    """Trend and monitor side by side, with a sentence."""
+def detect(df: DataFrame, keys: Sequence[str] = KEYS, v: str = "value", low: float | None = None, high: float | None = None) -> DataFrame:
+    """Trend and monitor side by side, with a sentence; outside the usual range ``low`` to ``high`` the sentence notes it, which
+    raises no alarm."""
     both = zscore_trend(df, keys, v).join(monitor(df, keys=keys, v=v).drop("n"), list(keys))
-    text = F.format_string("%s: %s after %d values%s", F.col(keys[-1]), F.col("trend"), F.col("n"), F.when(F.col("alarm"), F.concat(F.lit(", alarm by "), "triggers")).otherwise(""))
-    return both.select(*keys, "trend", "z", "alarm", "score", text.alias("summary"))
+    note = F.lit("")
+    if low is not None and high is not None:
+        both = both.join(latest(df.filter(F.col(v).isNotNull()), keys).select(*keys, F.col(v).alias("last_value")), list(keys))
+        note = F.when((F.col("last_value") < low) | (F.col("last_value") > high), f", outside the range {low:g} to {high:g}").otherwise("")
+    alarm = F.when(F.col("alarm"), F.concat(F.lit(", alarm by "), "triggers")).otherwise("")
+    text = F.concat(F.format_string("%s: %s after %d values", F.col(keys[-1]), F.col("trend"), F.col("n")), alarm, note)
+    return both.select(*keys, "trend", "z", "streak", "alarm", "score", text.alias("summary"))
 
 
 def lag_features(df: DataFrame, keys: Sequence[str] = KEYS, v: str = "value") -> DataFrame:
@@ -276,15 +323,15 @@ def trajectory_roles(df: DataFrame, keys: Sequence[str] = KEYS, v: str = "value"
 
 
 def temporal_score(df: DataFrame, operator: str, keys: Sequence[str] = KEYS, n: int = 3, start: str | None = None, end: str | None = None) -> DataFrame:
-    """How well a row's time fits an operator: latest 1/(1 + 2 d) by rank d, last_n max(0.8, 1 - 0.05 r) within n, previous
-    1 for the row before last and 0.5 for the last, window 1 inside, trend 1, any other 0.5."""
+    """How well a row's time fits an operator: latest 1/(1 + 2 d) by rank d, last_n max(0.8, 1 - 0.05 r) within n and 0.1 for older rows, previous
+    1 for the row before last and 0.5 for the last (a lone row 1), window 1 inside, trend 1, any other 0.5."""
     d = F.row_number().over(newest(keys)) - 1
     day = F.to_date("ts")
     inside = day.between(F.lit(start).cast("date"), F.lit(end).cast("date")) if start else F.lit(True)
     score = {
         "latest": 1.0 / (1.0 + 2.0 * d),
-        "last_n": F.when(d < n, F.greatest(F.lit(0.8), 1.0 - 0.05 * d)).otherwise(0.0),
-        "previous": F.when(d == 1, 1.0).when(d == 0, 0.5).otherwise(0.0),
+        "last_n": F.when(d < n, F.greatest(F.lit(0.8), 1.0 - 0.05 * d)).otherwise(0.1),
+        "previous": F.when((d == 1) | (F.count(F.lit(1)).over(whole(keys)) == 1), 1.0).when(d == 0, 0.5).otherwise(0.0),
         "window": F.when(inside, 1.0).otherwise(0.0),
         "trend": F.lit(1.0),
     }.get(operator, F.lit(0.5))

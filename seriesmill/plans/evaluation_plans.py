@@ -75,7 +75,7 @@ def _ablated(t):
 _S = "with s as (select user_id, event_type, max(value) > 250 as y, avg(value) > 70 as a, max(value) > 200 as b from events group by 1, 2), m as (select 'mean' as method, y, a as g from s union all select 'max', y, b from s), c as (select method, count(*) filter (where y and g) as tp, count(*) filter (where not y and g) as fp, count(*) filter (where y and not g) as fn, count(*) filter (where not y and not g) as tn from m group by 1), r as (select method, round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn)::double else 0 end, 6) as f1, round(1 - round(case when tn + fp > 0 then tn / (tn + fp)::double else 0 end, 6), 6) as far from c)"
 _add("e18_ablation", _ablated, f"{_S} select r.*, r.f1 - b.f1 >= 0.02 and r.far - b.far <= 0.05 as promoted from r, (select f1, far from r where method = 'mean') b")
 _add("e19_answer_rates", lambda t: ev.answer_rates(t("conversations").filter("role = 'assistant'"), "text", F.col("text").contains("http"), ["the", "und"], F.col("text").contains("!!")), "select round(avg((contains(lower(text), 'the') or contains(lower(text), 'und'))::int), 6) as keyword, round(avg(contains(text, 'http')::int), 6) as cited, round(avg(contains(text, '!!')::int), 6) as tone_broken from conversations where role = 'assistant'")
-_add("w10_feature_summary", lambda t: ev.feature_summary(t.events(), 4).select("patient_id", "analyte", "n", "baseline", "latest", "delta"), "@events, l as (select *, row_number() over (partition by patient_id, analyte order by ts desc, evidence_id desc) as rn from o) select patient_id, analyte, count(*) as n, arg_min(value, (ts, evidence_id)) as baseline, arg_max(value, (ts, evidence_id)) as latest, round(arg_max(value, (ts, evidence_id)) - arg_min(value, (ts, evidence_id)), 4) as delta from l where rn <= 4 and value is not null group by 1, 2")
+_add("w10_feature_summary", lambda t: ev.feature_summary(t.events(), 4).select("patient_id", "analyte", "n", "baseline", "latest", "delta"), "@events, l as (select *, row_number() over (partition by patient_id, analyte order by ts desc, evidence_id desc) as rn from o) select patient_id, analyte, count(*) as n, arg_min(value, (ts, evidence_id)) as baseline, arg_max(value, (ts, evidence_id)) as latest, round(arg_max(value, (ts, evidence_id)) - arg_min(value, (ts, evidence_id)), 6) as delta from l where rn <= 4 and value is not null group by 1, 2")
 _add("m12_scaled_contributions", lambda t: ev.scaled_contributions(t("lineitem"), _C, _K, 1).groupBy("feature").agg(F.count(F.lit(1)).alias("n")), f"with {_ST}, s as (select " + ", ".join(f"round(({c} - m_{c}) / i_{c}, 6) as {c}" for c in _C) + " from lineitem, q) select case when abs(l_discount) >= abs(l_extendedprice) and abs(l_discount) >= abs(l_quantity) then 'l_discount' when abs(l_extendedprice) >= abs(l_quantity) then 'l_extendedprice' else 'l_quantity' end as feature, count(*) as n from s group by 1")
 _add("x10_normalise_units", lambda t: ev.normalise_units(t("part").select("p_partkey", "p_brand", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" "))).otherwise(" ").alias("unit")), t("part").groupBy("p_brand").agg(F.min("p_type").alias("unit")), "p_brand").select("p_partkey", "unit"),
      "select p_partkey, case when p_size % 2 = 0 then p_size::varchar else m end as unit from part join (select p_brand, min(p_type) as m from part group by 1) using (p_brand)")

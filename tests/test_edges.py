@@ -34,9 +34,9 @@ def test_previous_keeps_a_single_row_as_primary(obs):
 
 def test_zero_baseline_has_no_relative_change(obs):
     got = {(r["patient_id"], r["analyte"]): r for r in series.trajectory_features(obs).collect()}
-    assert got["a", "x"]["relative_change"] is None and got["a", "x"]["direction"] == "rising"
-    assert got["a", "y"]["direction"] == "insufficient"
-    assert got["b", "x"]["direction"] == "stable" and got["b", "x"]["n"] == 2
+    assert got["a", "x"]["relative_change"] is None and got["a", "x"]["direction"] == "increasing"
+    assert (got["a", "y"]["direction"], got["a", "y"]["consistency"], got["a", "y"]["monotonicity"]) == ("stable", 1.0, 1.0)
+    assert got["b", "x"]["direction"] == "stable" and got["b", "x"]["n"] == 3  # rows without a value count
 
 
 def test_inflection_is_the_farthest_interior_point(obs):
@@ -103,3 +103,41 @@ def test_terms_map_to_the_nearest_alias_or_stay_unknown(spark):
     raw = spark.createDataFrame([(1, "HEMOGLOBIN"), (2, "hemoglobine"), (3, "creatinin"), (4, "zzz")], "id int, name string")
     got = {r["id"]: r["label"] for r in extraction.normalise_terms(raw, vocabulary).collect()}
     assert got == {1: "Hb", 2: "Hb", 3: "Cr", 4: "unknown"}
+
+
+def told(spark, obs, values):
+    return spark.createDataFrame([("p", "x", T(i + 1), v, i) for i, v in enumerate(values)], obs.schema)
+
+
+def test_trajectory_by_hand(obs, spark):
+    got = series.trajectory_features(told(spark, obs, [10.0, 10.2, 9.8, 10.4])).first()
+    assert (got["direction"], got["delta"], got["relative_change"], got["slope_per_day"]) == ("increasing", 0.4, 0.04, pytest.approx(0.133333))
+    # two rises, one fall; farthest from the line between the ends is the third value
+    assert (got["consistency"], got["monotonicity"], got["inflection_id"]) == (0.6667, 0.3333, 2)
+    flat = series.trajectory_features(told(spark, obs, [5.0, 5.0, 5.0])).first()
+    assert (flat["direction"], flat["consistency"], flat["monotonicity"], flat["inflection_id"], flat["inflection_deviation"]) == ("stable", 1.0, 1.0, None, 0.0)
+
+
+def test_monitor_by_hand(obs, spark):
+    # the past has mean 10 and deviation 0.1414, so the last value's z is 2.83, and its score 1 - 2 * 2.83 / 3
+    got = series.monitor(told(spark, obs, [10.0, 10.2, 9.8, 10.0, 10.4])).first()
+    assert got["alarm"] and got["triggers"] == "causal_z" and got["causal_z"] == pytest.approx(2.8284, abs=1e-4) and got["score"] == pytest.approx(-0.8856, abs=1e-4)
+    # a flat past: the change alone is a trigger, but no alarm
+    got = series.monitor(told(spark, obs, [10.0, 10.0, 10.0, 14.0])).first()
+    assert (got["alarm"], got["triggers"], got["causal_z"], got["pct_delta"], got["score"]) == (False, "pct_delta", 0.0, 0.4, pytest.approx(-0.6))
+    got = series.monitor(told(spark, obs, [10.0, 99.0])).first()
+    assert (got["alarm"], got["score"], got["method"]) == (False, 0.0, "zscore_fallback")
+
+
+def test_zscore_trend_by_hand(obs, spark):
+    got = series.zscore_trend(told(spark, obs, [1.0, 2.0, 3.0])).first()
+    assert (got["trend"], got["z"], got["mean"], got["std"], got["streak"]) == ("rising", 1.225, 2.0, 0.8165, 0)
+    got = series.zscore_trend(told(spark, obs, [1.0, 2.0])).first()
+    assert (got["trend"], got["z"], got["streak"]) == ("insufficient_data", None, 0)
+
+
+def test_anchors_fill_the_slots_farthest_in_time_first(obs, spark):
+    day = [1, 20, 40, 41, 60, 80, 120]
+    rows_ = [("p", "x", T(1) + datetime.timedelta(days=d), 50.0 if k == 2 else 1.0, k) for k, d in enumerate(day)]
+    got = rows(series.trend_anchors(spark.createDataFrame(rows_, obs.schema)), "evidence_id", "role")
+    assert got == [(0, "baseline"), (2, "inflection_point"), (4, "intermediate_milestone"), (5, "intermediate_milestone"), (6, "endpoint")]
