@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -89,6 +90,18 @@ _OCTETS = re.compile(rf"(?<![0-9]){_OCTET}(?:(?:\.|{_DOT}){_OCTET}){{3}}", re.IG
 _OCTET_PART = re.compile(rf"({_DOT})|(\.)|([0-9]+)|[A-Za-z]+", re.IGNORECASE)
 _BETWEEN_DIGITS = re.compile(rf"(?<=[0-9]){_BOXED_DOT}(?=[0-9])", re.IGNORECASE)
 _LABEL = "[A-Za-z0-9-]+"
+#: Ends of a domain that bare words may spell: fixed values.
+_ENDS = "(?:com|org|net|edu|gov|info|biz|io|co|dev|app|ai|eu|uk|us|de|fr|es|it|nl|ch|at|se|no|fi|pl|ru|cn|jp|in|br|au|ca|test|example)(?![A-Za-z0-9-])"
+# a bare "at" counts only before a domain whose dots are spelled as well and that ends as domains do, a plain @ also before
+# one with a bracketed dot; a bracketed one before any domain
+_SIGN = re.compile(rf"({_AT})|(@)|\x20(?:at|arroba|arobase)(?=\x20)", re.IGNORECASE)
+_ANY_DOMAIN = re.compile(rf"{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+", re.IGNORECASE)
+_BOXED_DOMAIN = re.compile(rf"{_LABEL}(?:\.{_LABEL})*(?:{_BOXED_DOT}{_LABEL}(?:\.{_LABEL})*)+", re.IGNORECASE)
+_SPELLED_DOMAIN = re.compile(rf"{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*{_DOT}{_ENDS}(?:(?:\.|{_DOT}){_ENDS})*", re.IGNORECASE)
+_SOME_DOT = re.compile(_DOT, re.IGNORECASE)
+_PART = re.compile(rf"({_DOT})|(\.)|([0-9]+)|[A-Za-z]+", re.IGNORECASE)
+_BETWEEN_DIGITS = re.compile(rf"(?<=[0-9]){_BOXED_DOT}(?=[0-9])", re.IGNORECASE)
+_LABEL = "[A-Za-z0-9-]+"
 _NAME = rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*"
 #: Ends of a domain that bare words may spell: fixed values.
 _ENDS = "(?:com|org|net|edu|gov|info|biz|io|co|dev|app|ai|eu|uk|us|de|fr|es|it|nl|ch|at|se|no|fi|pl|ru|cn|jp|in|br|au|ca|test|example)(?![A-Za-z0-9-])"
@@ -171,8 +184,51 @@ def dot_edits(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), ".") for m in _BETWEEN_DIGITS.finditer(text)]
 
 
+_LABEL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+#: Characters of the longest spelled dot.
+_DOT_SIZE = 11
+
+
+def name_before(text: str, end: int, least: int) -> int:
+    """Where a name that ends at ``end`` begins, not before ``least``; ``end`` if there is none. Read backwards, part by part."""
+    start = at = end
+    starts = []
+    while True:
+        while at > least and text[at - 1] in _LABEL_CHARACTERS:
+            at -= 1
+        if at == start:
+            break
+        start = at
+        starts.append(start)
+        if at > least and text[at - 1] == ".":
+            at -= 1
+        else:
+            near = max(least, at - _DOT_SIZE)
+            dot = next((k for k in range(near, at) if _SOME_DOT.fullmatch(text, k, at)), at)
+            if dot == at:
+                break
+            at = dot
+        start = at
+    # the name may not go on to the left of its beginning
+    return next((s for s in reversed(starts) if not s or text[s - 1] not in _LABEL_CHARACTERS and text[s - 1] != "."), end)
+
+
 def sign_edits(text: str) -> list[tuple[int, int, str]]:
-    return [(p.start(), p.end(), "@" if p.group(1) else ".") for m in _DISGUISED.finditer(text) for p in _PART.finditer(text, m.start(), m.end())]
+    """Signs and dots of disguised addresses. Each sign is looked at from both sides, so a text is read a fixed number of times
+    however many dots it spells."""
+    edits, over = [], 0
+    for m in _SIGN.finditer(text):
+        boxed, plain_ = m.group(1), m.group(2)
+        tests = (_ANY_DOMAIN,) if boxed else (_BOXED_DOMAIN, _SPELLED_DOMAIN) if plain_ else (_SPELLED_DOMAIN,)
+        start = name_before(text, m.start(), over)
+        if start == m.start():
+            continue
+        after = m.end() + (not boxed and not plain_)  # a bare sign's space behind it
+        domain = next((d for t in tests if (d := t.match(text, after))), None)
+        if domain:
+            edits += [(p.start(), p.end(), "@" if p.group(1) else ".") for p in _PART.finditer(text, start, domain.end())]
+            over = domain.end()
+    return edits
 
 
 def disguised(text: str) -> list[Span]:
@@ -202,10 +258,16 @@ def spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, each by start, then kind."""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = plain(text)
-    every = list(base)
-    for kind, a, b in sorted(adjacent(text) + disguised(text), key=order):
-        if not any(k == kind and a < y and x < b for k, x, y in every):
-            every.append((kind, a, b))
+    every, more = list(base), sorted(adjacent(text) + disguised(text), key=order)
+    for kind in KINDS:
+        # base spans of a kind don't overlap each other, and an added one comes after those added before it
+        own = sorted((a, b) for k, a, b in base if k == kind)
+        starts, over = [a for a, _ in own], -1
+        for k, a, b in more:
+            at = bisect_right(starts, a)
+            if k == kind and a >= over and not (at and own[at - 1][1] > a) and not (at < len(own) and own[at][0] < b):
+                every.append((kind, a, b))
+                over = b
     return sorted(base, key=order), sorted(every, key=order)
 
 
