@@ -179,7 +179,7 @@ class Tree:
 
     def self_join(self, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of points (places in the caller's order) that pass all tests, some at a time."""
-        todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))] if len(self.levels) > 1 else []
         while todo:
             level, a, b = todo.pop()
             if level == 0:

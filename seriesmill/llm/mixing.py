@@ -76,6 +76,7 @@ def walk(pi: np.ndarray, size: np.ndarray, rng: random.Random, land: bool) -> np
     """Flight of the cube method on constraints (1, size) over documents in descending order of size, up to WINDOW open
     ones at a time. ``land``: also settle the last two, on the word total first, then by a plain draw."""
     low, high = 1e-9, 1 - 1e-9
+    pi, size = np.asarray(pi, float), np.asarray(size, float)
     pi = np.where(pi <= low, 0.0, np.where(pi >= high, 1.0, pi))
     fresh = np.flatnonzero((pi > 0) & (pi < 1))
     at = min(WINDOW, len(fresh))

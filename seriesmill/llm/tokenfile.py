@@ -189,21 +189,25 @@ def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             })
 
 
-def read_files(files: DataFrame, folder: str) -> DataFrame:
-    """Reads the token files back: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
-    spark = files.sparkSession
+def offsets_of(files: DataFrame) -> DataFrame:
+    """named, before: each file and the ids of all files before it."""
     # running totals within stretches of files, then over the stretches
     files = files.withColumn("stretch", F.floor(F.col("part") / STRETCH))
     earlier = lambda of, window: F.coalesce(F.sum(of).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = files.groupBy(F.col("stretch").alias("of")).agg(F.sum("n_ids").alias("n")).select("of", earlier("n", Window.orderBy("of")).alias("base"))
     within = files.select("stretch", F.col("file").alias("named"), earlier("n_ids", Window.partitionBy("stretch").orderBy("part", "seq")).alias("inside"))
-    offsets = within.join(totals, F.col("stretch") == F.col("of")).select("named", (F.col("base") + F.col("inside")).alias("before"))
+    return within.join(totals, F.col("stretch") == F.col("of")).select("named", (F.col("base") + F.col("inside")).alias("before"))
+
+
+def read_files(files: DataFrame, folder: str) -> DataFrame:
+    """Reads the token files back: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
+    spark = files.sparkSession
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     # the reader deals files out by size: one or a few to a task
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.pfor").load(folder).select("path", "content")
     rows = raw.mapInPandas(_reader, "file string, doc_id long, within long, n_tokens long, ids_crc32 long")
-    return rows.join(offsets, F.col("file") == F.col("named")).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(offsets_of(files), F.col("file") == F.col("named")).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -235,15 +236,40 @@ def test_jaccard_components_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in sets})
 
 
-def test_tree_misses_no_pair():
-    rng = np.random.default_rng(6)
-    vec = np.sort(rng.poisson(6, (150, jaccard.GROUPS)), axis=0).astype(np.uint16)
-    vec[40:60] = vec[39]
-    vec = vec[np.argsort(vec.sum(axis=1), kind="stable")]
-    n, comp = vec.sum(axis=1).astype(int), rng.integers(0, 40, 150)
-    i, j = jaccard.tree_pairs(n, vec, comp, np.zeros(150, int))
-    want = {(a, b) for b in range(150) for a in range(b) if comp[a] != comp[b] and jaccard.may_link(n[a], n[b], np.minimum(vec[a], vec[b]).sum(dtype=int))}
-    assert set(zip(i.tolist(), j.tolist())) == want
+@pytest.mark.parametrize("points", [1, 5, 17, 700])
+def test_tree_misses_no_pair(points):
+    rng = np.random.default_rng(points)
+    vec = rng.poisson(4, (points, jaccard.GROUPS)).astype(np.uint8)
+    for k in range(0, points - 3, 4):  # near ones
+        vec[k + 1 : k + 4] = vec[k]
+        vec[k + 1, :9] += 3
+        vec[k + 2, ::9] = jaccard.FULL
+    key, comp = np.sort(rng.integers(0, 3, points)), rng.integers(0, max(points // 2, 1), points)
+    n = vec.sum(axis=1).astype(int)
+    tree = jaccard.Tree(key, n, vec, comp)
+    assert len(tree.levels) == 1 + math.ceil(math.log(points, jaccard.FAN) - 1e-9)
+    got = {(min(a, b), max(a, b)) for i, j in tree.self_join() for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    bound = lambda a, b: jaccard.overlap_bound(n[a : a + 1], n[b : b + 1], vec[a : a + 1], vec[b : b + 1])[0]
+    assert got == {(a, b) for b in range(points) for a in range(b) if key[a] == key[b] and comp[a] != comp[b] and jaccard.may_link(n[a], n[b], bound(a, b)) and 100 * min(n[a], n[b]) >= 85 * max(n[a], n[b])}
+
+
+def test_repeated_ids_keep_their_links(spark):
+    one, two = "a b c d e f g h i j k l m n", "q w e r t y u i o p a s d f g"
+    rows = [(1, one), (5, one), (5, two), (2, two), (9, None), (None, two), (9, "  "), (7, "x y"), (8, "X y"), (5, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.link(docs).collect()} == {(1, 1), (2, 1), (5, 1), (7, 7), (8, 7), (9, 9), (None, None)}
+    kept = sorted(map(tuple, jaccard.keep_one(docs.withColumn("a.b", F.lit("x")).withColumn("size", F.lit(1))).collect()), key=str)
+    assert [r[:2] for r in kept] == [(1, one), (7, "x y"), (9, "  "), (9, None), (None, two)]
+    spelled = {(r["doc_id"], r["component_id"]) for r in jaccard.link(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")).collect()}
+    assert ("2", "1") in spelled and ("8", "7") in spelled
+
+
+def test_one_element_with_many_points(spark):
+    """A chain of near copies in which only neighbours link, all of them with the same rare words."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 100])) for k in range(60)] + [(100 + k, " ".join(words[:100] + [f"z{k}"])) for k in range(400)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0}
 
 
 def test_language_model_against_plain_counts(docs):
@@ -370,7 +396,6 @@ def test_token_files(docs):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public_tokenizers.path(tokenfile.VOCABULARY))
-    lib.encode_special_tokens = True
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
     want, at = [], 0
     for r in rows:
@@ -381,14 +406,42 @@ def test_token_files(docs):
     assert got == want
 
 
-def test_added_tokens_are_plain_text():
+def test_token_ids_equal_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public_tokenizers.path(tokenfile.VOCABULARY))
-    lib.encode_special_tokens = True
-    for text in ("<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n"):
-        assert np.frombuffer(tokenfile.encoder().encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    rng = random.Random(5)
+    pieces_ = ["<|endoftext|>", " ", "  ", "a", "word", "don't", ".", ",", "\n", "\n\n", "\t", "é", "日本", "12", "...", "!", "\u00a0", "x\r\n"]
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n", "", " ", "a,\nb. c"] + ["".join(rng.choice(pieces_) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    for text, ids in zip(texts, tokenfile.encoder().encode_all(texts), strict=True):
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_files_are_added_up_by_number(spark):
+    files = spark.createDataFrame([(f"part-{p:06d}-0000.pfor", p, 0, 1, 1) for p in (999_999, 1_000_000, 7)], "file string, part long, seq long, n_docs long, n_ids long")
+    assert sorted(map(tuple, tokenfile.offsets_of(files).collect())) == [("part-000007-0000.pfor", 0), ("part-1000000-0000.pfor", 2), ("part-999999-0000.pfor", 1)]
+
+
+def test_string_ids_come_back_as_numbers_or_null(spark):
+    docs = spark.createDataFrame([("12", "b"), ("x", "a"), (None, None)], "doc_id string, text string")
+    assert sorted((r["doc_id"] is not None, r["doc_id"]) for r in tokenfile.round_trip(docs).collect()) == [(False, None), (False, None), (True, 12)]
+
+
+def test_long_texts_take_linear_time():
+    began = time.perf_counter()
+    for text in ("abc dot " * 60_000, "a at b " * 60_000, "+1 (269) 555-3296 " * 20_000):
+        personal.spans(text)
+    secrets.compiled(secrets.RULES).spans("é password=hunter2222 " * 20_000)
+    assert time.perf_counter() - began < 40
+
+
+def test_takes_of_a_table_with_odd_names_and_repeated_rows(spark):
+    rows = [(k % 7, " ".join(["w"] * (1 + k % 3)), f"s{k % 2}", k) for k in range(60)] + [(None, "a b", None, 1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` long")
+    assert mixing.take(docs).columns == docs.columns
+    assert mixing.take(docs).count() == mixing.mix(docs).agg(F.sum("copies")).first()[0]
+    assert mixing.take(docs.filter("false")).count() == 0
 
 
 def test_packed_blocks_round_trip():
