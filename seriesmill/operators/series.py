@@ -191,7 +191,8 @@ def zscore_trend(df: DataFrame, keys: Sequence[str] = KEYS, v: str = "value", st
     few = F.col("n") < 3
     s = F.round(F.when(F.col("std") > 0, F.col("slope") / F.col("std")).otherwise(0.0), 9)
     trend = F.when(few, "insufficient_data").when(s > steep, "rising").when(s < -steep, "falling").otherwise("stable")
-    told = lambda c, digits: F.when(~few, F.round(c, digits)).alias(c)
+    # by way of decimals: a mean of few values often ends on a 5
+    told = lambda c, digits: F.when(~few, F.round(F.col(c).cast("decimal(28,9)"), digits).cast("double")).alias(c)
     streak = F.when(few, 0).otherwise(F.col("n") - F.coalesce("near", F.lit(0.0))).cast("long")
     return agg.select(*keys, "n", trend.alias("trend"), told("z", 3), told("mean", 4), told("std", 4), streak.alias("streak"))
 

@@ -74,7 +74,7 @@ _T = f"""zs as (select *, row_number() over ({_BY})::double as i, avg(value) ove
   zg as (select patient_id, analyte, count(*) as n, max(mean) as mean, max(std) as std, arg_max(z, i) as z, regr_slope(value, i) as slope, max(i) filter (where abs(round(z, 9)) <= 2) as near from zs group by 1, 2),
   zh as (select *, round(case when std > 0 then slope / std else 0 end, 9) as s from zg),
   zt as (select patient_id, analyte, n, case when n < 3 then 'insufficient_data' when s > 0.25 then 'rising' when s < -0.25 then 'falling' else 'stable' end as trend,
-    case when n >= 3 then round(z, 3) end as z, case when n >= 3 then round(mean, 4) end as mean, case when n >= 3 then round(std, 4) end as std,
+    case when n >= 3 then round(z::decimal(28, 9), 3)::double end as z, case when n >= 3 then round(mean::decimal(28, 9), 4)::double end as mean, case when n >= 3 then round(std::decimal(28, 9), 4)::double end as std,
     case when n < 3 then 0 else n - coalesce(near, 0)::bigint end as streak from zh)"""
 _add("w11_zscore_trend", series.zscore_trend, f"@{_T} select * from zt")
 _add("w12_trailing_streak", lambda d: series.trailing_streak(d, 1.0), f"""@z as (select *, coalesce(abs(round((value - avg(value) over w) / nullif(stddev_pop(value) over w, 0), 6)) > 1, false) as far, row_number() over ({_BY}) as i
