@@ -3,8 +3,9 @@
 Base counts come from each whole text. The method then compares two histograms of a document with its language's
 reference by Jensen-Shannon distance (base 2, 0 to 1): shares of character classes, and shares of the language's most
 frequent short words plus "any other". References are learned from all documents of the language. Guards: a histogram
-of few words says little, so each comparison has a least length; a language with few documents has no reference; without
-a reference (also: null language) only the base rule decides.
+of few words says little, so each comparison has a least length; a language with few documents has no reference, and one
+without short words of lower-case or caseless letters has one for characters alone. Where there is no reference (also: null
+language) the distance is null, and the rest decides.
 
 n_repeat_words compares windows by the 64-bit hash of their words.
 
@@ -27,6 +28,7 @@ WINDOW = 8
 LEAST_WORDS, MOST_REPEAT = 20, 30
 #: Common words: the most frequent lower-case words of at most so many letters, per language.
 COMMON, COMMON_LETTERS = 16, 5
+LETTERS = r"[\p{Ll}\p{Lo}\p{M}]"
 LEAST_DOCUMENTS = 20
 #: Least words of a document, and the distance above which it is rejected.
 CHARS_FROM, CHARS_MOST = 50, 0.30
@@ -90,12 +92,12 @@ def references(docs: DataFrame) -> DataFrame:
     words = F.sum(F.regexp_count("text", F.lit(WORD)))
     per = df.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), words.alias("all_words"), F.array(*counts).alias("chars"))
     short = df.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
-    short = short.filter(F.col("word").rlike(rf"^[a-z\x{{DF}}-\x{{FF}}]{{1,{COMMON_LETTERS}}}$"))
+    short = short.filter(F.col("word").rlike(rf"^{LETTERS}{{1,{COMMON_LETTERS}}}$"))
     best = short.groupBy("lang", "word").count().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word")))
     best = best.filter(F.col("place") <= COMMON).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word", "count"))).alias("best"))
     share = lambda c, total: c.cast("double") / total
     known = F.aggregate("best", F.lit(0).cast("long"), lambda a, x: a + x["count"])
-    out = per.filter(F.col("n_docs") >= LEAST_DOCUMENTS).join(best, "lang")
+    out = per.filter(F.col("n_docs") >= LEAST_DOCUMENTS).join(best, "lang", "left")
     return out.select(
         "lang",
         F.transform("best", lambda x: x["word"]).alias("common"),
@@ -105,10 +107,11 @@ def references(docs: DataFrame) -> DataFrame:
 
 
 def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two share arrays: the root of the mean divergence from their midpoint."""
+    """Jensen-Shannon distance of two share arrays: the root of the mean divergence from their midpoint;
+    null where either is null."""
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     parts = F.zip_with(p, q, lambda a, b: (term(a, (a + b) / 2) + term(b, (a + b) / 2)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
+    return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x, lambda a: F.sqrt(F.greatest(a, F.lit(0.0))))
 
 
 def judge(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -182,13 +185,13 @@ with base as (
   select lang, list(word order by place) as common, list(c order by place) as counts
   from (select lang, word, c, row_number() over (partition by lang order by c desc, word) as place
         from (select lang, word, count(*) as c from (select lang, unnest(words) as word from measured where lang is not null)
-              where regexp_matches(word, '^[a-z\x{DF}-\x{FF}]{1,5}$') group by lang, word))
+              where regexp_matches(word, '^[\p{Ll}\p{Lo}\p{M}]{1,5}$') group by lang, word))
   where place <= 16 group by lang
 ), ref as (
   select t.lang, b.common,
          list_append(list_transform(b.counts, lambda x: x::double / t.all_words), (t.all_words - list_sum(b.counts))::double / t.all_words) as word_shares,
          list_transform(t.c, lambda x: x::double / list_sum(t.c)) as char_shares
-  from totals t join best b using (lang)
+  from totals t left join best b using (lang)
 ), compared as (
   select m.*, r.common, r.word_shares as qw, r.char_shares as qc,
          list_transform(m.chars, lambda x: x::double / list_sum(m.chars)) as pc,

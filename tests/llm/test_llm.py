@@ -170,6 +170,28 @@ def test_js_distance(spark):
     assert one[0] == pytest.approx(1.0) and one[1] == pytest.approx(0.0)
 
 
+def test_js_distance_is_null_without_a_reference(spark):
+    none = F.lit(None).cast("array<double>")
+    assert spark.range(1).select(quality.js_distance(F.array(F.lit(1.0)), none)).first()[0] is None
+
+
+def test_every_script_has_a_reference(spark):
+    said = "и в не на я быть он с что а это весь этот то ты она как к"
+    unspaced = "漢字仮名交文" * 3
+    rows = [(i, " ".join([said] * 3) + f" слово{i}", "ru") for i in range(20)]
+    rows += [(100 + i, " ".join([unspaced] * 60), "ja") for i in range(20)]
+    rows += [(200, " ".join(f"longword{i}Q7" for i in range(120)), "ru"), (201, " ".join(f"W{i}#%#%" for i in range(60)), "ja"), (202, "x y " * 60, "few")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ref = {r["lang"]: r for r in quality.references(docs).collect()}
+    assert set(ref) == {"ru", "ja"} and len(ref["ru"]["common"]) == quality.COMMON
+    # without short words only the characters are compared
+    assert ref["ja"]["common"] is None and ref["ja"]["word_shares"] is None and len(ref["ja"]["char_shares"]) == len(quality.CLASSES) + 1
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert got[201]["js_words"] is None and got[201]["js_chars"] > quality.CHARS_MOST and not got[201]["kept"]
+    assert got[200]["js_words"] > quality.WORDS_MOST and not got[200]["kept"]
+    assert got[202]["js_chars"] is None and got[202]["js_words"] is None
+
+
 def test_bpe_equals_the_library(docs):
     import public_tokenizers
     import tiktoken
