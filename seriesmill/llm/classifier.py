@@ -28,6 +28,8 @@ BUCKETS, WIDTH, NONZERO, REACH = 1 << 14, 64, 2, 2
 #: Labelled rows that training may use: those with the least hashes.
 MOST_LABELLED = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 300, 0.02, 1e-4
+#: Steps at most; the learning rate falls to zero over the steps there are, whatever the sample.
+MOST_STEPS = 6_000
 CUT = 0.3
 CHUNK = 1 << 20
 
@@ -130,19 +132,17 @@ class Network:
         sizes = (x.shape[1], HIDDEN, 1)
         self.w = [p for a, b in zip(sizes, sizes[1:], strict=False) for p in (rng.normal(0, a**-0.5, (a, b)), np.zeros(b))]
         m, v = [np.zeros_like(p) for p in self.w], [np.zeros_like(p) for p in self.w]
-        step = 0
-        for epoch in range(EPOCHS):
+        step, steps = 0, min(EPOCHS * -(-len(x) // 512), MOST_STEPS)
+        while step < steps:
             order = rng.permutation(len(x))
-            for at in range(0, len(x), 512):
+            for at in range(0, min(len(x), 512 * (steps - step)), 512):
                 part = order[at : at + 512]
                 step += 1
                 for k, g in enumerate(self._slopes(x[part], y[part])):
                     g = g + DECAY * self.w[k] * (self.w[k].ndim == 2)
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-                    rate = RATE * (1 - epoch / EPOCHS)
+                    rate = RATE * (1 - (step - 1) / steps)
                     self.w[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-            if step > 6000:
-                break
 
     def _slopes(self, x, y):
         h = np.tanh(x @ self.w[0] + self.w[1])
