@@ -174,7 +174,7 @@ def word_error_accuracy(ref: Column, hyp: Column) -> Column:
     levenshtein counts words."""
     a, b = F.split(ref, r"\s+"), F.split(hyp, r"\s+")
     both = F.array_distinct(F.concat(a, b))
-    spell = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0x4E00), 4, "0")), "UTF-16BE")), "")
+    spell = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0x10000), 8, "0")), "UTF-32")), "")
     return F.greatest(F.lit(0.0), 1.0 - F.levenshtein(spell(a), spell(b)) / F.greatest(F.size(a), F.lit(1)))
 
 

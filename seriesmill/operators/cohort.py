@@ -133,7 +133,55 @@ def linear_contributions(df: DataFrame, weights: dict[str, float], key: Sequence
     return rows.withColumn("total", total).select(*key, F.inline(F.slice(F.array_sort(told), 1, k))).select(*key, "feature", "part", "share")
 
 
-def rule_risk(df: DataFrame, key: str, rules: dict[str, Sequence[tuple[Column, float]]]) -> DataFrame:
-    """Condition -> (test, weight) rules: probability is the sum of the weights that hold, at most 0.95; long form."""
-    p = {c: F.least(sum((F.when(t, w).otherwise(0.0) for t, w in rs), F.lit(0.05)), F.lit(0.95)) for c, rs in rules.items()}
-    return df.select(key, F.inline(F.array(*(F.struct(F.lit(c).alias("condition"), F.round(x, 4).alias("probability")) for c, x in p.items()))))
+#: Features that the rules read; one that a table lacks counts as missing.
+FEATURES = ("hba1c", "fasting_glucose", "hemoglobin", "sex_female", "egfr", "creatinine", "alt", "ast", "ldl", "hdl", "tsh",
+            "age", "missing_fraction", "risk_mean_proxy", "forecast_worsening_proxy", "trend_penalty")
+#: Per condition the tests in order and the probability of the first that holds, else BASE_RISK.
+BASE_RISK = 0.15
+_CUT = "if(sex_female > 0 and sex_female < 0.5, 13, 12)"
+RISK_RULES = {
+    "type2_diabetes": (("hba1c >= 6.5", 0.82), ("hba1c >= 5.7", 0.55), ("fasting_glucose >= 126", 0.75), ("fasting_glucose >= 100", 0.45)),
+    "anemia": ((f"hemoglobin < {_CUT} - 1", 0.78), (f"hemoglobin < {_CUT}", 0.5)),
+    "ckd": (("egfr < 60", 0.8), ("creatinine > 1.3", 0.55)),
+    "liver_dysfunction": (("alt > 55 or ast > 50", 0.72),),
+    "thyroid_dysfunction": (("tsh > 4.5 or tsh < 0.3", 0.7),),
+}
+#: The score starts here; where a test holds, points are added.
+START_SCORE = 88.0
+SCORE_RULES = (
+    ("hba1c >= 6.5", "-least(25, (hba1c - 5.7) * 8)"),
+    ("hba1c >= 5.7 and hba1c < 6.5", "-(hba1c - 5.7) * 10"),
+    ("fasting_glucose > 100", "-least(12, (fasting_glucose - 100) * 0.15)"),
+    ("creatinine > 1.2", "-least(18, (creatinine - 1.2) * 15)"),
+    ("egfr < 90", "-least(18, (90 - egfr) * 0.35)"),
+    ("alt > 40", "-least(12, (alt - 40) * 0.15)"),
+    ("ldl > 100", "-least(12, (ldl - 100) * 0.08)"),
+    ("hdl < 40", "-least(10, (40 - hdl) * 0.5)"),
+    ("hdl >= 60", "least(5, (hdl - 50) * 0.15)"),
+    ("hemoglobin < 12", "-least(15, (12 - hemoglobin) * 3)"),
+    ("tsh < 0.4 or tsh > 4.5", "-least(10, abs(tsh - 2.5) * 1.5)"),
+    ("missing_fraction is not null", "-missing_fraction * 8"),
+    ("risk_mean_proxy is not null", "-risk_mean_proxy * 15"),
+    ("forecast_worsening_proxy is not null", "-forecast_worsening_proxy * 8"),
+    ("trend_penalty is not null", "-trend_penalty * 0.3"),
+    ("age > 60", "-least(5, (age - 60) * 0.15)"),
+)
+
+
+def _all_features(df: DataFrame) -> DataFrame:
+    have = set(df.columns)
+    return df.withColumns({c: (F.col(c) if c in have else F.lit(None)).cast("double") for c in FEATURES})
+
+
+def rule_risk(df: DataFrame, key: str, rules: dict[str, Sequence[tuple[str, float]]] = RISK_RULES) -> DataFrame:
+    """One row per condition: the probability of its first rule that holds. Missing features fail their tests."""
+    wide = _all_features(df)
+    chain = {c: F.coalesce(*(F.when(F.expr(test), p) for test, p in tests), F.lit(BASE_RISK)) for c, tests in rules.items()}
+    return wide.select(key, F.inline(F.array(*(F.struct(F.lit(c).alias("condition"), p.alias("probability")) for c, p in chain.items()))))
+
+
+def heuristic_score(df: DataFrame, key: str) -> DataFrame:
+    """A rule score from 5 to 99, higher is better."""
+    points = (F.when(F.expr(test), F.expr(p)).otherwise(0.0) for test, p in SCORE_RULES)
+    total = sum(points, F.lit(START_SCORE))
+    return _all_features(df).select(key, F.round(F.greatest(F.lit(5.0), F.least(F.lit(99.0), total)), 4).alias("score"))

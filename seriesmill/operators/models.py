@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, RobustScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import series
@@ -66,6 +66,11 @@ class ScoreModel:
         w = self.model.stages[-1].coefficients.toArray() if self.kind == "ridge" else self.model.stages[-1].featureImportances.toArray()
         return sorted(zip(self.columns, w.tolist(), strict=True), key=lambda x: (-abs(x[1]), x[0]))[:k]
 
+    def importance_table(self, k: int) -> DataFrame:
+        """feature, weight: the k features with the largest absolute weight; at most one row a column."""
+        rows = [(f, abs(w)) for f, w in self.importance(k)]
+        return SparkSession.active().createDataFrame(rows, "feature string, weight double")
+
 
 def forecast(df: DataFrame, horizon_days: float, z: float = 1.96, least: int = 3, keys: Sequence[str] = series.KEYS, v: str = "value") -> DataFrame:
     """Straight line per series from aggregates alone; short or flat-time series persist. Interval by residual deviation."""
@@ -93,12 +98,13 @@ def local_outlier_factor(vectors: DataFrame, k: int = 10) -> DataFrame:
 def isolation_forest(df: DataFrame, key: str, vector: str, trees: int = 50, sample: int = 256, seed: int = 7) -> DataFrame:
     """Isolation score. Each tree is grown in its own task on its own bounded sample (rows by least hash for that tree); the
     forest, of fixed size, scores all rows."""
-    ids = df.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    # a row goes to a tree's sample by hash, at a rate that gives a few times the sample; the least hashes stay
+    # a row goes to a tree's sample by hash, at a rate that gives a few times the sample; the least hashes stay. Rows are
+    # copied only for the trees that take them
     n = max(df.count(), 1)
     rate = min(1.0, 4.0 * sample / n)
-    h = F.pmod(F.xxhash64(key, "tree", F.lit(seed)), F.lit(1 << 30))
-    picked = ids.withColumn("h", h).filter(F.col("h") < rate * (1 << 30))
+    h = lambda tree: F.pmod(F.xxhash64(key, tree, F.lit(seed)), F.lit(1 << 30))
+    taking = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: h(tree) < rate * (1 << 30))
+    picked = df.select(key, vector, F.explode(taking).alias("tree")).withColumn("h", h(F.col("tree")))
     picked = picked.withColumn("place", F.row_number().over(Window.partitionBy("tree").orderBy("h", key))).filter(F.col("place") <= sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

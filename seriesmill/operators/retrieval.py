@@ -19,31 +19,37 @@ def chunks(df: DataFrame, key: str, text: str, size: int = 300, overlap: int = 5
     return rows.select(key, "chunk", F.array_join(F.slice("w", F.col("at") + 1, size), " ").alias("text"))
 
 
-def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length)."""
-    words = df.select(key, scalar.tokenize(F.col(text)).alias("w"))
-    return words.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+def postings(df: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(key, carried columns, term, tf, length)."""
+    words = df.select(key, *carry, scalar.tokenize(F.col(text)).alias("w"))
+    terms = words.select(key, *carry, F.size("w").alias("length"), F.explode("w").alias("term"))
+    return terms.groupBy(key, *carry, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, scope: Sequence[str] = ()) -> DataFrame:
     """queries (query_id, text), docs (doc_id, text) -> query_id, doc_id, score: Okapi BM25 with the smoothed idf
-    ln(1 + (N - df + 0.5) / (df + 0.5)). Only postings of query terms meet a query; repeated query terms count."""
-    sized = docs.select("doc_id", scalar.tokenize(F.col("text")).alias("w"))
-    whole = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w")).alias("avg_length"))
-    terms = postings(queries.select("query_id", "text"), "query_id", "text").select("query_id", "term", F.col("tf").alias("qtf"))
-    wanted = terms.select("term").distinct()
-    found = postings(docs, "doc_id", "text").join(wanted, "term", "left_semi")
-    freq = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ln(1 + (N - df + 0.5) / (df + 0.5)). Only postings of query terms meet a query; repeated query terms count. With
+    ``scope`` columns on both sides, a query meets the documents of its own scope, and all statistics are the scope's."""
+    at, term = list(scope), [*scope, "term"]
+    sized = docs.select("doc_id", *at, F.size(scalar.tokenize(F.col("text"))).alias("n"))
+    whole = sized.groupBy(*at).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_length"))
+    terms = postings(queries, "query_id", "text", at).select("query_id", *term, F.col("tf").alias("qtf"))
+    found = postings(docs, "doc_id", "text", at).join(terms.select(*term).distinct(), term, "left_semi")
+    # counted by tf, so that both uses of the postings have the same columns and share one shuffle
+    freq = found.groupBy(*term).agg(F.count_if(F.col("tf") > 0).alias("df"))
+    met = found.join(freq, term).join(terms, term)
+    # without a scope, the corpus' totals are one row
+    met = met.join(whole, at) if at else met.crossJoin(F.broadcast(whole))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    # the corpus' totals are one row
-    return found.join(freq, "term").join(terms, "term").crossJoin(F.broadcast(whole)).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
     """Exact cosine top-k. Queries are counted and broadcast while they are few; beyond that blocks of them are joined, so
     memory is bounded either way, and each task keeps its best k before the last ranking."""
-    unit = lambda df, i, e: df.select(F.col("vec_id").alias(i), F.transform("embedding", lambda x: x / F.greatest(scalar.norm(F.col("embedding")), F.lit(1e-12))).alias(e))
+    sized = lambda df: df.select("vec_id", "embedding", F.greatest(scalar.norm(F.col("embedding")), F.lit(1e-12)).alias("norm"))
+    unit = lambda df, i, e: sized(df).select(F.col("vec_id").alias(i), F.transform("embedding", lambda x: x / F.col("norm")).alias(e))
     q, v = unit(queries, "query_id", "qe"), unit(vectors, "vec_id", "ve")
     if queries.limit(most_queries + 1).count() <= most_queries:
         pairs = v.join(F.broadcast(q), F.col("query_id") != F.col("vec_id"))
@@ -57,6 +63,40 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 10_0
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
 
+#: Weights of the five scores by preset, fixed values: lexical, semantic, concept, temporal, intent.
+PRESETS = {
+    "bm25": (1.0, 0.0, 0.0, 0.0, 0.0),
+    "dense": (0.0, 1.0, 0.0, 0.0, 0.0),
+    "hybrid": (0.5, 0.5, 0.0, 0.0, 0.0),
+    "hybrid_temporal": (0.35, 0.35, 0.0, 0.30, 0.0),
+    "rrf": (0.5, 0.5, 0.0, 0.0, 0.0),
+    "rrf_temporal": (0.35, 0.35, 0.0, 0.30, 0.0),
+    "hybrid_temporal_concept": (0.25, 0.25, 0.25, 0.25, 0.0),
+    "full": (0.20, 0.20, 0.25, 0.25, 0.10),
+}
+SCORES = ("lexical", "semantic", "concept", "temporal", "intent")
+
+
+def preset(name: str) -> dict[str, float]:
+    """Score column -> weight, those without weight left out."""
+    return {c: w for c, w in zip(SCORES, PRESETS[name], strict=True) if w}
+
+
+def fuse_columns(scored: DataFrame, weights: dict[str, float], i: str = "doc_id") -> DataFrame:
+    """Like ``fuse_weighted`` where the scores are columns of one table, null where one lacks the id."""
+    parts = [F.coalesce(scalar.max_scale(c, "query_id"), F.lit(0.0)) * w for c, w in weights.items() if w]
+    return scored.select("query_id", i, F.round(sum(parts, F.lit(0.0)), 6).alias("score"))
+
+
+def fuse_rank_columns(scored: DataFrame, columns: Sequence[str], k: int = 60, i: str = "doc_id") -> DataFrame:
+    """Reciprocal rank fusion where the scores are columns of one table. An id without a score has the rank after all rows of
+    its query."""
+    w = Window.partitionBy("query_id")
+    after = F.count(F.lit(1)).over(w) + 1
+    rank = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(w.orderBy(F.desc_nulls_last(c), i))).otherwise(after)
+    return scored.select("query_id", i, F.round(sum((1.0 / (k + rank(c)) for c in columns), F.lit(0.0)), 8).alias("score"))
+
+
 def fuse_weighted(tables: Sequence[tuple[DataFrame, float]], i: str = "doc_id") -> DataFrame:
     """Sum of max-scaled scores by weight; parts without weight are left out of the plan."""
     parts = [t.select("query_id", i, (scalar.max_scale("score", "query_id") * w).alias("part")) for t, w in tables if w]

@@ -112,4 +112,29 @@ _add("m8_robust_z_detector", lambda t: co.robust_z_detector(t("lineitem"), _C, _
 _add("m14_profile_anomaly", lambda t: co.profile_anomaly(t("lineitem"), _C, _K, 0.3), f"with {_ST}, {_SC12}, {_RZ} select *, case when score >= 0.75 then 'high' when score >= 0.3 then 'elevated' when score >= 0.25 then 'mild' else 'normal' end as category, score >= 0.3 as anomalous from z")
 _W = {"l_quantity": 0.5, "l_discount": -30.0, "l_tax": 20.0}
 _add("m11_linear_contributions", lambda t: co.linear_contributions(t("lineitem"), _W, _K, 2), "with m as (select avg(l_quantity) as q, avg(l_discount) as d, avg(l_tax) as t from lineitem), n as (select *, row_number() over () as id from lineitem), p as (select id, l_orderkey, l_linenumber, unnest([('l_quantity', 0.5 * (l_quantity - q)), ('l_discount', -30 * (l_discount - d)), ('l_tax', 20 * (l_tax - t))]) as u, abs(0.5 * (l_quantity - q)) + abs(30 * (l_discount - d)) + abs(20 * (l_tax - t)) as total from n, m), r as (select l_orderkey, l_linenumber, u[1] as feature, u[2] as part, total, row_number() over (partition by id order by round(abs(u[2]), 6) desc, u[1]) as rn from p) select l_orderkey, l_linenumber, feature, round(part, 4) as part, round(case when total > 0 then 100 * abs(part) / total else 0 end, 2) as share from r where rn <= 2")
-_add("m3_rule_risk", lambda t: co.rule_risk(t("part"), "p_partkey", {"size": [(F.col("p_size") > 20, 0.4), (F.col("p_size") > 40, 0.3)], "price": [(F.col("p_retailprice") > 1200, 0.5)]}), "select p_partkey, 'size' as condition, round(least(0.05 + case when p_size > 20 then 0.4 else 0 end + case when p_size > 40 then 0.3 else 0 end, 0.95)::double, 4) as probability from part union all select p_partkey, 'price', round(least(0.05 + case when p_retailprice > 1200 then 0.5 else 0 end, 0.95)::double, 4) from part")
+#: Health features of an order, by its key; the same text on both sides.
+_CARE = ", ".join((
+    "o_orderkey", "case when o_orderkey % 5 <> 0 then 4.5e0 + (o_orderkey % 31) / 1e1 end as hba1c",
+    "case when o_orderkey % 4 <> 0 then 70e0 + o_orderkey % 83 end as fasting_glucose", "9.5e0 + (o_orderkey % 59) / 1e1 as hemoglobin",
+    "(o_orderkey % 5) / 4e0 as sex_female", "case when o_orderkey % 3 <> 0 then 45e0 + o_orderkey % 67 end as egfr", "0.6e0 + (o_orderkey % 11) / 1e1 as creatinine",
+    "15e0 + o_orderkey % 53 as alt", "case when o_orderkey % 6 <> 0 then 18e0 + o_orderkey % 41 end as ast", "80e0 + o_orderkey % 97 as ldl", "32e0 + o_orderkey % 37 as hdl",
+    "case when o_orderkey % 7 <> 0 then 0.1e0 + (o_orderkey % 61) / 1e1 end as tsh", "20e0 + o_orderkey % 71 as age", "(o_orderkey % 7) / 1e1 as missing_fraction",
+    "case when o_orderkey % 9 <> 0 then (o_orderkey % 13) / 2e1 end as risk_mean_proxy", "(o_orderkey % 17) / 1e0 as trend_penalty",
+))
+_PROB = {
+    "type2_diabetes": "when hba1c >= 6.5 then 0.82 when hba1c >= 5.7 then 0.55 when fasting_glucose >= 126 then 0.75 when fasting_glucose >= 100 then 0.45",
+    "anemia": "when hemoglobin < cut - 1 then 0.78 when hemoglobin < cut then 0.5",
+    "ckd": "when egfr < 60 then 0.8 when creatinine > 1.3 then 0.55",
+    "liver_dysfunction": "when alt > 55 or ast > 50 then 0.72",
+    "thyroid_dysfunction": "when tsh > 4.5 or tsh < 0.3 then 0.7",
+}
+_add("m3_rule_risk", lambda t: co.rule_risk(t.spark.sql(f"select {_CARE} from {{orders}}", orders=t("orders")), "o_orderkey"),
+     f"with f as (select {_CARE} from orders), g as (select *, case when sex_female > 0 and sex_female < 0.5 then 13 else 12 end as cut from f) "
+     + " union all ".join(f"select o_orderkey, '{c}' as condition, (case {w} else 0.15 end)::double as probability from g" for c, w in _PROB.items()))
+_add("m4_heuristic_score", lambda t: co.heuristic_score(t.spark.sql(f"select {_CARE} from {{orders}}", orders=t("orders")), "o_orderkey"), f"""with f as (select {_CARE} from orders)
+  select o_orderkey, round(greatest(5, least(99, 88e0 + case when hba1c >= 6.5 then -least(25, (hba1c - 5.7) * 8) when hba1c >= 5.7 then -(hba1c - 5.7) * 10 else 0 end
+    - case when fasting_glucose > 100 then least(12, (fasting_glucose - 100) * 0.15) else 0 end - case when creatinine > 1.2 then least(18, (creatinine - 1.2) * 15) else 0 end
+    - case when egfr < 90 then least(18, (90 - egfr) * 0.35) else 0 end - case when alt > 40 then least(12, (alt - 40) * 0.15) else 0 end - case when ldl > 100 then least(12, (ldl - 100) * 0.08) else 0 end
+    + case when hdl < 40 then -least(10, (40 - hdl) * 0.5) when hdl >= 60 then least(5, (hdl - 50) * 0.15) else 0 end - case when hemoglobin < 12 then least(15, (12 - hemoglobin) * 3) else 0 end
+    - case when tsh < 0.4 or tsh > 4.5 then least(10, abs(tsh - 2.5) * 1.5) else 0 end - missing_fraction * 8 - coalesce(risk_mean_proxy, 0) * 15 - trend_penalty * 0.3
+    - case when age > 60 then least(5, (age - 60) * 0.15) else 0 end)), 4) as score from f""")

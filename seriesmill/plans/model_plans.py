@@ -31,6 +31,7 @@ def _items(t):
 
 _add("m5_risk_models", lambda t: models.RiskModels(_X, ["returned", "open"]).fit(_items(t)).transform(_items(t), _K))
 _add("m6_score_model", lambda t: models.ScoreModel(["l_quantity", "l_discount", "l_tax"], "l_extendedprice").fit(t("lineitem")).transform(t("lineitem"), _K))
+_add("m13_coef_importance", lambda t: models.ScoreModel(["l_quantity", "l_discount", "l_tax"], "l_extendedprice").fit(t("lineitem")).importance_table(2))
 _add("m7_forecast", lambda t: models.forecast(t.events(), 7.0).select("patient_id", "analyte", "n", "forecast", "method"),
      """@events, g as (select patient_id, analyte, count(*) as n, avg(epoch_us(ts) / 86400e6 - 20000) as mx, avg(value) as my, covar_pop(epoch_us(ts) / 86400e6 - 20000, value) as c, var_pop(epoch_us(ts) / 86400e6 - 20000) as vx, max(epoch_us(ts) / 86400e6 - 20000) as lx, arg_max(value, (ts, evidence_id)) as last from o where value is not null group by 1, 2)
   select patient_id, analyte, n, round(case when n >= 3 and vx > 1e-9 then my + c / vx * (lx + 7 - mx) else last end, 3) as forecast, case when n >= 3 and vx > 1e-9 then 'line' else 'persistence' end as method from g""")

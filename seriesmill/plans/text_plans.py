@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
@@ -55,7 +56,8 @@ _add("f19_explanation", lambda t: t("part").select("p_partkey", fn.explanation(F
      "select p_partkey, p_brand || ' is ' || p_size || case when p_size > 40 then ', above its range.' when p_size < 5 then '; its range isn''t known.' else ', in its range.' end as e from part")
 _add("f20_lexical_doc", lambda t: t("part").select("p_partkey", fn.lexical_doc(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("d")), "select p_partkey, concat_ws(' ', p_name, p_brand, p_type) as d from part")
 _add("f21_extraction_confidence", lambda t: t("part").select("p_partkey", F.round(fn.extraction_confidence(F.col("p_name"), F.when(F.col("p_size") > 10, "u"), F.when(F.col("p_size") > 30, "r")), 4).alias("c")), "select p_partkey, round(least(0.5 + case when p_size > 10 then 0.2 else 0 end + case when p_size > 30 then 0.2 else 0 end + case when length(p_name) < 80 then 0.05 else 0 end, 0.95)::double, 4) as c from part")
-_add("f22_word_error", lambda t: t("documents").select("doc_id", F.round(fn.word_error_accuracy(F.substring("text", 1, 200), F.substring("text", 20, 200)), 6).alias("a")))
+_add("f22_word_error", lambda t: t("conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("before is not null")
+     .select("conv_id", "turn", F.round(fn.word_error_accuracy(F.col("before"), F.col("text")), 6).alias("a")))
 _add("f23_json_fields", lambda t: t("events").groupBy(F.get_json_object("props", "$.page").alias("page")).agg(F.count(F.lit(1)).alias("n")), "select json_extract_string(props, '$.page') as page, count(*) as n from events group by 1")
 
 
@@ -86,20 +88,29 @@ def _top(df, k=5):
 
 
 _add("x13_bm25", lambda t: _top(_bm25(t)).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank"), f"with {_P} select query_id, doc_id, round(score, 4) as score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b) where rank <= 5")
+_add("x13_bm25_scoped", lambda t: _top(ret.bm25(
+         t("conversations").filter("turn = 0").select(F.col("conv_id").alias("query_id"), "conv_id", "text"),
+         t("conversations").filter("turn > 0").select(F.col("turn").alias("doc_id"), "conv_id", "text"), scope=["conv_id"]), 3)
+     .select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank"),
+     f"""with d as (select conv_id, turn as doc_id, {_TOK} as w from conversations where turn > 0), s as (select conv_id, count(*) as n, avg(len(w)) as a from d group by 1),
+  p as (select conv_id, doc_id, len(w) as length, unnest(w) as term from d), f as (select conv_id, doc_id, term, length, count(*) as tf from p group by 1, 2, 3, 4), df as (select conv_id, term, count(*) as df from f group by 1, 2),
+  q as (select conv_id, unnest({_TOK}) as term from conversations where turn = 0), qt as (select conv_id, term, count(*) as qtf from q group by 1, 2),
+  b as (select conv_id as query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / a))), 6) as score from qt join f using (conv_id, term) join df using (conv_id, term) join s using (conv_id) group by 1, 2)
+  select query_id, doc_id, round(score, 4) as score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b) where rank <= 3""")
 _ROW = "v as (select vec_id, label, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as e from embeddings)"
 _KNN = f"{_ROW}, k as (select q.vec_id as query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])), 6) as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from k)"
 _add("x15_knn", lambda t: ret.knn(t("embeddings").filter("vec_id % 100 = 0"), t("embeddings"), 10).select("query_id", "vec_id", "rank"), f"with {_KNN} select query_id, vec_id, rank from r where rank <= 10")
 
 
-def _by_length(t):
-    """A second score table: longer documents of the same matches first."""
-    return _bm25(t).join(t("documents").select("doc_id", F.col("n_chars").cast("double").alias("n")), "doc_id").select("query_id", "doc_id", F.col("n").alias("score"))
+def _both(t):
+    """Two scores of each match: BM25 and the document's length."""
+    return _bm25(t).join(t("documents").select("doc_id", F.col("n_chars").cast("double").alias("n")), "doc_id")
 
 
 _TWO = f"{_P}, l as (select query_id, doc_id, n_chars::double as score from b join documents using (doc_id))"
-_add("x17_fuse_weighted", lambda t: _top(ret.fuse_weighted([(_bm25(t), 0.7), (_by_length(t), 0.3)]), 3).select("query_id", "doc_id", "rank"), f"""with {_TWO}, u as (select query_id, doc_id, 0.7 * score / max(score) over (partition by query_id) as p from b union all select query_id, doc_id, 0.3 * score / max(score) over (partition by query_id) from l),
+_add("x17_fuse_weighted", lambda t: _top(ret.fuse_columns(_both(t), {"score": 0.7, "n": 0.3}), 3).select("query_id", "doc_id", "rank"), f"""with {_TWO}, u as (select query_id, doc_id, 0.7 * score / max(score) over (partition by query_id) as p from b union all select query_id, doc_id, 0.3 * score / max(score) over (partition by query_id) from l),
   f2 as (select query_id, doc_id, round(sum(p), 6) as score from u group by 1, 2) select query_id, doc_id, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from f2) where rank <= 3""")
-_add("x18_fuse_rrf", lambda t: _top(ret.fuse_rrf([_bm25(t), _by_length(t)]), 3).select("query_id", "doc_id", "rank"), f"""with {_TWO}, a1 as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from b), a2 as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from l),
+_add("x18_fuse_rrf", lambda t: _top(ret.fuse_rank_columns(_both(t), ["score", "n"]), 3).select("query_id", "doc_id", "rank"), f"""with {_TWO}, a1 as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from b), a2 as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from l),
   f2 as (select a1.query_id, a1.doc_id, round(1.0 / (60 + a1.r) + 1.0 / (60 + a2.r), 8) as score from a1 join a2 on a1.query_id = a2.query_id and a1.doc_id = a2.doc_id) select query_id, doc_id, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from f2) where rank <= 3""")
 _RULES = [(1, "contact", r"@|\+[0-9]"), (2, "shout", r"[A-Z]{6,}"), (3, "table", r" \| ")]
 _add("x7_match_rules", lambda t: ret.match_rules(t("documents"), "doc_id", "text", _RULES).groupBy("category").count(), r"select case when regexp_matches(text, '@|\+[0-9]') then 'contact' when regexp_matches(text, '[A-Z]{6,}') then 'shout' when regexp_matches(text, ' \| ') then 'table' end as category, count(*) as count from documents group by 1")
