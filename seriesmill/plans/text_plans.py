@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
+from ..operators import answers
 from ..operators import relational as rel
 from ..operators import retrieval as ret
 from ..operators import series
@@ -124,3 +125,26 @@ _add("j10_term_join", lambda t: ret.postings(t("documents"), "doc_id", "text").j
 _add("j12_contains_join", lambda t: ret.contains_join(t("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "text"), t.spark.createDataFrame([("the",), ("thing",), ("of the",), ("und",)], "name string")).groupBy("name").agg(F.countDistinct("query_id").alias("n")),
      r"with q as (select conv_id || ':' || turn as query_id, lower(text) as low from conversations), n as (select unnest(['the', 'thing', 'of the', 'und']) as name) select name, count(distinct query_id) as n from q, n where list_contains(regexp_extract_all(low, '[a-z0-9]+'), regexp_extract(name, '[a-z0-9]+')) and contains(low, name) group by 1")
 _add("x22_rerank", lambda t: ret.rerank(t.events().select("patient_id", "analyte", "evidence_id", F.lit(0.5).alias("score")), series.trajectory_roles(t.events()).select("evidence_id", "role_score"), F.col("patient_id") % 2 == 0).groupBy("score").count())
+_ASK = lambda t: t("benchmark").select(F.col("item_id").alias("query_id"), "text")
+_SCORERS = {"lexical": ret.bm25, "coverage": answers.term_coverage}
+_COVER = f"""{_P}, qn as (select query_id, count(*) as n from qt group by 1), c as (select query_id, doc_id, round(count(*) / any_value(qn.n), 6) as cover from qt join f using (term) join qn using (query_id) group by 1, 2)"""
+_add("x21_retrieve", lambda t: answers.retrieve(_ASK(t), t("documents"), _SCORERS, {"lexical": 0.5, "coverage": 0.5}, 5, t("documents").filter("lang = 'en'")).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank"),
+     f"""with {_COVER}, m as (select query_id, doc_id, round(0.0 + score / max(score) over w * 0.5 + cover / max(cover) over w * 0.5, 6) as score from b join c using (query_id, doc_id) window w as (partition by query_id)),
+  e as (select m.* from m join documents using (doc_id) where lang = 'en' and score > 0) select query_id, doc_id, round(score, 4) as score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from e) where rank <= 5""")
+_add("x21_retrieve_by_rank", lambda t: answers.retrieve(_ASK(t), t("documents"), _SCORERS, {"lexical": 0.5, "coverage": 0.5}, 5, by_rank=True).select("query_id", "doc_id", "rank"),
+     f"""with {_COVER}, m as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r1, row_number() over (partition by query_id order by cover desc, doc_id) as r2 from b join c using (query_id, doc_id)),
+  e as (select query_id, doc_id, round(1.0 / (60 + r1) + 1.0 / (60 + r2), 8) as score from m) select query_id, doc_id, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from e) where rank <= 5""")
+_SAFETY = [(1, "urgent", "ou[a-z]* .*ou")]
+_REPLY = {"urgent": "Please see someone at once."}
+_SAID = r"array_to_string(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(s) > 20)[1:3], ' ')"
+for _hard, _soft in fn.SOFTER:
+    _SAID = f"regexp_replace({_SAID}, '{_hard}', '{_soft}', 'gi')"
+_add("x27_answer_table", lambda t: answers.answer_table(_ASK(t), t("documents"), _SAFETY, _REPLY).select(
+         "query_id", "flagged", F.md5("answer").alias("digest"), F.array_join(F.transform("citations", lambda c: F.concat(c["index"].cast("string"), F.lit(":"), c["source"])), ",").alias("cited")),
+     f"""with {_P}, fl as (select item_id as query_id, regexp_matches(text, '{_SAFETY[0][2]}') as flagged from benchmark),
+  r as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b where score > 0) where rank <= 5),
+  c as (select query_id, rank, {_SAID} as said, coalesce(source, '') as source, min(rank) over (partition by query_id, coalesce(source, '')) as idx from r join documents using (doc_id)),
+  a as (select query_id, string_agg(said || ' [' || idx || ']', chr(10) || chr(10) order by rank) as body from c group by 1),
+  told as (select query_id, string_agg(idx || ':' || source, ',' order by idx) as cited, string_agg('[' || idx || '] ' || source, chr(10) order by idx) as listed from (select distinct query_id, idx, source from c) group by 1)
+  select query_id, flagged, md5(case when flagged then '{_REPLY["urgent"]}' when body is null then 'Too little is known to answer this.' else body || chr(10) || chr(10) || 'Sources cited:' || chr(10) || listed end) as digest,
+    case when flagged then '' else coalesce(cited, '') end as cited from fl left join a using (query_id) left join told using (query_id)""")
