@@ -26,8 +26,8 @@ _add("g1_rate_alerts", lambda t: jobs.rate_alerts(t("events").filter("event_type
   f as (select user_id, i, us, us as begun, 1 as n from e where i = 1
     union all select e.user_id, e.i, e.us, case when e.us - f.begun >= 86400000000 then e.us else f.begun end, case when e.us - f.begun >= 86400000000 then 1 else f.n + 1 end from f join e on e.user_id = f.user_id and e.i = f.i + 1)
   select user_id::varchar as key, count(*) filter (where n > 2) as alerts, max(n) as most from f group by 1""")
-_add("g2_timeline", lambda t: t("events").unionByName(t("events").filter("event_id % 10 = 0")).dropDuplicates(["event_id", "user_id", "ts"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "select event_type, count(*) as n from events group by 1")
+_add("g2_timeline", lambda t: jobs.timeline(t("events").unionByName(t("events").filter("event_id % 10 = 0")), "ts", ["event_id", "user_id", "ts"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "select event_type, count(*) as n from events group by 1")
 _add("g4_rules", lambda t: jobs.rule_stream(t("conversations"), ["conv_id", "turn"], "text", [(1, "question", r"\?"), (2, "list", r"\|")]), r"select conv_id, turn, case when regexp_matches(text, '\?') then 'question' when regexp_matches(text, '\|') then 'list' end as category from conversations")
-_add("g6_activity_windows", lambda t: t("events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n"), "select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2")
+_add("g6_activity_windows", lambda t: jobs.activity_windows(t("events"), "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz")), "select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2")
 _add("g7_sessions", lambda t: jobs.gaps(t("events"), "user_id", "ts", 86400).groupBy("user_id").agg(F.max("session").alias("sessions")),
      "select user_id, sum(fresh)::bigint as sessions from (select user_id, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) < 86400000000 then 0 else 1 end as fresh from events) group by 1")

@@ -16,7 +16,10 @@ def activity_windows(stream: DataFrame, t: str, key: str, size: str = "1 day", l
 
 
 def timeline(stream: DataFrame, t: str, replay: Sequence[str], late: str = "1 hour") -> DataFrame:
-    """New rows; exact replays within the watermark are dropped, equal values of other sources stay."""
+    """New rows; exact replays within the watermark are dropped, equal values of other sources stay. A table at hand has no
+    watermark, so there all replays go."""
+    if not stream.isStreaming:
+        return stream.dropDuplicates(list(replay))
     return stream.withWatermark(t, late).dropDuplicatesWithinWatermark(list(replay))
 
 
