@@ -1,7 +1,8 @@
 """Media columns: progressive JPEG.
 
 ``encode`` writes a payload losslessly as the quantised coefficients of a progressive 4:2:0 image (one byte is one
-coefficient, less 128). ``decode`` reads progressive images: spectral selection and successive approximation scans
+coefficient; frequent bytes are small ones). ``write_media`` stores the images as a column of a table in the shared folder, and
+``read_media`` reads that table with Spark. ``decode`` reads progressive images: spectral selection and successive approximation scans
 are accumulated in coefficient arrays, which give back the payload, and pixels: inverse transform in numpy, chroma
 upsampling, full-resolution RGB. Work goes over all images of a chunk at once: every restart interval of every image is
 a lane, and one numpy step decodes one symbol in each lane.
@@ -24,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import settle, texts
 
 UNIT, FILL = 576, 255
 #: (components, first and last coefficient, high and low bit of the approximation)
@@ -39,9 +40,12 @@ MCUS, BLOCKS = 16, 8
 CHUNK = 3 << 20
 
 ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
-#: Code lengths: short ones for a coefficient right after another, long ones for runs, ZRL and ends of band.
-AC_LENGTHS = {s: 4 for s in range(1, 11)} | {r << 4 | s: 9 for r in range(1, 16) for s in range(1, 11)} | {r << 4: 9 for r in range(16)}
+#: Code lengths: short ones for a small coefficient right after another, long ones for runs and ZRL.
+AC_LENGTHS = {r << 4 | s: 12 for r in range(16) for s in range(1, 11)} | {r << 4: 12 for r in range(16)}
+AC_LENGTHS |= {1: 2, 2: 2, 3: 2, 4: 4, 5: 6, 6: 6, 7: 6, 8: 6, 0: 5, 0x11: 7, 0x12: 7, 0x13: 7}
 DC_LENGTHS = {s: 4 for s in range(12)}
+#: Bytes from frequent to rare: blank and letters as common in Latin-script text, other visible ASCII, then the rest by number.
+_FREQUENT = b" etaoinsrhldcumfpgwybvkxjqz"
 _BITS = np.array([int(v).bit_length() for v in range(4096)])
 _SCALE = 1 << 13
 
@@ -56,6 +60,21 @@ def _basis() -> np.ndarray:
 _BASIS = _basis()
 
 
+def _coefficients() -> np.ndarray:
+    """The coefficient of each byte: 0 for the filler, then 1, -1, 2, -2 and so on from frequent to rare."""
+    order = dict.fromkeys([*_FREQUENT, *range(33, 127), *range(256)])
+    del order[FILL]
+    out = np.zeros(256, np.int64)
+    for rank, byte in enumerate(order):
+        out[byte] = (rank // 2 + 1) * (-1 if rank % 2 else 1)
+    return out
+
+
+_OF_BYTE = _coefficients()
+_TO_BYTE = np.full(257, FILL, np.uint8)
+_TO_BYTE[_OF_BYTE + 128] = np.arange(256)
+
+
 class Codes:
     """Canonical codes from lengths by symbol."""
 
@@ -212,7 +231,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         wide = int(np.ceil(np.sqrt(mcus)))
         high = -(-mcus // wide)
         units = np.zeros(wide * high * 384, np.int64)
-        units[: len(p)] = np.frombuffer(p, np.uint8).astype(np.int64) - 128
+        units[: len(p)] = _OF_BYTE[np.frombuffer(p, np.uint8)]
         grids.append((wide, high, units.reshape(high, wide, 6, 64)))
     luma = [g.reshape(h, w, 6, 64)[:, :, :4].reshape(h, w, 2, 2, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 64) for w, h, g in grids]
     planes = [luma, *([g[:, :, 4 + c].reshape(-1, 64) for _, _, g in grids] for c in range(2))]
@@ -482,7 +501,7 @@ def payload(image: Image) -> bytes:
     wide, tall = image.mcus
     luma = image.coefficients[0].reshape(tall, 2, wide, 2, 64).transpose(0, 2, 1, 3, 4).reshape(tall, wide, 4, 64)
     units = np.concatenate([luma, *(c.reshape(tall, wide, 1, 64) for c in image.coefficients[1:])], axis=2)
-    return (units.reshape(-1)[: int(image.note.split()[1])] + 128).astype(np.uint8).tobytes()
+    return _TO_BYTE[units.reshape(-1)[: int(image.note.split()[1])] + 128].tobytes()
 
 
 def pixels(images: list[Image]) -> list[np.ndarray]:
@@ -517,38 +536,59 @@ def to_payload(text: str) -> bytes:
     return data + bytes([FILL]) * (size - len(data))
 
 
-def store(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature; with ``keep`` also the stored image and the RGB tensor with its height and width."""
+def _by_chunk(make, sizes: str, columns: str):
+    """For ``mapInPandas``: ``make`` takes the rows of a batch in chunks, by the length of their ``sizes``."""
+    names = [c.strip().split()[0] for c in columns.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            begin = n = 0
+            for k, value in enumerate(batch[sizes]):
+                n += len(value)
+                if n >= CHUNK or k + 1 == len(batch):
+                    held = batch.iloc[begin : k + 1]
+                    out = pd.DataFrame(make(held), columns=names)
+                    out.insert(0, "doc_id", held["doc_id"].array)
+                    yield out
+                    begin, n = k + 1, 0
+
+    return run
 
-    def rows(many: list[str]) -> list[tuple]:
-        sent = [to_payload(t) for t in many]
-        media = encode(sent)
-        images = decode(media)
+
+def write_media(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_bytes, media: the images, written to the shared folder and read from there."""
+
+    def rows(held: pd.DataFrame) -> list[tuple]:
+        many = held["text"].tolist()
+        media = encode([to_payload(t) for t in many])
+        return [(len(t.encode("utf-8")), m) for t, m in zip(many, media, strict=True)]
+
+    columns, kind = "n_bytes long, media binary", docs.schema["doc_id"].dataType.simpleString()
+    return settle(texts(docs).mapInPandas(_by_chunk(rows, "text", columns), f"doc_id {kind}, {columns}"), "media", compression="zstd")
+
+
+def read_media(stored: DataFrame, keep: bool = False) -> DataFrame:
+    """Stored images (doc_id, n_bytes, media) -> doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, feature; with ``keep`` also the image and the RGB tensor with its height and width."""
+
+    def rows(held: pd.DataFrame) -> list[tuple]:
+        files = [bytes(m) for m in held["media"]]
+        images = decode(files)
         out = []
-        for text, file, image, rgb in zip(many, media, images, pixels(images), strict=True):
+        for n, file, image, rgb in zip(held["n_bytes"], files, images, pixels(images), strict=True):
             back = payload(image)
             sums = ":".join(map(str, rgb.sum(axis=(0, 1), dtype=np.int64)))
             feature = f"{rgb.shape[0]}x{rgb.shape[1]}:{sums}:{zlib.crc32(rgb.tobytes())}"
-            row = (len(text.encode("utf-8")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature)
+            row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature)
             out.append((*row, file, rgb.tobytes(), rgb.shape[0], rgb.shape[1]) if keep else row)
         return out
 
     columns = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     columns += ", media binary, rgb binary, height int, width int" * keep
-    names = [c.strip().split()[0] for c in columns.split(",")]
+    kind = stored.schema["doc_id"].dataType.simpleString()
+    return stored.mapInPandas(_by_chunk(rows, "media", columns), f"doc_id {kind}, {columns}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, held, begin, n = batch["doc_id"].array, [], 0, 0
-            for k, text in enumerate(batch["text"]):
-                held.append(text)
-                n += len(text)
-                if n >= CHUNK or k + 1 == len(batch):
-                    out = pd.DataFrame(rows(held), columns=names)
-                    out.insert(0, "doc_id", ids[begin : k + 1])
-                    yield out
-                    held, begin, n = [], k + 1, 0
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts(docs).mapInPandas(run, f"doc_id {kind}, {columns}")
+def store(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """Every text as an image, stored, and what is read back from it; columns as in ``read_media``."""
+    return read_media(write_media(docs), keep)

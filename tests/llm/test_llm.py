@@ -135,6 +135,16 @@ def test_media_round_trip(docs):
         assert feature.startswith(f"{rgb.shape[0]}x{rgb.shape[1]}:") and feature.endswith(str(zlib.crc32(rgb.tobytes())))
 
 
+def test_media_are_stored_and_read_back(docs):
+    stored = jpeg.write_media(docs)
+    files = {tuple(r) for r in docs.sparkSession.read.parquet(stored.settled_path).select("n_bytes", "media").collect()}
+    got = jpeg.read_media(stored, keep=True).collect()
+    assert len(got) == docs.count() and {(r["n_bytes"], r["media"]) for r in got} == files
+    for r in got:
+        assert (hashlib.sha256(r["media"]).hexdigest(), len(r["media"])) == (r["media_sha256"], r["media_bytes"])
+        assert len(r["rgb"]) == 3 * r["height"] * r["width"] and r["feature"].endswith(str(zlib.crc32(r["rgb"])))
+
+
 def test_media_any_bytes_and_pixels():
     rng = np.random.default_rng(3)
     sent = [bytes(rng.integers(0, 256, 576 * k, dtype=np.uint8)) for k in (1, 2, 5)] + [bytes(rng.choice([0, 127, 128, 129], 1152).astype(np.uint8)), b"\x80" * 576]
