@@ -9,17 +9,17 @@ OBSERVATION = (
     "id string, dataset string, source_patient_id string, observation_ts timestamp_ntz, analyte_raw string, code string, value_numeric double, value_text string, unit string, "
     "reference_low double, reference_high double, flag string"
 )
-REQUIRED = ("DATE", "PATIENT", "DESCRIPTION", "VALUE")
+REQUIRED = ("DATE", "PATIENT", "CODE", "DESCRIPTION", "VALUE")
 
 
 def _csv(spark: SparkSession, path: str, columns: list[str], required: tuple[str, ...]) -> DataFrame:
-    """CSV by header name, whatever the case and order of the columns; required ones must be there."""
+    """CSV by header name, whatever the case, order and outer blanks; required columns must be there. Values are trimmed."""
     header = spark.read.option("header", True).csv(path).columns
-    have = {c.upper(): c for c in header}
+    have = {c.strip().upper(): c for c in header}
     if missing := [c for c in required if c.upper() not in have]:
         raise ValueError(f"{path} lacks {', '.join(missing)}")
     raw = spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in header)).csv(path)
-    return raw.select(*(F.col(f"`{have[c.upper()]}`").alias(c) if c.upper() in have else F.lit(None).cast("string").alias(c) for c in columns))
+    return raw.select(*(F.trim(F.col(f"`{have[c.upper()]}`")).alias(c) if c.upper() in have else F.lit(None).cast("string").alias(c) for c in columns))
 
 
 def _when(c: str):
@@ -65,7 +65,7 @@ def read_knowledge_text(spark: SparkSession, folder: str) -> DataFrame:
     raw = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), "value")
     head = lambda n: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^{n}:(.*)$", 1)), F.lit(""))
     parts = F.split("value", r"\n---+\n", 2)
-    return raw.select("path", head("SOURCE").alias("source"), head("LICENCE").alias("licence"), head("URL").alias("url"), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0)))).alias("text"))
+    return raw.select("path", head("SOURCE").alias("source"), head("LICENCE").alias("licence"), head("URL").alias("url"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0))), r"^\s+|\s+$", "").alias("text"))
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, form: str = "parquet") -> None:
