@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ("series_plans", "relational_plans", "text_plans", "cohort_plans", "stream_plans", "extraction_plans", "model_plans", "evaluation_plans", "source_plans", "question_plans")
+PARTS = ("series_plans", "relational_plans", "text_plans", "cohort_plans", "stream_plans", "extraction_plans", "model_plans", "evaluation_plans", "source_plans", "question_plans", "feature_plans")
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _part in PARTS:
