@@ -157,3 +157,23 @@ def rerank(results: DataFrame, roles: DataFrame, longitudinal: Column, weight: f
     both = results.join(roles, "evidence_id", "left")
     mixed = (1 - weight) * F.col("score") + weight * F.coalesce("role_score", F.lit(0.5))
     return both.withColumn("score", F.round(F.when((F.col("score") > 0) & longitudinal, mixed).otherwise(F.col("score")), 6))
+
+
+def gram_tfidf(texts: DataFrame, keys: Sequence[str], sizes: Sequence[int] = (3, 4, 5), most: int = 4096) -> DataFrame:
+    """texts (``keys``, text) -> keys, gram, weight: vectors over the ``most`` commonest character grams, of length 1. Grams are taken of
+    each lower-cased word between two blanks; weights are (1 + ln count) times the smoothed inverse document frequency. The
+    cosine of two texts is the sum of products over shared grams. Null and empty texts have no rows, but count as texts;
+    only the ``most`` grams kept are broadcast."""
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+    of_size = lambda n: F.when(
+        F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substr(padded, i, F.lit(n)))
+    )
+    words = texts.select(*keys, F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
+    grams = words.select(*keys, F.explode(F.flatten(F.array_compact(F.array(*map(of_size, sizes))))).alias("gram"))
+    counts = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
+    kept = counts.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("all"), "gram").limit(most)
+    total = texts.agg(F.count(F.lit(1)).alias("texts"))
+    idf = kept.crossJoin(F.broadcast(total)).select("gram", (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = counts.join(F.broadcast(idf), "gram").withColumn("w", (1 + F.log("n")) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
+    return raw.select(*keys, "gram", F.round(F.col("w") / norm, 6).alias("weight"))

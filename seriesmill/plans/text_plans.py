@@ -148,3 +148,11 @@ _add("x27_answer_table", lambda t: answers.answer_table(_ASK(t), t("documents"),
   told as (select query_id, string_agg(idx || ':' || source, ',' order by idx) as cited, string_agg('[' || idx || '] ' || source, chr(10) order by idx) as listed from (select distinct query_id, idx, source from c) group by 1)
   select query_id, flagged, md5(case when flagged then '{_REPLY["urgent"]}' when body is null then 'Too little is known to answer this.' else body || chr(10) || chr(10) || 'Sources cited:' || chr(10) || listed end) as digest,
     case when flagged then '' else coalesce(cited, '') end as cited from fl left join a using (query_id) left join told using (query_id)""")
+_add("x16_gram_tfidf", lambda t: ret.gram_tfidf(t("conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"]),
+     r"""with w as (select conv_id, turn, ' ' || unnest(string_split_regex(lower(text), '[\x20\x09-\x0D]+')) || ' ' as p from conversations),
+  s as (select conv_id, turn, p, unnest([3, 4, 5]) as size from w where p <> '  '),
+  g as (select conv_id, turn, unnest(list_transform(range(1, length(p) - size + 2), lambda i: substring(p, i, size))) as gram from s where length(p) >= size),
+  c as (select conv_id, turn, gram, count(*) as n from g group by all),
+  k as (select gram, ln((1 + (select count(*) from conversations)) / (1 + count(*))) + 1 as idf from c group by gram order by sum(n) desc, gram limit 4096),
+  r as (select conv_id, turn, gram, (1 + ln(n)) * idf as w from c join k using (gram))
+  select conv_id, turn, gram, round(w / sqrt(sum(w * w) over (partition by conv_id, turn)), 6) as weight from r""")
