@@ -1,10 +1,10 @@
-"""Queries of evidence by intent, over questions that are drawn from the events' own series, with their DuckDB twins."""
+"""Queries of questions read from text and of evidence by intent, over the tables' own rows, with their DuckDB twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import selection
+from ..operators import questions, selection
 from .relational_plans import ORACLE as _O
 from .relational_plans import QUERIES as _Q
 from .relational_plans import _add as _add_there
@@ -73,3 +73,25 @@ _SQL = _ENDS.removeprefix("@") + f""",
     where mode = 'trend' and (role <> 'intermediate_milestone' or place <= case when turn is null then 8 else 7 end))
   select *, role not in ('reference_latest', 'no_abnormality_detected', 'intermediate_milestone') as is_primary from every"""
 _add("x23_select_evidence", lambda t: selection.select_evidence(_questions(t), t.events(), F.col("value") > 200), "@events, " + _SQL)
+
+
+_ALIASES = {"hba1c": "HbA1c", "ldl": "LDL", "creatinine": "Creatinine"}
+
+
+def _asked(t):
+    """A question about each order, in one of six ways; what it must mean follows from the order's own columns."""
+    name, d, k = F.when(F.col("o_orderstatus") == "F", "HbA1c").when(F.col("o_orderstatus") == "O", "ldl").otherwise("Creatinine"), F.col("o_orderdate"), F.col("o_orderkey") % 6
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    shown = lambda form: F.date_format(d, form)
+    text = (
+        F.when(k == 0, say(name, " on ", shown("yyyy-MM-dd"))).when(k == 1, say("Is my ", name, " rising?")).when(k == 2, say("show my last ", (F.col("o_orderkey") % 9 + 2).cast("string"), " ", name, " results"))
+        .when(k == 3, say(name, " between ", shown("MMMM yyyy"), " and ", (F.year(d) + 1).cast("string"))).when(k == 4, say("was my ", name, " high since ", shown("d MMMM yyyy"))).otherwise(say("compare ", name, " with the one before the latest"))
+    )
+    return t("orders").select(F.col("o_orderkey").alias("query_id"), text.alias("raw_query"))
+
+
+_add("x12_parse_questions", lambda t: questions.parse_questions(_asked(t), _ALIASES, "2024-03-31").drop("raw_query", "unresolved", "window_n", "window_unit"), """
+  with q as (select o_orderkey as query_id, o_orderkey % 6 as k, o_orderdate::date as d, case o_orderstatus when 'F' then 'HbA1c' when 'O' then 'LDL' else 'Creatinine' end as analyte from orders)
+  select query_id, analyte, case k when 0 then d when 3 then date_trunc('month', d)::date when 4 then d end as start_date, case k when 0 then d when 3 then make_date(year(d) + 1, 12, 31) end as end_date,
+    case when k = 2 then query_id % 9 + 2 end as wanted, k = 4 as abnormal_only, ['HISTORICAL', 'TREND', 'LAST_N', 'HISTORICAL', 'HISTORICAL', 'COMPARISON'][k + 1] as intent,
+    case when k = 5 then 'PREVIOUS' end as against, ['EXACT_DATE', 'ALL_TIME', 'LAST_N', 'BETWEEN', 'SINCE', 'ALL_TIME'][k + 1] as operator, 0.9::double as confidence from q""")
