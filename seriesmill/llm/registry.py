@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, classifier, jaccard, jpeg, mixing, personal, ppm, quality, secrets, sentencepieces, tokenfile
+from . import bpe, classifier, jaccard, jpeg, mixing, personal, ppm, quality, secrets, sentencepieces, spellings, tokenfile
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,7 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": lambda spark, sf_dir: classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_personal_data": _documents(personal.find),
     "op10_token_files": _documents(tokenfile.round_trip),
+    "op11_spelling_variants": _documents(spellings.group),
     "op13_piece_rounds": _documents(sentencepieces.encode_documents),
 }
 
-ORACLE: dict[str, str] = {"op6_jaccard_join": jaccard.SQL, "op4_divergence_rules": quality.SQL}
+ORACLE: dict[str, str] = {"op6_jaccard_join": jaccard.SQL, "op4_divergence_rules": quality.SQL, "op11_spelling_variants": spellings.SQL}
