@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, classifier, jaccard, jpeg, mixing, personal, ppm, quality, secrets, sentencepieces, spellings, tokenfile
+from . import bpe, classifier, jaccard, jpeg, mixing, negatives, personal, ppm, quality, secrets, sentencepieces, spellings, tokenfile
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -26,7 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": _documents(personal.find),
     "op10_token_files": _documents(tokenfile.round_trip),
     "op11_spelling_variants": _documents(spellings.group),
+    "op12_cover_negatives": lambda spark, sf_dir: negatives.mine(table(spark, sf_dir, "embeddings")),
     "op13_piece_rounds": _documents(sentencepieces.encode_documents),
 }
 
-ORACLE: dict[str, str] = {"op6_jaccard_join": jaccard.SQL, "op4_divergence_rules": quality.SQL, "op11_spelling_variants": spellings.SQL}
+ORACLE: dict[str, str] = {"op6_jaccard_join": jaccard.SQL, "op4_divergence_rules": quality.SQL, "op11_spelling_variants": spellings.SQL, "op12_cover_negatives": negatives.SQL}
