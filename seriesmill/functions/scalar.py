@@ -36,28 +36,39 @@ def parse_numeric_value(s: Column) -> Column:
     return F.regexp_replace(F.trim(s), r"^[<>=~ ]+", "").try_cast("double")
 
 
+#: English names of months, whole and short: fixed values.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+SHORT_MONTHS = {**{m[:3]: i + 1 for i, m in enumerate(MONTHS)}, "sept": 9}
+
+
 def parse_date_any(s: Column) -> Column:
-    """ISO, day/month/year (month first where only that can be), textual months, two-digit years; 1900 to 2100."""
-    s = F.trim(s)
-    iso = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(F.regexp_extract(s, r"^(\d{4}-\d{1,2}-\d{1,2})", 1), F.lit("yyyy-M-d")).cast("date"))
-    part = lambda i: F.regexp_extract(s, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})$", i)
-    a, b, y = part(1).try_cast("int"), part(2).try_cast("int"), part(3).try_cast("int")
-    year = F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y)
+    """The date at the text's start: three parts between signs or blanks, as year-month-day, day-month-year (month first where only that
+    can be), or with a month's name in second or first place. Two-digit years are from 1950 to 2049; 1900 to 2100."""
+    parts = F.split(F.lower(F.trim(s)), r"[-/.,\s]+")
+    digits = lambda i, most: F.regexp_extract(F.try_element_at(parts, F.lit(i)), rf"^\d{{1,{most}}}", 0).try_cast("int")
+    named = F.create_map(*(F.lit(x) for pair in {**{m: i + 1 for i, m in enumerate(MONTHS)}, **SHORT_MONTHS}.items() for x in pair))
+    month = lambda i: F.element_at(named, F.try_element_at(parts, F.lit(i)))
+    a, b, c = digits(1, 4), digits(2, 2), digits(3, 4)
+    first = F.regexp_like(F.try_element_at(parts, F.lit(1)), F.lit(r"^\d{4}"))
     swap = (b > 12) & (a <= 12)
-    day, month = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-    slash = F.when(month.between(1, 12) & day.between(1, 31), F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd")).cast("date"))
-    text = F.initcap(F.regexp_replace(s, r"[,.]", ""))
-    named = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in ("d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")))
-    found = F.coalesce(iso, slash, F.when(s.rlike("[A-Za-z]"), named))
-    return F.when(F.year(found).between(1900, 2100), found)
+    day = F.when(first, digits(3, 2)).when(month(2).isNotNull(), a).when(month(1).isNotNull(), b).when(swap, b).otherwise(a)
+    number = F.when(first, F.coalesce(month(2), b)).when(month(2).isNotNull(), month(2)).when(month(1).isNotNull(), month(1)).when(swap, a).otherwise(b)
+    year = F.when(first, a).otherwise(c)
+    year = F.when(year < 50, year + 2000).when(year < 100, year + 1900).otherwise(year)
+    found = F.when(number.between(1, 12) & day.between(1, 31) & year.between(1900, 2100), F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, number, day), F.lit("yyyy-MM-dd")).cast("date"))
+    return found
 
 
-#: Which date of a document speaks for it: type -> (rank, confidence): fixed values.
-DATE_RANKS = {"collection": (1, 0.95), "report": (2, 0.85), "received": (3, 0.7), "unknown": (4, 0.4), "print": (9, 0.1)}
+#: Which date of a document speaks for it: kind -> (rank, confidence): fixed values.
+DATE_RANKS = {"collection": (1, 0.95), "test": (2, 0.9), "result": (3, 0.85), "report": (4, 0.75), "unlabelled": (5, 0.5), "administrative": (99, 0.0)}
 
 
 def date_rank(kind: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for k, (r, _) in DATE_RANKS.items() for x in (k, r))), kind)
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, (r, _) in DATE_RANKS.items() for x in (k, r))), kind), F.lit(99))
+
+
+def date_confidence(kind: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for k, (_, c) in DATE_RANKS.items() for x in (k, c))), kind)
 
 
 def max_scale(score: str, query: str) -> Column:
@@ -158,8 +169,9 @@ def lexical_doc(*parts: Column) -> Column:
 
 
 def extraction_confidence(line: Column, unit: Column, ref: Column) -> Column:
-    score = 0.5 + F.when(unit.isNotNull(), 0.2).otherwise(0.0) + F.when(ref.isNotNull(), 0.2).otherwise(0.0) + F.when(F.length(line) < 80, 0.05).otherwise(0.0)
-    return F.least(score, F.lit(0.95))
+    """How whole a row is: fixed values for having a unit, a range and more than twelve characters."""
+    score = 0.55 + F.when(unit.isNotNull(), 0.2).otherwise(0.0) + F.when(ref.isNotNull(), 0.15).otherwise(0.0) + F.when(F.length(line) > 12, 0.05).otherwise(0.0)
+    return F.round(F.least(score, F.lit(0.99)), 3)
 
 
 def explanation(status: Column, name: Column, value: Column, templates: DataFrame | None = None) -> Column:

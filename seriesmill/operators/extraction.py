@@ -1,4 +1,4 @@
-"""Values, dates and lines from text tables, and the selections, facts and checks that answers are built from."""
+"""Names brought to a vocabulary, and the selections, facts and checks that answers are built from."""
 
 from __future__ import annotations
 
@@ -11,56 +11,6 @@ from ..functions import scalar
 from . import series
 
 
-def lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-
-
-_LAB_LINE = r"^\s*([A-Za-z][A-Za-z .()/-]{1,40}?)[\s:|]+([<>]?\d+(?:[.,]\d+)?)\s*((?:[A-Za-z%][A-Za-z%/^0-9]*)?)\s*(?:\(?(\d+(?:\.\d+)?)\s*-\s*(\d+(?:\.\d+)?)\)?)?\s*([HL]|high|low)?\s*$"
-
-
-def lab_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Every line shaped like a result: name, value, unit, range, flag."""
-    part = lambda i: F.nullif(F.trim(F.regexp_extract("line", _LAB_LINE, i)), F.lit(""))
-    return lines(df, key, text).filter(F.col("line").rlike(_LAB_LINE)).select(
-        key, "line_no", part(1).alias("name"), scalar.parse_numeric_value(F.replace(part(2), F.lit(","), F.lit("."))).alias("value"), part(3).alias("unit"),
-        part(4).try_cast("double").alias("ref_low"), part(5).try_cast("double").alias("ref_high"), part(6).alias("flag"),
-    )
-
-
-def lab_values(df: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
-    """First match of each test's expression in a text: its number and unit."""
-    found = [F.struct(F.lit(n).alias("test"), F.regexp_extract(text, p, 1).try_cast("double").alias("value"), F.nullif(F.regexp_extract(text, p, 2), F.lit("")).alias("unit")) for n, p in patterns.items()]
-    return df.select(key, F.inline(F.filter(F.array(*found), lambda x: x["value"].isNotNull())))
-
-
-_DATE = r"(\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{2,4}|\d{1,2} [A-Z][a-z]{2,8} \d{4})"
-
-
-def dates(df: DataFrame, key: str, text: str) -> DataFrame:
-    """All dates by line, with the kind that the line's words give."""
-    found = lines(df, key, text).select(key, "line_no", F.lower("line").alias("low"), F.explode(F.regexp_extract_all("line", F.lit(_DATE), F.lit(1))).alias("raw"))
-    kind = F.when(F.col("low").rlike("collect|sample|drawn"), "collection").when(F.col("low").rlike("report"), "report").when(F.col("low").rlike("receiv"), "received").when(F.col("low").rlike("print"), "print").otherwise("unknown")
-    return found.select(key, "line_no", "raw", scalar.parse_date_any(F.col("raw")).alias("date"), kind.alias("kind")).filter("date is not null")
-
-
-def document_date(found: DataFrame, key: str) -> DataFrame:
-    """The best date of a document: by rank of its kind, then line; printing dates don't count."""
-    ranked = found.filter("kind <> 'print'").withColumn("rank", scalar.date_rank(F.col("kind")))
-    return ranked.groupBy(key).agg(F.min_by(F.struct("date", "kind"), F.struct("rank", "line_no")).alias("r")).select(key, "r.*")
-
-
-_STRENGTH = r"(?i)\b\d+(?:\.\d+)?\s?(?:mg|mcg|g|ml|iu)(?![/\w])"
-
-
-def medicine_lines(df: DataFrame, key: str, text: str, reach: int = 4, most: int = 30) -> DataFrame:
-    """Lines that name a strength, with the next text line that follows within ``reach`` lines; at most ``most`` a document."""
-    w = Window.partitionBy(key).orderBy("line_no")
-    all_ = lines(df, key, text).filter(F.trim("line") != "").withColumns({"next": F.lead("line").over(w), "next_no": F.lead("line_no").over(w)})
-    hit = all_.filter(F.col("line").rlike(_STRENGTH))
-    follow = F.when((F.col("next_no") - F.col("line_no") <= reach + 1) & ~F.col("next").rlike(_STRENGTH), F.trim("next"))
-    return hit.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select(key, "line_no", F.trim("line").alias("line"), follow.alias("instruction"))
-
-
 def noisy_variants(vocabulary: DataFrame, name: str) -> DataFrame:
     """Spellings of each name: case, punctuation and suffixes."""
     v = F.col(name)

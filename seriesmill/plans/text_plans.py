@@ -36,7 +36,7 @@ _add("f3_parse_number", lambda t: t("orders").select("o_orderkey", fn.parse_numb
      "select o_orderkey, case when o_orderkey % 4 <> 0 then round((o_totalprice / 10)::decimal(18, 6), 2)::double end as v from orders")
 _add("f4_parse_numeric_value", lambda t: t("lineitem").select("l_orderkey", "l_linenumber", fn.parse_numeric_value(F.concat(F.when(F.col("l_linenumber") % 2 == 0, "<= ").otherwise(" "), F.col("l_quantity").cast("string"))).alias("v")), "select l_orderkey, l_linenumber, l_quantity as v from lineitem")
 _add("f5_parse_date_any", lambda t: t("orders").select("o_orderkey", fn.parse_date_any(F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "d MMM yyyy"))).cast("string").alias("d")), "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as d from orders")
-_add("f6_date_rank", lambda t: t("events").groupBy(fn.date_rank(F.when(F.col("event_type") == "click", "collection").when(F.col("event_type") == "view", "print").otherwise("report")).alias("rank")).count(), "select case event_type when 'click' then 1 when 'view' then 9 else 2 end as rank, count(*) as count from events group by 1")
+_add("f6_date_rank", lambda t: t("events").groupBy(fn.date_rank(F.when(F.col("event_type") == "click", "collection").when(F.col("event_type") == "view", "administrative").otherwise("report")).alias("rank")).count(), "select case event_type when 'click' then 1 when 'view' then 99 else 4 end as rank, count(*) as count from events group by 1")
 _add("f7_scales", lambda t: t("customer").select("c_custkey", F.round(fn.max_scale("c_acctbal", "c_nationkey"), 6).alias("by_max"), F.round(fn.minmax_scale("c_acctbal", "c_nationkey"), 6).alias("by_range")),
      "select c_custkey, round(case when max(c_acctbal) over w > 0 then c_acctbal / max(c_acctbal) over w else 0 end, 6) as by_max, round(case when max(c_acctbal) over w > min(c_acctbal) over w then (c_acctbal - min(c_acctbal) over w) / (max(c_acctbal) over w - min(c_acctbal) over w) else 0 end, 6) as by_range from customer window w as (partition by c_nationkey)")
 _DOT = "list_sum(list_transform(embedding, lambda x: x::double * x::double))"
@@ -56,7 +56,7 @@ _add("f18_keyword_hit", lambda t: t("documents").filter(fn.keyword_hit(F.col("te
 _add("f19_explanation", lambda t: t("part").select("p_partkey", fn.explanation(F.when(F.col("p_size") > 40, "high").when(F.col("p_size") < 5, "unknown").otherwise("normal"), F.col("p_brand"), F.col("p_size")).alias("e")),
      "select p_partkey, p_brand || ' is ' || p_size || case when p_size > 40 then ', above its range.' when p_size < 5 then '; its range isn''t known.' else ', in its range.' end as e from part")
 _add("f20_lexical_doc", lambda t: t("part").select("p_partkey", fn.lexical_doc(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("d")), "select p_partkey, concat_ws(' ', p_name, p_brand, p_type) as d from part")
-_add("f21_extraction_confidence", lambda t: t("part").select("p_partkey", F.round(fn.extraction_confidence(F.col("p_name"), F.when(F.col("p_size") > 10, "u"), F.when(F.col("p_size") > 30, "r")), 4).alias("c")), "select p_partkey, round(least(0.5 + case when p_size > 10 then 0.2 else 0 end + case when p_size > 30 then 0.2 else 0 end + case when length(p_name) < 80 then 0.05 else 0 end, 0.95)::double, 4) as c from part")
+_add("f21_extraction_confidence", lambda t: t("part").select("p_partkey", F.round(fn.extraction_confidence(F.col("p_name"), F.when(F.col("p_size") > 10, "u"), F.when(F.col("p_size") > 30, "r")), 4).alias("c")), "select p_partkey, round(least(0.55 + case when p_size > 10 then 0.2 else 0 end + case when p_size > 30 then 0.15 else 0 end + case when length(p_name) > 12 then 0.05 else 0 end, 0.99)::double, 3) as c from part")
 _add("f22_word_error", lambda t: t("conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("before is not null")
      .select("conv_id", "turn", F.round(fn.word_error_accuracy(F.col("before"), F.col("text")), 6).alias("a")))
 _add("f23_json_fields", lambda t: t("events").groupBy(F.get_json_object("props", "$.page").alias("page")).agg(F.count(F.lit(1)).alias("n")), "select json_extract_string(props, '$.page') as page, count(*) as n from events group by 1")
