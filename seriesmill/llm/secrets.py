@@ -118,7 +118,8 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[str, ...]
 
 def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with each secret's characters replaced by ``*``: the same columns, the same length of text. Null text stays."""
-    names, kind, scanner = docs.columns, docs.schema, compiled(rules)
+    scanner, at = compiled(rules), f"c{docs.columns.index('text')}"
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # mapInPandas finds no names with dots
 
     def run(batches):
         def one(text):
@@ -132,6 +133,6 @@ def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             return "".join(out) + text[done:]
 
         for batch in batches:
-            yield batch.assign(text=[one(t) for t in batch["text"]])
+            yield batch.assign(**{at: [one(t) for t in batch[at]]})
 
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInPandas(run, kind)
+    return plain.mapInPandas(run, plain.schema).toDF(*docs.columns)
