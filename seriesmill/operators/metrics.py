@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -57,22 +59,21 @@ def macro_f1(df: DataFrame, truth: str, guess: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, truth: Column, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Mann-Whitney with average ranks, from counts per score: ties share their rank, and a window runs over distinct
-    scores only."""
+    """Mann-Whitney with average ranks, from counts per score; ties share their rank. Where one class lacks, 0.5."""
     per = df.groupBy(*keys, score).agg(F.count_if(truth).alias("p"), F.count_if(~truth).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    agg = per.withColumn("below", below).groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)).alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    return agg.select(*keys, F.round(F.when((F.col("np") > 0) & (F.col("nq") > 0), F.col("u") / (F.col("np") * F.col("nq"))), 6).alias("auc"))
+    per = running(per, [F.col(score)], ["q"], keys)
+    agg = per.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2.0)).alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    return agg.select(*keys, F.round(F.when((F.col("np") > 0) & (F.col("nq") > 0), F.col("u") / (F.col("np") * F.col("nq"))).otherwise(0.5), 6).alias("auc"))
 
 
 def pr_auc(df: DataFrame, truth: Column, score: str) -> DataFrame:
     """Area under precision over recall by trapezoids, thresholds at distinct scores."""
     per = df.groupBy(score).agg(F.count_if(truth).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc(score))
-    run = per.select(score, F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("seen"), F.sum("p").over(Window.partitionBy()).alias("all"))
-    run = run.withColumns({"r": F.col("tp") / F.nullif("all", F.lit(0)), "pr": F.col("tp") / F.col("seen")})
-    run = run.withColumns({"r0": F.lag("r", 1, 0.0).over(w), "p0": F.lag("pr", 1, 1.0).over(w)})
-    return run.agg(F.round(F.sum((F.col("r") - F.col("r0")) * (F.col("pr") + F.col("p0")) / 2), 6).alias("pr_auc"))
+    every = per.agg(F.sum("p").alias("all"))
+    run = running(per, [F.desc(score)], ["p", "n"]).crossJoin(F.broadcast(every))  # one row
+    r0, p0 = F.col("p_before") / F.nullif("all", F.lit(0)), F.when(F.col("n_before") > 0, F.col("p_before") / F.col("n_before")).otherwise(1.0)
+    r, p = (F.col("p_before") + F.col("p")) / F.nullif("all", F.lit(0)), (F.col("p_before") + F.col("p")) / (F.col("n_before") + F.col("n"))
+    return run.agg(F.round(F.sum((r - r0) * (p + p0) / 2), 6).alias("pr_auc"))
 
 
 def calibration_error(df: DataFrame, truth: Column, p: str, bins: int = 10) -> DataFrame:
@@ -82,6 +83,19 @@ def calibration_error(df: DataFrame, truth: Column, p: str, bins: int = 10) -> D
     return per.agg(F.round(F.sum(F.col("n") * F.abs(F.col("said") - F.col("was"))) / F.sum("n"), 6).alias("ece"))
 
 
+def residual_calibration(df: DataFrame, y: str, guess: str, i: str, bins: int = 5) -> DataFrame:
+    """Mean over bins of equal count, in order of the guess (ties by ``i``), of the size of the bin's mean residual; the first bins take
+    the rows left over, bins without rows don't count, and an empty table gives 0. Rows without a value or a guess don't count."""
+    rows = df.filter(F.col(y).isNotNull() & F.col(guess).isNotNull()).select(F.col(guess).cast("double").alias("g"), F.col(i).alias("i"), (F.col(y).cast("double") - F.col(guess).cast("double")).alias("e"), F.lit(1).alias("one"))
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    placed = running(rows, [F.col("g"), F.col("i")], ["one"]).crossJoin(F.broadcast(n))  # one row
+    least, more, at = F.floor(F.col("n") / bins), F.col("n") % bins, F.col("one_before")
+    edge = more * (least + 1)
+    b = F.when(at < edge, F.floor(at / (least + 1))).otherwise(more + F.floor((at - edge) / F.greatest(least, F.lit(1))))
+    per = placed.groupBy(b.alias("bin")).agg(F.abs(F.avg("e")).alias("bias"))
+    return per.agg(F.round(F.coalesce(F.avg("bias"), F.lit(0.0)), 6).alias("residual_error"), F.count(F.lit(1)).alias("bins"))
+
+
 def regression(df: DataFrame, y: str, guess: str, keys: Sequence[str] = ()) -> DataFrame:
     e = F.col(y) - F.col(guess)
     agg = df.groupBy(*keys).agg(
@@ -102,9 +116,8 @@ def rank_stability(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation of two scores, ties at their average rank, from counts per value."""
 
     def average(c: str) -> DataFrame:
-        n = df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.orderBy(c))
-        return n.select(F.col(c).alias(f"{c}_key"), (upto - (F.col("n") - 1) / 2.0).alias(f"{c}_rank"))
+        n = running(df.groupBy(c).agg(F.count(F.lit(1)).alias("n")), [F.col(c)], ["n"])
+        return n.select(F.col(c).alias(f"{c}_key"), (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(f"{c}_rank"))
 
     both = df.join(average(a), F.col(a) == F.col(f"{a}_key")).join(average(b), F.col(b) == F.col(f"{b}_key"))
     return both.agg(F.round(F.corr(f"{a}_rank", f"{b}_rank"), 6).alias("rho"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import series
 from .retrieval import knn
+from .vectors import VectorIndex
 
 
 def _prepared(columns: Sequence[str]) -> list:
@@ -86,9 +87,10 @@ def forecast(df: DataFrame, horizon_days: float, z: float = 1.96, least: int = 3
     return out.select(*keys, "n", F.round("forecast", 3).alias("forecast"), F.round(F.col("forecast") - z * F.col("sd"), 3).alias("low"), F.round(F.col("forecast") + z * F.col("sd"), 3).alias("high"), F.when(line, "line").otherwise("persistence").alias("method"))
 
 
-def local_outlier_factor(vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Local outlier factor on cosine distance: the neighbour table once, then two joins of it with its own aggregates."""
-    n = knn(vectors, vectors, k).select("query_id", "vec_id", F.greatest(1.0 - F.col("score"), F.lit(1e-9)).alias("d"))
+def local_outlier_factor(vectors: DataFrame, k: int = 10, index: VectorIndex | None = None) -> DataFrame:
+    """Local outlier factor on cosine distance: the neighbour table once, through ``index`` where there is one (else of all
+    pairs), then two joins of it with its own aggregates."""
+    n = (index.search(vectors, k) if index else knn(vectors, vectors, k)).select("query_id", "vec_id", F.greatest(1.0 - F.col("score"), F.lit(1e-9)).alias("d"))
     reach = n.groupBy("query_id").agg(F.max("d").alias("kd"))
     wide = n.join(reach.select(F.col("query_id").alias("vec_id"), "kd"), "vec_id").groupBy("query_id").agg((1.0 / F.avg(F.greatest("d", "kd"))).alias("density"))
     near = n.join(wide.select(F.col("query_id").alias("vec_id"), F.col("density").alias("nd")), "vec_id").groupBy("query_id").agg(F.avg("nd").alias("nd"))

@@ -66,6 +66,9 @@ _add("e6_macro_f1", lambda t: me.macro_f1(t("orders").withColumn("guess", F.when
 _add("e7_roc_auc", lambda t: me.roc_auc(_judged(t), F.col("truth"), "n_chars"), f"{_J}, s as (select n_chars, count(*) filter (where truth) as p, count(*) filter (where not truth) as q from j group by 1), b as (select *, coalesce(sum(q) over (order by n_chars rows between unbounded preceding and 1 preceding), 0) as below from s) select round(sum(p * (below + q / 2.0)) / (sum(p) * sum(q)), 6)::double as auc from b")
 _add("e7_pr_auc", lambda t: me.pr_auc(_judged(t), F.col("truth"), "n_chars"), f"{_J}, s as (select n_chars, count(*) filter (where truth) as p, count(*) as n from j group by 1), r as (select n_chars, sum(p) over w / (sum(p) over ())::double as r, sum(p) over w / (sum(n) over w)::double as pr from s window w as (order by n_chars desc)), l as (select *, lag(r, 1, 0) over w as r0, lag(pr, 1, 1) over w as p0 from r window w as (order by n_chars desc)) select round(sum((r - r0) * (pr + p0) / 2), 6) as pr_auc from l")
 _add("e8_calibration", lambda t: me.calibration_error(_judged(t), F.col("truth"), "p"), f"{_J}, b as (select least(floor(p * 10), 9) as b, count(*) as n, avg(p) as s, avg(truth::int) as w from j group by 1) select round(sum(n * abs(s - w)) / sum(n), 6) as ece from b")
+_add("e8_residual_calibration", lambda t: me.residual_calibration(t("lineitem").withColumns({"g": F.col("l_quantity") * 1500, "i": F.struct("l_orderkey", "l_linenumber", "l_extendedprice")}), "l_extendedprice", "g", "i", 7),
+     "with r as (select l_extendedprice - l_quantity * 1500 as e, row_number() over (order by l_quantity * 1500, l_orderkey, l_linenumber, l_extendedprice) - 1 as pos, count(*) over () as n from lineitem), b as (select case when pos < (n % 7) * (n // 7 + 1) then pos // (n // 7 + 1) else n % 7 + (pos - (n % 7) * (n // 7 + 1)) // (n // 7) end as bin, abs(avg(e)) as bias from r group by 1) select round(avg(bias), 6) as residual_error, count(*) as bins from b")
+_add("e7_roc_auc_by_lang", lambda t: me.roc_auc(_judged(t), F.col("truth"), "n_chars", ["lang"]), f"{_J}, s as (select lang, n_chars, count(*) filter (where truth) as p, count(*) filter (where not truth) as q from j group by 1, 2), b as (select *, coalesce(sum(q) over (partition by lang order by n_chars rows between unbounded preceding and 1 preceding), 0) as below from s) select lang, coalesce(round(sum(p * (below + q / 2.0)) / nullif(sum(p) * sum(q), 0), 6), 0.5)::double as auc from b group by 1")
 _add("e10_regression", lambda t: me.regression(t("lineitem").withColumn("g", F.col("l_quantity") * 1500), "l_extendedprice", "g", ["l_returnflag"]),
      "select l_returnflag, round(avg(abs(l_extendedprice - l_quantity * 1500)), 6) as mae, round(sqrt(avg(pow(l_extendedprice - l_quantity * 1500, 2))), 6) as rmse, round(avg(abs((l_extendedprice - l_quantity * 1500) / l_extendedprice)), 6) as mape, round(1 - sum(pow(l_extendedprice - l_quantity * 1500, 2)) / (var_pop(l_extendedprice) * count(*)), 6) as r2, count(*) as n from lineitem group by 1")
 _add("e11_at_k", lambda t: me.at_k(_judged(t), F.col("truth"), "p", "doc_id", 50, 0.5), f"{_J}, k as (select count(*) filter (where truth) as f from (select truth from j order by p desc, doc_id limit 50)) select round(f / 50.0::double, 6) as precision, round(f / (select count(*) from j where truth)::double, 6) as recall, round((select count(*) filter (where p >= 0.5) / count(*)::double from j where not truth), 6) as fpr from k")
