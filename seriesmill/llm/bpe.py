@@ -246,12 +246,12 @@ def codec(path: str | None = None, states: int = STATES, most: int = MEMORY) ->
     return Codec(load_ranks(path or public_tokenizers.path(RANKS)), public_tokenizers.PATTERN, states, most)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False, states: int = STATES, most: int = MEMORY) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False, states: int = STATES, most: int = MEMORY, forgetful: bool = False) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids (array of int). ``states`` and
-    ``most`` (bytes of parts) bound what a Python worker remembers."""
+    ``most`` (bytes of parts) bound what a Python worker remembers; ``forgetful``: it remembers nothing from task to task."""
 
     def make():
-        own = codec(path, states, most)
+        own = codec.__wrapped__(path, states, most) if forgetful else codec(path, states, most)
 
         def rows(many: list[str]) -> Iterator[tuple]:
             for ids in own.encode_all(many):
@@ -264,4 +264,4 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
         return rows
 
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return map_many(docs, make, columns, 1000 if keep_ids else 4000)
+    return map_many(docs, make, columns, 1000 if keep_ids else 4000, forgetful)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +59,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def tidy() -> None:
+    """Give memory that a Python worker no longer uses back to its machine: workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has such a call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[str], tuple]], columns: str) -> DataFrame:
     """doc_id and, for each whole text, the tuple that ``make()(text)`` gives; ``make`` runs once in each task."""
     names = [c.strip().split()[0] for c in columns.split(",")]
@@ -72,11 +84,14 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[str], tuple]], colum
     return texts(docs).mapInPandas(run, f"doc_id {kind}, {columns}")
 
 
-def map_many(docs: DataFrame, make: Callable[[], Callable[[list[str]], Iterator[tuple]]], columns: str, rows: int = 4000) -> DataFrame:
-    """As ``map_texts``, with ``make()`` taking the whole texts of up to ``rows`` rows at a time."""
+def map_many(docs: DataFrame, make: Callable[[], Callable[[list[str]], Iterator[tuple]]], columns: str, rows: int = 4000, leave_tidy: bool = False) -> DataFrame:
+    """As ``map_texts``, with ``make()`` taking the whole texts of up to ``rows`` rows at a time. ``leave_tidy``: give memory back
+    before and after each task."""
     names = [c.strip().split()[0] for c in columns.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if leave_tidy:
+            tidy()
         of = make()
         for whole in batches:
             for at in range(0, len(whole), rows):
@@ -84,6 +99,9 @@ def map_many(docs: DataFrame, make: Callable[[], Callable[[list[str]], Iterator[
                 out = pd.DataFrame(list(of(batch["text"].tolist())), columns=names)
                 out.insert(0, "doc_id", batch["doc_id"].array)
                 yield out
+        if leave_tidy:
+            del of
+            tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return texts(docs).mapInPandas(run, f"doc_id {kind}, {columns}")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata import Dfa
-from .common import map_texts
+from .common import map_texts, tidy
 
 
 def any_case(word: str) -> str:
@@ -134,5 +134,6 @@ def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
         for batch in batches:
             yield batch.assign(**{at: [one(t) for t in batch[at]]})
+        tidy()
 
     return plain.mapInPandas(run, plain.schema).toDF(*docs.columns)
