@@ -38,10 +38,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each remaining row, with the digests of ids and of what they decode to. Workers of the stages before
-    still hold memory, so this one remembers less than the operator does alone."""
+    """Token ids of each remaining row, with the digests of ids and of what they decode to. The executors' JVMs
+    still hold what the stages before needed, so its workers remember less than the operator does alone, and nothing from task to task."""
     share_code(spark)
-    return bpe.encode_documents(docs, keep_ids=True, states=60_000, most=30 << 20)
+    return bpe.encode_documents(docs, keep_ids=True, states=40_000, most=20 << 20, forgetful=True)
 
 
 STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("secrets", secret_masking), ("mixing", source_mixing), ("tokens", tokens)]
