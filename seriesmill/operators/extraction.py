@@ -1,4 +1,4 @@
-"""Names brought to a vocabulary, and the selections, facts and checks that answers are built from."""
+"""Names brought to a vocabulary, and selections and scores of evidence."""
 
 from __future__ import annotations
 
@@ -51,27 +51,6 @@ def compare_periods(df: DataFrame, start: str, end: str, keys: Sequence[str] = s
     return agg.select(*keys, F.posexplode(rows).alias("place", "r")).select(*keys, "r.*", F.when(F.col("place") == 0, "period_start").otherwise("period_end").alias("role"))
 
 
-def derived_facts(features: DataFrame, keys: Sequence[str] = series.KEYS) -> DataFrame:
-    """Trajectory features in long form: (keys, fact, value)."""
-    names = ("span_days", "delta", "relative_change", "slope_per_day", "low", "high", "consistency")
-    rows = F.filter(F.array(*(F.struct(F.lit(n).alias("fact"), F.col(n).cast("double").alias("value")) for n in names)), lambda x: x["value"].isNotNull())
-    return features.select(*keys, F.inline(rows))
-
-
-def claims(features: DataFrame, keys: Sequence[str] = series.KEYS) -> DataFrame:
-    """One sentence per series from its features."""
-    text = F.format_string("%s went from %.2f to %.2f over %d readings and is %s.", F.col(keys[-1]), "baseline", "latest", F.col("n").cast("int"), "direction")
-    return features.select(*keys, text.alias("sentence"))
-
-
-def verify_claims(told: DataFrame, facts: DataFrame, keys: Sequence[str] = series.KEYS, within: float = 0.01) -> DataFrame:
-    """told (keys, sentence), facts (keys, values array): every number of a sentence must be near one of its facts."""
-    numbers = F.transform(F.regexp_extract_all("sentence", F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.cast("double"))
-    loose = F.filter("numbers", lambda x: ~F.exists("values", lambda v: F.abs(v - x) <= within))
-    both = told.withColumn("numbers", numbers).join(facts, list(keys), "left").withColumn("values", F.coalesce("values", F.array().cast("array<double>")))
-    return both.withColumn("loose", loose).select(*keys, (F.size("loose") == 0).alias("grounded"), F.size("loose").cast("long").alias("n_loose"))
-
-
 def cite_facts(told: DataFrame, facts: DataFrame, on: str) -> DataFrame:
     """Facts whose contributors are within a claim's citations, or the other way round."""
     inside = lambda a, b: F.size(F.array_except(a, b)) == 0

@@ -90,17 +90,5 @@ def _terms(t):
 _add("x9_normalise_terms", _terms)
 _add("w9_compare_periods", lambda t: ex.compare_periods(t.events(), "2024-01-10", "2024-01-20"), """@events, p as (select patient_id, analyte, arg_min((evidence_id, value), (abs(epoch_us(ts) - epoch_us(timestamp '2024-01-10')), ts, evidence_id)) as a, arg_min((evidence_id, value), (abs(epoch_us(ts) - epoch_us(timestamp '2024-01-20')), ts, evidence_id)) as b from o group by 1, 2)
   select patient_id, analyte, a[1] as evidence_id, a[2] as value, 'period_start' as role from p union all select patient_id, analyte, b[1], b[2], 'period_end' from p where a <> b""")
-_F = "f as (select patient_id, analyte, count(*) as n, arg_min(value, (ts, evidence_id)) as baseline, arg_max(value, (ts, evidence_id)) as latest, min(value) as low, max(value) as high from o where value is not null group by 1, 2)"
-_add("x24_derived_facts", lambda t: ex.derived_facts(series.trajectory_features(t.events())).filter("fact in ('delta', 'low', 'high')").withColumn("value", F.round("value", 4)), f"@events, {_F} select patient_id, analyte, 'delta' as fact, round(latest - baseline, 4) as value from f union all select patient_id, analyte, 'low', round(low, 4) from f union all select patient_id, analyte, 'high', round(high, 4) from f")
-
-
-def _checked(t):
-    f = series.trajectory_features(t.events())
-    told = ex.claims(f).withColumn("sentence", F.when(F.col("patient_id") % 10 == 0, F.concat("sentence", F.lit(" Then 123456.7 followed."))).otherwise(F.col("sentence")))
-    facts = f.select("patient_id", "analyte", F.array(F.round("baseline", 2), F.round("latest", 2), F.col("n").cast("double")).alias("values"))
-    return ex.verify_claims(told, facts)
-
-
-_add("x25_x26_claims", _checked, "@events select distinct patient_id, analyte, patient_id % 10 <> 0 as grounded, (patient_id % 10 = 0)::int::bigint as n_loose from o")
 _add("j14_cite_facts", lambda t: ex.cite_facts(t.orders().groupBy("patient_id").agg(F.sort_array(F.collect_set("evidence_id")).alias("cited")), t.orders().withColumn("y", F.year("ts")).groupBy("patient_id", "y").agg(F.collect_set("evidence_id").alias("contributors")), "patient_id").select("patient_id", "y"), "@orders select distinct patient_id, year(ts) as y from o")
 _add("x20_intent_score", lambda t: ex.intent_score(t.events(), F.col("value") > 150, True), "@events select patient_id, analyte, evidence_id, case when value > 150 and row_number() over (partition by patient_id, analyte, value > 150 order by ts, evidence_id) = 1 then 1.0 when value > 150 then 0.5 else 0.0 end::double as s_intent from o")

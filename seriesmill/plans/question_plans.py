@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import questions, selection
+from ..bindings import SQL_EVENTS
+from ..operators import claims, questions, selection
+from ..session import scratch
 from .relational_plans import ORACLE as _O
 from .relational_plans import QUERIES as _Q
 from .relational_plans import _add as _add_there
@@ -75,6 +77,79 @@ _SQL = _ENDS.removeprefix("@") + f""",
 _add("x23_select_evidence", lambda t: selection.select_evidence(_questions(t), t.events(), F.col("value") > 200), "@events, " + _SQL)
 
 
+# --- facts, sentences and their checks ---
+def _selected(t):
+    """The evidence of the questions above, once, with a flag for values beyond 200."""
+    path = scratch(t.spark, "selected")
+    selection.select_evidence(_questions(t), t.events(), F.col("value") > 200).withColumn("flag", F.when(F.col("value") > 200, "high")).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
+_SELECTED = f"with recursive s as (with {SQL_EVENTS}, {_SQL}), f as (select *, case when value > 200 then 'high' end as flag from s)"
+_SHEET = _SELECTED + """,
+  w as (select *, row_number() over (partition by query_id order by ts, evidence_id) as i, count(*) over (partition by query_id) as n from f),
+  g as (select query_id, any_value(mode) as mode, any_value(n) as n, min_by((evidence_id, ts, value, flag), i) as a, max_by((evidence_id, ts, value, flag), i) as z,
+    min_by((evidence_id, ts, value, flag), i) filter (where value is not null) as va, max_by((evidence_id, ts, value, flag), i) filter (where value is not null) as vz,
+    min_by((evidence_id, ts, value, flag), (value, i)) filter (where value is not null) as lo, min_by((evidence_id, ts, value, flag), (-value, i)) filter (where value is not null) as hi,
+    min_by((evidence_id, ts, value, flag), i) filter (where role in ('predecessor', 'only_observation_available')) as p, min_by((evidence_id, ts, value, flag), i) filter (where role = 'reference_latest') as r,
+    min_by((evidence_id, ts, value, flag), i) filter (where role in ('first_abnormal', 'abnormal')) as b, min_by((evidence_id, ts, value, flag), i) filter (where role = 'inflection_point') as t from w group by query_id),
+  h as (select *, round(greatest((epoch_us(vz[2]) - epoch_us(va[2])) / 86400e6, 0), 2) as span, round(vz[3] - va[3], 4) as delta from g),
+  sheet as (select *, case when delta > 1e-4 then 'increased' when delta < -1e-4 then 'decreased' when delta is not null then 'stable' end as dir,
+    round(abs(t[3] - va[3] - (epoch_us(t[2]) - epoch_us(va[2])) / nullif(epoch_us(vz[2]) - epoch_us(va[2]), 0)::double * (vz[3] - va[3])), 4) as off from h)"""
+_IDS = "case when va[1] = vz[1] then va[1]::varchar else va[1] || ' ' || vz[1] end"
+_add("x24_derived_facts", lambda t: claims.derived_facts(_selected(t)).select("query_id", "fact", "value", "word", F.concat_ws(" ", F.transform("contributors", lambda x: x.cast("string"))).alias("contributors"), "start_ts", "end_ts"),
+     f"""{_SHEET}, v as (select * from sheet where va is not null)
+  select query_id, 'span_days' as fact, span as value, null as word, {_IDS} as contributors, va[2] as start_ts, vz[2] as end_ts from v
+  union all select query_id, 'absolute_delta', delta, null, {_IDS}, va[2], vz[2] from v
+  union all select query_id, 'relative_change_pct', round(delta / abs(va[3]) * 100, 2), null, {_IDS}, va[2], vz[2] from v where abs(va[3]) > 1e-6
+  union all select query_id, 'direction', null, dir, {_IDS}, va[2], vz[2] from v
+  union all select query_id, 'slope_per_day', round(delta / span, 6), null, {_IDS}, va[2], vz[2] from v where span > 0
+  union all select query_id, 'min_value', lo[3], null, lo[1]::varchar, lo[2], lo[2] from v union all select query_id, 'max_value', hi[3], null, hi[1]::varchar, hi[2], hi[2] from v
+  union all select query_id, 'inflection_point', off, null, va[1] || ' ' || t[1] || ' ' || vz[1], t[2], t[2] from v where t[3] is not null""")
+_no = lambda x: f"regexp_replace(printf('%.4f', ({x})::double), '\\.?0+$', '')"
+_on = lambda x: f"strftime({x}[2], '%Y-%m-%d')"
+_of = lambda *rows: "[" + ", ".join(f"{r}[1]" for r in rows) + "]"
+_MADE = f"""{_SHEET}, series_ as (select user_id as patient_id, event_type as analyte, min(event_id) * 4 + k as query_id from events, range(4) as r(k) group by 1, 2, k), lists as (select query_id, string_agg({_no("value")} || ' on ' || strftime(ts, '%Y-%m-%d') || ' [' || evidence_id || ']', ', ' order by i) as list, list(evidence_id order by i) as ids from w where mode = 'last_n' group by 1),
+  m as (select sheet.*, case when mode in ('dates', 'trend') and n = 1 then 'current' else mode end as told, patient_id, analyte, list, ids from sheet join series_ using (query_id) left join lists using (query_id)),
+  told as (
+  select query_id, 1 as place, 'Before the latest test, ' || analyte || ' was ' || {_no("p[3]")} || ' on ' || {_on("p")} || ' [' || p[1] || '].' as sentence, {_of("p")} as cited from m where told = 'previous' and p is not null
+  union all select query_id, 2, 'The latest ' || analyte || ' is ' || {_no("r[3]")} || ', of ' || {_on("r")} || ' [' || r[1] || '].', {_of("r")} from m where told = 'previous' and p is not null and r is not null
+  union all select query_id, 3, 'Between the two, ' || analyte || ' ' || dir || ' by ' || {_no("abs(delta)")} || ' [' || p[1] || ', ' || r[1] || '].', {_of("p", "r")} from m where told = 'previous' and p is not null and r is not null
+  union all select query_id, 1, 'The latest ' || analyte || ' is ' || {_no("z[3]")} || ', measured on ' || {_on("z")} || ' [' || z[1] || '].', {_of("z")} from m where told = 'current'
+  union all select query_id, 2, 'It was flagged as high [' || z[1] || '].', {_of("z")} from m where told = 'current' and z[4] = 'high'
+  union all select query_id, 1, 'The last ' || n || ' values of ' || analyte || ': ' || list || '.', ids from m where told = 'last_n'
+  union all select query_id, 2, 'Over these ' || n || ' values, ' || analyte || ' ' || dir || ' by ' || {_no("abs(delta)")} || ' [' || a[1] || ', ' || z[1] || '].', {_of("a", "z")} from m where told = 'last_n' and n > 1
+  union all select query_id, 1, case when b is null then 'No abnormal ' || analyte || ' was found; the latest is ' || {_no("z[3]")} || ', of ' || {_on("z")} || ' [' || z[1] || '].' else 'The first abnormal ' || analyte || ' on record is ' || {_no("b[3]")} || ', of ' || {_on("b")} || ' [' || b[1] || '].' end, case when b is null then {_of("z")} else {_of("b")} end from m where told in ('abnormal', 'first_abnormal')
+  union all select query_id, 1, analyte || ' was ' || {_no("a[3]")} || ' on ' || {_on("a")} || ' [' || a[1] || '] and ' || {_no("z[3]")} || ' on ' || {_on("z")} || ' [' || z[1] || '].', {_of("a", "z")} from m where told = 'dates'
+  union all select query_id, 2, 'It ' || dir || ' by ' || {_no("abs(delta)")} || ' over ' || floor(span)::bigint || ' days [' || a[1] || ', ' || z[1] || '].', {_of("a", "z")} from m where told = 'dates'
+  union all select query_id, 1, 'From ' || {_on("a")} || ' to ' || {_on("z")} || ', ' || n || ' values of ' || analyte || ' were recorded [' || a[1] || ', ' || z[1] || '].', {_of("a", "z")} from m where told = 'interval'
+  union all select query_id, 2, analyte || ' ' || dir || ' from ' || {_no("a[3]")} || ' to ' || {_no("z[3]")} || ' [' || a[1] || ', ' || z[1] || '].', {_of("a", "z")} from m where told = 'interval' and n > 1
+  union all select query_id, 1, analyte || ' went from ' || {_no("a[3]")} || ' on ' || {_on("a")} || ' [' || a[1] || '] to ' || {_no("z[3]")} || ' on ' || {_on("z")} || ' [' || z[1] || '].', {_of("a", "z")} from m where told = 'trend'
+  union all select query_id, 2, 'It turned at ' || {_no("t[3]")} || ' on ' || {_on("t")} || ' [' || t[1] || '].', {_of("t")} from m where told = 'trend' and t is not null
+  union all select query_id, 3, 'Overall, ' || analyte || ' ' || dir || ' by ' || {_no("abs(delta)")} || ' over ' || floor(span)::bigint || ' days [' || a[1] || ', ' || z[1] || '].', {_of("a", "z")} from m where told = 'trend')"""
+_add("x25_claims", lambda t: claims.claims(_selected(t), _questions(t)).select("query_id", "place", "sentence", F.array_join(F.transform("cited", lambda x: x.cast("string")), " ").alias("cited")),
+     f"{_MADE} select query_id, place, sentence, array_to_string(cited, ' ') as cited from told")
+
+
+def _bent(t):
+    """The claims, some of them made wrong by a rule on the question: a number, a date, a source of another question, no source."""
+    selected = _selected(t)
+    made = claims.claims(selected, _questions(t)).select("query_id", "place", "sentence", "cited", F.lit(None).cast("array<double>").alias("numbers"), F.lit(None).cast("array<string>").alias("dates"))
+    k = F.col("query_id") % 10
+    wrong = F.when(k == 1, F.concat("sentence", F.lit(" Then 123456.7 followed."))).when(k == 2, F.concat("sentence", F.lit(" See 31/12/1901."))).otherwise(F.col("sentence"))
+    cited = F.when(k == 3, F.array(F.lit(-7).cast("long"))).when(k == 4, F.array().cast("array<bigint>")).otherwise(F.col("cited"))
+    return claims.verify_claims(made.withColumns({"sentence": wrong, "cited": cited}), selected, claims.derived_facts(selected)), selected
+
+
+# counts of rows and days are read from sentences too, and stand on no row unless they are small or a fact's value
+_WRONG = """case query_id % 10 when 1 then ['number not in evidence: 123456.7'] when 2 then ['date not in evidence: 31/12/1901'] when 3 then ['evidence not selected: -7'] when 4 then ['no evidence cited'] else [] end"""
+_add("x26_verify_claims", lambda t: (lambda v: v[0].filter("sentence not like '%values%' and sentence not like '%days%'").select("query_id", "place", "grounded", F.array_join("reasons", "; ").alias("reasons")))(_bent(t)),
+     f"{_MADE} select query_id, place, len({_WRONG}) = 0 as grounded, array_to_string({_WRONG}, '; ') as reasons from told where sentence not like '%values%' and sentence not like '%days%'")
+_add("x26_audit", lambda t: (lambda s: claims.audit(claims.verify_claims(claims.claims(s, _questions(t)), s, claims.derived_facts(s)), s).select("query_id", "claims", "grounded", "utilisation"))(_selected(t)),
+     f"""{_MADE}, used as (select query_id, count(distinct id) as used from (select query_id, unnest(cited) as id from told) group by 1), size as (select query_id, count(distinct evidence_id) as n from f group by 1)
+  select query_id, count(*) as claims, count(*) as grounded, round(any_value(used) / any_value(size.n)::double, 6) as utilisation from told join used using (query_id) join size using (query_id) group by 1""")
+
+
 _ALIASES = {"hba1c": "HbA1c", "ldl": "LDL", "creatinine": "Creatinine"}
 
 

@@ -88,16 +88,16 @@ def _top(df, k=5):
     return rel.topk_positive(df, "query_id", k, "score", "doc_id")
 
 
-_add("x13_bm25", lambda t: _top(_bm25(t)).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank"), f"with {_P} select query_id, doc_id, round(score, 4) as score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b) where rank <= 5")
+_add("x13_bm25", lambda t: _top(_bm25(t)).select("query_id", "doc_id", "score", "rank"), f"with {_P} select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b) where rank <= 5")
 _add("x13_bm25_scoped", lambda t: _top(ret.bm25(
          t("conversations").filter("turn = 0").select(F.col("conv_id").alias("query_id"), "conv_id", "text"),
          t("conversations").filter("turn > 0").select(F.col("turn").alias("doc_id"), "conv_id", "text"), scope=["conv_id"]), 3)
-     .select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank"),
+     .select("query_id", "doc_id", "score", "rank"),
      f"""with d as (select conv_id, turn as doc_id, {_TOK} as w from conversations where turn > 0), s as (select conv_id, count(*) as n, avg(len(w)) as a from d group by 1),
   p as (select conv_id, doc_id, len(w) as length, unnest(w) as term from d), f as (select conv_id, doc_id, term, length, count(*) as tf from p group by 1, 2, 3, 4), df as (select conv_id, term, count(*) as df from f group by 1, 2),
   q as (select conv_id, unnest({_TOK}) as term from conversations where turn = 0), qt as (select conv_id, term, count(*) as qtf from q group by 1, 2),
   b as (select conv_id as query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / a))), 6) as score from qt join f using (conv_id, term) join df using (conv_id, term) join s using (conv_id) group by 1, 2)
-  select query_id, doc_id, round(score, 4) as score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b) where rank <= 3""")
+  select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b) where rank <= 3""")
 _ROW = "v as (select vec_id, label, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as e from embeddings)"
 _KNN = f"{_ROW}, k as (select q.vec_id as query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])), 6) as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from k)"
 _add("x15_knn", lambda t: ret.knn(t("embeddings").filter("vec_id % 100 = 0"), t("embeddings"), 10).select("query_id", "vec_id", "rank"), f"with {_KNN} select query_id, vec_id, rank from r where rank <= 10")
