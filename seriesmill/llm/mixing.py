@@ -23,11 +23,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, settle
+from .skew import FEW
 
 WEIGHTS = (5, 2, 1)
 MOST_TAKES = 3
 #: Documents that one walk holds on average.
 BLOCK = 2048
+#: Rows of one id that stay together.
+HOT_ROWS = 256
 #: Open documents that make up for the largest one's move.
 WINDOW = 64
 
@@ -121,6 +124,17 @@ def _fly(seed: int, land_below: int):
     return run
 
 
+def spread_keys(sizes: DataFrame, seed: int) -> DataFrame:
+    """``sizes``, settled, with the hash h that deals a row to its block: its id's, and where an id has so many rows that they
+    would fill blocks, also of a number that deals them apart."""
+    many = sizes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_")).filter(F.col("rows_") > HOT_ROWS).select(F.col("doc_id").alias("many_"), F.ceil(F.col("rows_") / HOT_ROWS).alias("shares_"))
+    many = settle(many, "mix-hot")
+    few = many.count() <= FEW
+    numbered = sizes.withColumn("nth_", F.monotonically_increasing_id()).join(F.broadcast(many) if few else many, F.col("doc_id").eqNullSafe(F.col("many_")), "left")
+    h = F.when(F.col("shares_").isNull(), F.xxhash64("doc_id", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed), F.pmod(F.xxhash64("nth_"), F.col("shares_"))))
+    return numbered.withColumn("h", h).drop("nth_", "many_", "shares_")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TAKES, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, copies, taken; one row per document."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -129,8 +143,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TA
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     same = lambda left: left.join(per.select(F.col("source").alias("s"), "n", rate.alias("rate")), F.col("source").eqNullSafe(F.col("s")), "left")
     whole = F.floor(F.col("rate") + 1e-9)
-    state = same(sizes).select(
-        "doc_id", "source", "size", F.xxhash64("doc_id", F.lit(seed)).alias("h"), "n", whole.cast("int").alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("pi")
+    keyed = spread_keys(sizes, seed)
+    state = same(keyed).select(
+        "doc_id", "source", "size", "h", "n", whole.cast("int").alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("pi")
     )
     most_rows = per.agg(F.max("n")).first()[0] or 0
     done: list[DataFrame] = []
@@ -174,7 +189,7 @@ def take(docs: DataFrame, **options) -> DataFrame:
     # equal rows of one id share their takes: the first ones get one more. Which is first is drawn anew for each part of them,
     # so that no task holds all rows of an id
     part = F.pmod(F.xxhash64("row_"), F.ceil(F.col("rows") / F.lit(BLOCK))).cast("int")
-    apart = left.join(several, same).withColumn("part_", part)
+    apart = left.join(F.broadcast(several) if several.count() <= FEW else several, same).withColumn("part_", part)
     share = apart.groupBy("of_id", "of_size", "part_").agg(F.count(F.lit(1)).alias("n_"), F.max("rows").alias("rows_"), F.max("copies").alias("copies_"))
     before = F.coalesce(F.sum("n_").over(Window.partitionBy("of_id", "of_size").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     share = share.withColumn("before_", before).select(F.col("of_id").alias("share_id"), F.col("of_size").alias("share_size"), F.col("part_").alias("share_part"), "before_")

@@ -11,8 +11,9 @@ Files are written by the tasks that encode, through a file system opened from th
 temporary name and then renamed, so that a task that is run again replaces its file with an equal one. They are read
 back by Spark's binary reader.
 
-Defined cases: null text is empty and yields the end id alone; equal doc_ids keep their order of text; null doc_ids come first, and so do
-ids that aren't whole numbers (files hold 64-bit ids): both come back as null; an empty table writes no file; other columns are ignored.
+Defined cases: null text is empty and yields the end id alone; rows of one doc_id stand in order of a hash of
+their text; null doc_ids come first; ids that aren't integers stand in the files (of 64-bit ids) as numbers in their order, and
+come back as they were; an empty table writes no file; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -170,10 +171,14 @@ def _writer(folder: str, path: str | None, file_ids: int):
 
 def write_files(docs: DataFrame, folder: str, path: str | None = None, file_ids: int = FILE_IDS, part_bytes: int = 24 << 20) -> DataFrame:
     """Writes the token files of ``docs`` (doc_id integer, text) to ``folder``; one row per file. Partitions are ranges of
-    doc_id, so files in order of (part, seq) hold ascending ids; texts are dealt before they are encoded, so that is done once."""
+    doc_id, so files in order of (part, seq) hold ascending ids; texts are dealt before they are encoded, so that is done once. Rows of
+    one id are dealt on by a hash of their text and, where that is equal too, by where they are read, so that no id is too
+    large for a task."""
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    dealt = texts(docs).repartitionByRange(max(1, -(-size // part_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
-    return settle(dealt.mapInPandas(_writer(folder, path, file_ids), "file string, part long, seq long, n_docs long, n_ids long"), "token-file-list")
+    order = ["doc_id", "hash_", "read_"]
+    read = texts(docs).withColumns({"hash_": F.xxhash64("text"), "read_": F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("short")})
+    dealt = read.repartitionByRange(max(1, -(-size // part_bytes)), *order).sortWithinPartitions(*order)
+    return settle(dealt.select("doc_id", "text").mapInPandas(_writer(folder, path, file_ids), "file string, part long, seq long, n_docs long, n_ids long"), "token-file-list")
 
 
 def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,7 +216,13 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Ids other than integers stand in the files as their rows' numbers in order of the id, and are joined to what is read back."""
     folder = new_path(docs.sparkSession, "token-files")
     kind = docs.schema["doc_id"].dataType
-    ids = docs if isinstance(kind, T.LongType) else docs.withColumn("doc_id", F.col("doc_id").try_cast("long"))
-    return read_files(write_files(ids, folder, path), folder)
+    if isinstance(kind, T.IntegralType):
+        out = read_files(write_files(docs.withColumn("doc_id", F.col("doc_id").cast("long")), folder, path), folder)
+        return out if isinstance(kind, T.LongType) else out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    rows = settle(texts(docs).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number_", F.monotonically_increasing_id()), "token-numbers")
+    got = read_files(write_files(rows.select(F.col("number_").alias("doc_id"), "text"), folder, path), folder)
+    return got.withColumnRenamed("doc_id", "number_").join(rows.select("number_", "doc_id"), "number_").select("doc_id", "start", "n_tokens", "ids_crc32")
