@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..bindings import SQL_EVENTS
-from ..operators import claims, questions, selection
+from ..operators import claims, hybrid, questions, retrieval, selection
 from ..session import scratch
 from .relational_plans import ORACLE as _O
 from .relational_plans import QUERIES as _Q
@@ -77,6 +77,28 @@ _SQL = _ENDS.removeprefix("@") + f""",
 _add("x23_select_evidence", lambda t: selection.select_evidence(_questions(t), t.events(), F.col("value") > 200), "@events, " + _SQL)
 
 
+# --- retrieval by five scores ---
+_PART = {"concept": 0.4, "temporal": 0.4, "intent": 0.2}
+_RAW_MODES = _SQL[: _SQL.index("  modes as (select")]
+_add("x21_evidence", lambda t: hybrid.retrieve_evidence(_questions(t), t.events(), _PART, 5, F.col("value") > 200).select("query_id", "evidence_id", "score", "rank"),
+     "@events, " + _RAW_MODES + """
+  pairs as (select t.query_id, t.raw, t.intent, t.dated, t.s, t.e, t.query_id % 13 = 0 as four, t.query_id % 11 = 0 as between_, t.query_id % 17 = 0 as bad_only, t.analyte = o.analyte as own, o.evidence_id, o.ts, coalesce(o.value > 200, false) as bad
+    from typed t join o using (patient_id)),
+  placed as (select *, row_number() over (partition by query_id, own order by ts desc, evidence_id desc) - 1 as back, count(*) over (partition by query_id, own) as n,
+    min((ts, evidence_id)) filter (where bad and own) over (partition by query_id) as first_bad from pairs),
+  timed as (select *, round(case when intent = 'CURRENT_VALUE' then case when own then 1 / (1 + 2.0 * back) else 0 end
+      when intent = 'LAST_N' then case when not own then 0 when back < case when four then 4 else 3 end then greatest(0.8, 1 - 0.05 * back) else 0.1 end
+      when intent = 'PREVIOUS_VALUE' then case when own and (back = 1 or n = 1) then 1 when own and back = 0 then 0.5 else 0 end
+      when intent = 'DATE_COMPARISON' and dated then (ts::date = s::date or ts::date = e::date)::int
+      when intent = 'LONGITUDINAL_TREND' then own::int when dated then (ts::date between s::date and e::date)::int else 0.5 end, 6) as temporal,
+    case when not (bad_only or intent = 'ABNORMALITY') then 1 when raw like '%first%' and first_bad is not null then case when evidence_id = first_bad[2] then 1 when bad then 0.5 else 0 end else bad::int end as told from placed),
+  scored as (select *, case when (dated or between_) and max(temporal) over (partition by query_id) > 0 and temporal = 0 then 0 else round(0.4 * case when own then 0.95 else 0 end + 0.4 * temporal + 0.2 * told, 6) end::double as score from timed)
+  select query_id, evidence_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, ts desc, evidence_id) as rank from scored) where rank <= 5""")
+_add_there("x21_evidence_full", lambda t: hybrid.retrieve_evidence(_questions(t), t.events(), retrieval.preset("full"), 5, F.col("value") > 200), "")
+QUERIES["x21_evidence_full"] = _Q.pop("x21_evidence_full")
+_O.pop("x21_evidence_full")
+
+
 # --- facts, sentences and their checks ---
 def _selected(t):
     """The evidence of the questions above, once, with a flag for values beyond 200."""
