@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, settle
-from .skew import FEW
+from .skew import fits
 
 WEIGHTS = (5, 2, 1)
 MOST_TAKES = 3
@@ -129,8 +129,7 @@ def spread_keys(sizes: DataFrame, seed: int) -> DataFrame:
     would fill blocks, also of a number that deals them apart."""
     many = sizes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_")).filter(F.col("rows_") > HOT_ROWS).select(F.col("doc_id").alias("many_"), F.ceil(F.col("rows_") / HOT_ROWS).alias("shares_"))
     many = settle(many, "mix-hot")
-    few = many.count() <= FEW
-    numbered = sizes.withColumn("nth_", F.monotonically_increasing_id()).join(F.broadcast(many) if few else many, F.col("doc_id").eqNullSafe(F.col("many_")), "left")
+    numbered = sizes.withColumn("nth_", F.monotonically_increasing_id()).join(F.broadcast(many) if fits(many) else many, F.col("doc_id").eqNullSafe(F.col("many_")), "left")
     h = F.when(F.col("shares_").isNull(), F.xxhash64("doc_id", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed), F.pmod(F.xxhash64("nth_"), F.col("shares_"))))
     return numbered.withColumn("h", h).drop("nth_", "many_", "shares_")
 
@@ -171,8 +170,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TA
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: each row of ``docs`` repeated as often as ``mix`` takes it. Whole rows are shuffled once, to meet
-    their takes."""
+    """The mixed corpus itself: each row of ``docs`` repeated as often as ``mix`` takes it. The takes go to the rows where they are
+    few bytes, by their size; else whole rows are shuffled once, to meet them."""
     mixed = mix(docs, **options).groupBy("doc_id", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
     mixed = settle(mixed, "mix-takes").withColumnsRenamed({"doc_id": "of_id", "size": "of_size"})
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -183,17 +182,18 @@ def take(docs: DataFrame, **options) -> DataFrame:
         rows = rows.withColumn("own_", own.cast("int")).filter("own_ > 0")
         return rows.select("row_", F.explode(F.sequence(F.lit(1), F.col("own_"))).alias("nth_")).select("row_.*")
 
+    sent = F.broadcast if fits(mixed) else lambda t: t
     several = mixed.filter("rows > 1")
     if several.isEmpty():
-        return repeated(left.join(mixed, same), F.col("copies"))
+        return repeated(left.join(sent(mixed), same), F.col("copies"))
     # equal rows of one id share their takes: the first ones get one more. Which is first is drawn anew for each part of them,
     # so that no task holds all rows of an id
     part = F.pmod(F.xxhash64("row_"), F.ceil(F.col("rows") / F.lit(BLOCK))).cast("int")
-    apart = left.join(F.broadcast(several) if several.count() <= FEW else several, same).withColumn("part_", part)
+    apart = left.join(sent(several), same).withColumn("part_", part)
     share = apart.groupBy("of_id", "of_size", "part_").agg(F.count(F.lit(1)).alias("n_"), F.max("rows").alias("rows_"), F.max("copies").alias("copies_"))
     before = F.coalesce(F.sum("n_").over(Window.partitionBy("of_id", "of_size").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     share = share.withColumn("before_", before).select(F.col("of_id").alias("share_id"), F.col("of_size").alias("share_size"), F.col("part_").alias("share_part"), "before_")
     met = apart.join(share, F.col("of_id").eqNullSafe(F.col("share_id")) & (F.col("of_size") == F.col("share_size")) & (F.col("part_") == F.col("share_part")))
     nth = F.col("before_") + F.row_number().over(Window.partitionBy("of_id", "of_size", "part_").orderBy(F.xxhash64("row_")))
     shared = repeated(met, F.floor(F.col("copies") / F.col("rows")) + F.when(nth <= F.col("copies") % F.col("rows"), 1).otherwise(0))
-    return repeated(left.join(mixed.filter("rows = 1"), same), F.col("copies")).unionByName(shared)
+    return repeated(left.join(sent(mixed.filter("rows = 1")), same), F.col("copies")).unionByName(shared)

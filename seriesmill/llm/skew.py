@@ -12,6 +12,14 @@ from .common import settle
 HOT, HOT_KEYS = 256, 100_000
 #: Rows of short keys that may be broadcast, by their counted number.
 FEW = 1_000_000
+#: Bytes of a table that may be broadcast, by its counted rows and the lengths of its texts.
+BROADCAST = 32 << 20
+
+
+def fits(t: DataFrame) -> bool:
+    """Whether a settled table is small enough to be sent to every task."""
+    sized = [F.coalesce(F.octet_length(F.col(f"`{n}`")), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for n, kind in t.dtypes]
+    return (t.agg(F.sum(sum(sized[1:], sized[0]))).first()[0] or 0) <= BROADCAST
 
 
 def salted(left: DataFrame, right: DataFrame, key: str | tuple[str, ...], *by: str, of: DataFrame | None = None, hot: int = HOT, keep: bool = False) -> DataFrame:
