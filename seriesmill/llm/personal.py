@@ -99,17 +99,6 @@ _ANY_DOMAIN = re.compile(rf"{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+", re.IGNORECASE)
 _BOXED_DOMAIN = re.compile(rf"{_LABEL}(?:\.{_LABEL})*(?:{_BOXED_DOT}{_LABEL}(?:\.{_LABEL})*)+", re.IGNORECASE)
 _SPELLED_DOMAIN = re.compile(rf"{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*{_DOT}{_ENDS}(?:(?:\.|{_DOT}){_ENDS})*", re.IGNORECASE)
 _SOME_DOT = re.compile(_DOT, re.IGNORECASE)
-_PART = re.compile(rf"({_DOT})|(\.)|([0-9]+)|[A-Za-z]+", re.IGNORECASE)
-_BETWEEN_DIGITS = re.compile(rf"(?<=[0-9]){_BOXED_DOT}(?=[0-9])", re.IGNORECASE)
-_LABEL = "[A-Za-z0-9-]+"
-_NAME = rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*"
-#: Ends of a domain that bare words may spell: fixed values.
-_ENDS = "(?:com|org|net|edu|gov|info|biz|io|co|dev|app|ai|eu|uk|us|de|fr|es|it|nl|ch|at|se|no|fi|pl|ru|cn|jp|in|br|au|ca|test|example)(?![A-Za-z0-9-])"
-# a bare "at" counts only before a domain whose dots are spelled as well and that ends as domains do, a plain @ also before
-# one with a bracketed dot; a bracketed one before any domain
-_DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9_%+.-])(?:{_NAME}{_AT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+|{_NAME}@{_LABEL}(?:\.{_LABEL})*(?:{_BOXED_DOT}{_LABEL}(?:\.{_LABEL})*)+|{_NAME}(?:@|\x20(?:at|arroba|arobase)\x20){_LABEL}(?:(?:\.|{_DOT}){_LABEL})*{_DOT}{_ENDS}(?:(?:\.|{_DOT}){_ENDS})*)", re.IGNORECASE
-)
 _PART = re.compile(rf"({_AT}|\x20(?:at|arroba|arobase)\x20)|({_DOT})", re.IGNORECASE)
 _WORD = re.compile("[A-Za-z]+")
 _TRIGGER = re.compile(r"[\[({< ](?:at|@|arroba|arobase|dot|\.|punto|punkt|point)[\])}> ]|(?:zero|one|two|three|four|five|six|seven|eight|nine|oh)[\x20,.-]", re.IGNORECASE)
