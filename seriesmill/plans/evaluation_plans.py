@@ -81,4 +81,8 @@ _add("x10_normalise_units", lambda t: ev.normalise_units(t("part").select("p_par
      "select p_partkey, case when p_size % 2 = 0 then p_size::varchar else m end as unit from part join (select p_brand, min(p_type) as m from part group by 1) using (p_brand)")
 _add("x14_build_query_text", lambda t: ev.build_query_text(t("part").select(F.col("p_partkey").alias("query_id"), F.col("p_brand").alias("analyte"), F.col("p_name").alias("text")), t("part").select(F.col("p_brand").alias("analyte"), F.col("p_size").cast("string").alias("synonym"))),
      "select p_partkey as query_id, p_name || ' ' || m as text from part join (select p_brand, string_agg(distinct p_size::varchar, ' ' order by p_size::varchar) as m from part group by 1) using (p_brand)")
-_add("x28_definition_lookup", lambda t: ev.definition_lookup(t("nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("What is "), F.when(F.col("n_nationkey") % 2 == 0, "the").otherwise("that")).alias("text")), t("documents")))
+_add("x28_definition_lookup", lambda t: ev.definition_lookup(t("benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("What is "), F.regexp_extract("text", "[A-Za-z0-9-]+", 0), F.lit("?")).alias("text")), t("documents")),
+     r"""with q as (select item_id as query_id, lower(regexp_extract(regexp_extract('What is ' || regexp_extract(text, '[A-Za-z0-9-]+') || '?', '(?i)^what (?:is|are) (?:a |an |the )?([A-Za-z0-9-]+)', 1), '.*')) as subject from benchmark),
+  f as (select doc_id, regexp_extract_all(text, '(?:^|[.!?]\s+)([A-Za-z0-9-]+ (?:is|are|measures) [^.!?]*[.!?])', 1) as found from documents),
+  s as (select doc_id, unnest(found) as sentence, unnest(range(0, len(found))) as at_ from f), k as (select *, lower(regexp_extract(sentence, '^[A-Za-z0-9-]+')) as subject from s)
+  select query_id, q.subject, first.sentence from q join (select subject, arg_min(sentence, (doc_id, at_)) as sentence from k group by 1) first on first.subject = q.subject where q.subject <> ''""")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..bindings import SQL_EVENTS
-from ..operators import claims, hybrid, questions, retrieval, selection
+from ..operators import claims, hybrid, questions, retrieval, selection, series
 from ..session import scratch
 from .relational_plans import ORACLE as _O
 from .relational_plans import QUERIES as _Q
 from .relational_plans import _add as _add_there
 from .series_plans import _BY, _DOWN, _ENDS
+from .series_plans import ORACLE as _SERIES
+
+_W22 = _SERIES["w22_trajectory_roles"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -94,6 +97,20 @@ _add("x21_evidence", lambda t: hybrid.retrieve_evidence(_questions(t), t.events(
     case when not (bad_only or intent = 'ABNORMALITY') then 1 when raw like '%first%' and first_bad is not null then case when evidence_id = first_bad[2] then 1 when bad then 0.5 else 0 end else bad::int end as told from placed),
   scored as (select *, case when (dated or between_) and max(temporal) over (partition by query_id) > 0 and temporal = 0 then 0 else round(0.4 * case when own then 0.95 else 0 end + 0.4 * temporal + 0.2 * told, 6) end::double as score from timed)
   select query_id, evidence_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, ts desc, evidence_id) as rank from scored) where rank <= 5""")
+_POOL = ORACLE["x21_evidence"].replace("where rank <= 5", "where rank <= 25")
+
+
+def _reranked(t):
+    """The pool of each question's 25 best, those about a trend ranked anew by what a row is in its trajectory."""
+    asked = _questions(t)
+    pool = hybrid.retrieve_evidence(asked, t.events(), _PART, 25, F.col("value") > 200).select("query_id", "evidence_id", "score").join(asked.select("query_id", "intent"), "query_id")
+    return retrieval.rerank(pool, series.trajectory_roles(t.events()).select("evidence_id", "role_score"), F.col("intent") == "LONGITUDINAL_TREND").select("query_id", "evidence_id", "score")
+
+
+_add("x22_rerank", _reranked, f"""with pool as ({_POOL}), roles as ({_W22}),
+  asked as (select user_id as patient_id, event_type as analyte, min(event_id) * 4 + k as query_id from events, range(4) as r(k) group by 1, 2, k)
+  select query_id, evidence_id, round(case when score > 0 and {_list(_INTENTS)}[(query_id // 5) % 8 + 1] = 'LONGITUDINAL_TREND' then 0.75 * score + 0.25 * coalesce(role_score, 0.5) else score end, 6)::double as score
+  from pool left join roles using (evidence_id)""")
 _add_there("x21_evidence_full", lambda t: hybrid.retrieve_evidence(_questions(t), t.events(), retrieval.preset("full"), 5, F.col("value") > 200), "")
 QUERIES["x21_evidence_full"] = _Q.pop("x21_evidence_full")
 _O.pop("x21_evidence_full")

@@ -124,7 +124,6 @@ _add("j10_term_join", lambda t: ret.postings(t("documents"), "doc_id", "text").j
      f"with d as (select doc_id, unnest({_TOK}) as term from documents), f as (select doc_id, term, count(*) as tf from d group by 1, 2), q as (select distinct item_id, unnest({_TOK}) as term from benchmark) select item_id, count(*) as n, sum(tf)::bigint as tf from f join q using (term) group by 1")
 _add("j12_contains_join", lambda t: ret.contains_join(t("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "text"), t.spark.createDataFrame([("the",), ("thing",), ("of the",), ("und",)], "name string")).groupBy("name").agg(F.countDistinct("query_id").alias("n")),
      r"with q as (select conv_id || ':' || turn as query_id, lower(text) as low from conversations), n as (select unnest(['the', 'thing', 'of the', 'und']) as name) select name, count(distinct query_id) as n from q, n where list_contains(regexp_extract_all(low, '[a-z0-9]+'), regexp_extract(name, '[a-z0-9]+')) and contains(low, name) group by 1")
-_add("x22_rerank", lambda t: ret.rerank(t.events().select("patient_id", "analyte", "evidence_id", F.lit(0.5).alias("score")), series.trajectory_roles(t.events()).select("evidence_id", "role_score"), F.col("patient_id") % 2 == 0).groupBy("score").count())
 _ASK = lambda t: t("benchmark").select(F.col("item_id").alias("query_id"), "text")
 _SCORERS = {"lexical": ret.bm25, "coverage": answers.term_coverage}
 _COVER = f"""{_P}, qn as (select query_id, count(*) as n from qt group by 1), c as (select query_id, doc_id, round(count(*) / any_value(qn.n), 6) as cover from qt join f using (term) join qn using (query_id) group by 1, 2)"""
