@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import terminology
 from ..session import scratch
 from ..sources import tables
 from .relational_plans import ORACLE as _O
@@ -104,3 +105,27 @@ def _runs(t):
 
 _add("s8_save_run", _runs, """select o_orderstatus as name, count(*) as n, 'run-1' as run_id, 'metrics' as part from orders group by 1
   union all select o_orderkey::varchar, 0, 'run-1', 'failures' from orders where o_totalprice < 50000""")
+
+
+#: Measures of the events: known by a code, by an alias in brackets, or not at all.
+_WORDS = [("Clicks", "c-1", "n", ["click"]), ("Views", "v-1", "s", ["page views"]), ("Purchases", None, "eur", ["purchase"])]
+
+
+def _ingested(t):
+    path = scratch(t.spark, "cohort")
+    e = t("events")
+    raw = e.select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("DATE"), F.col("user_id").cast("string").alias("PATIENT"), F.when(F.col("event_type") == "click", "c-1").otherwise("?").alias("CODE"),
+        F.when(F.col("event_type") == "view", "Seen [Page  Views] today").otherwise(F.col("event_type")).alias("DESCRIPTION"), F.col("value").cast("string").alias("VALUE"),
+    )
+    raw.write.option("header", True).csv(f"{path}/in")
+    out = tables.ingest_cohort(t.spark, f"{path}/in", f"{path}/out", vocabulary=t.spark.createDataFrame(_WORDS, terminology.VOCABULARY), abnormal=F.col("value") > 200)
+    return out["observations"].groupBy("split", "analyte", "mapping_status", "concept_id", "unit").agg(F.count_distinct("patient_id").alias("patients"), F.count(F.lit(1)).alias("records"))
+
+
+_add("s9_ingest_cohort", _ingested, """with k as (select distinct user_id from events), p as (select user_id, row_number() over (order by sha256('42:' || user_id)) as place, count(*) over () as n from k),
+  sp as (select user_id, case when place <= round(0.6 * n) then 'train' when place <= round(0.8 * n) then 'dev' else 'test' end as split from p)
+  select split, case event_type when 'click' then 'Clicks' when 'view' then 'Views' when 'purchase' then 'Purchases' else event_type end as analyte,
+    case event_type when 'click' then 'exact_code' when 'view' then 'alias' when 'purchase' then 'alias' else 'unmapped' end as mapping_status,
+    case event_type when 'click' then 'LOINC:c-1' when 'view' then 'LOINC:v-1' end as concept_id, case event_type when 'click' then 'n' when 'view' then 's' when 'purchase' then 'eur' end as unit,
+    count(distinct user_id) as patients, count(*) as records from events join sp using (user_id) group by all""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OBSERVATION = (
@@ -82,12 +82,29 @@ def save_run(path: str, run_id: str, **tables: DataFrame) -> None:
         df.withColumn("run_id", F.lit(run_id)).write.partitionBy("run_id").mode("append").json(f"{path}/{name}")
 
 
-def ingest_cohort(spark: SparkSession, path: str, out: str) -> dict[str, DataFrame]:
-    """CSV to canonical table, split by patient, audit: written under ``out``, read back from there."""
-    from ..operators import aggregates, cohort
+def ingest_cohort(spark: SparkSession, path: str, out: str, items: str | None = None, vocabulary: DataFrame | None = None, per_intent: int = 12, abnormal: Column | None = None) -> dict[str, DataFrame]:
+    """CSV to canonical table, mapped to a ``vocabulary`` (``terminology.VOCABULARY``) if there is one, split by patient, with benchmark
+    questions and an audit: written under ``out``, read back from there. ``items``: the dictionary of lab events, if ``path`` has
+    those. Measures are known by their canonical name, unmapped ones by their own.
 
-    obs = read_observations_csv(spark, path).withColumnsRenamed({"source_patient_id": "patient_id", "analyte_raw": "analyte", "observation_ts": "ts", "value_numeric": "value"})
+    -> observations, counts, audit, queries (at most ``per_intent`` of each intent, patients taking turns), summary (by split: patients,
+    records, mapped records, queries)."""
+    from ..operators import aggregates, cohort, terminology
+
+    raw = read_labevents_csv(spark, path, items) if items else read_observations_csv(spark, path)
+    if vocabulary is not None:
+        raw = terminology.map_measures(raw, vocabulary)
+    names = {"source_patient_id": "patient_id", "observation_ts": "ts", "value_numeric": "value"}
+    obs = raw.withColumnsRenamed(names).withColumn("analyte", F.coalesce("analyte_canonical", "analyte_raw") if vocabulary is not None else F.col("analyte_raw"))
     write_partitioned(obs.join(cohort.split_exact(obs, "patient_id"), "patient_id"), f"{out}/observations", "split")
     stored = spark.read.parquet(f"{out}/observations")
     aggregates.quality_audit(stored).write.mode("overwrite").json(f"{out}/audit")
-    return {"observations": stored, "counts": aggregates.cohort_counts(stored), "audit": spark.read.json(f"{out}/audit")}
+    odd = F.lower("flag").isin("abnormal", "high", "low") if abnormal is None else abnormal
+    asked = cohort.sample_benchmark(cohort.query_candidates(stored.filter("ts is not null"), F.coalesce(odd, F.lit(False))), per_intent)
+    split_of = stored.select("patient_id", "split").distinct()
+    asked.join(split_of, "patient_id").write.mode("overwrite").parquet(f"{out}/queries")
+    queries = spark.read.parquet(f"{out}/queries")
+    mapped = F.count_if(F.col("mapping_status") != "unmapped") if vocabulary is not None else F.lit(0).cast("long")
+    per = stored.groupBy("split").agg(F.count_distinct("patient_id").alias("patients"), F.count(F.lit(1)).alias("records"), mapped.alias("mapped"))
+    summary = per.join(queries.groupBy("split").agg(F.count(F.lit(1)).alias("queries")), "split", "left").na.fill(0, ["queries"])
+    return {"observations": stored, "counts": aggregates.cohort_counts(stored), "audit": spark.read.json(f"{out}/audit"), "queries": queries, "summary": summary}
