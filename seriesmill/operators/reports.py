@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +71,8 @@ def lab_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     df = df.select(key, lines.alias("lines_"))
     plain = F.exists("lines_", lambda x: x["line"].rlike(_NAMED + _TAIL) & _lookup(HEADERS, F.regexp_extract(x["line"], _NAMED, 1)).isNull())
     heads = F.transform(F.filter("lines_", head), lambda x: _struct(line_no=x["line_no"], roles=x["roles"]))
-    rows = df.select(key, heads.alias("heads_"), plain.alias("plain_"), F.inline("lines_"))
+    # read before the lines are spread out, else once for each of them
+    rows = df.withColumns({"heads_": heads, "plain_": plain}).select(key, "heads_", "plain_", F.inline("lines_"))
     above = F.try_element_at(F.filter("heads_", lambda h: h["line_no"] < F.col("line_no")), F.lit(-1))["roles"]
     rows = rows.filter(F.col("line").rlike(r"\d")).select(key, "plain_", "line_no", "line", "cells", above.alias("above"))
 
@@ -108,8 +110,9 @@ _DATE = (
     r"(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.](?:\d{4}|\d{2,3})" + rf"|\d{{1,2}}[-/.\s]+{_MONTH}[-/.,\s]+(?:\d{{4}}|\d{{2,3}})" + rf"|{_MONTH}[-/.\s]+\d{{1,2}}[-/.,\s]+(?:\d{{4}}|\d{{2,3}})"
     rf"|\d{{4}}[-/.\s]+{_MONTH}[-/.,\s]+\d{{1,2}})"
 )
-#: What stands between the dates of a line, and the dates.
-_AROUND = rf"(?i)(.*?)\b({_DATE})\b"
+#: A date, and what stands between the dates of a line with each: from where the last one ended, or the rest of a long line would be
+#: searched anew from each of its places.
+_ANY_DATE, _AROUND = rf"(?i)\b{_DATE}\b", rf"(?i)\G(.*?)\b({_DATE})\b"
 #: Labels before a date, by kind: fixed values. A full stop may be left out.
 DATE_LABELS = {
     "collection": ("sample collection date", "specimen collection date", "collection date", "date of collection", "sample collected on", "specimen collected on", "collected date", "sample date", "specimen date", "collected on", "collected at", "coll. date", "sample coll.", "specimen coll.", "coll dt"),
@@ -141,9 +144,10 @@ def dates_in(lines: Column) -> Column:
             kind = kind.when(office, "administrative").otherwise("unlabelled")
             return _struct(line_no=i + 1, place=j + 1, raw=m["raw"], date=scalar.parse_date_any(m["raw"]), kind=kind, confidence=scalar.date_confidence(kind))
 
-        return F.filter(F.transform(both, one), lambda d: d["date"].isNotNull())
+        found = F.filter(F.transform(both, one), lambda d: d["date"].isNotNull())
+        return F.when(line.rlike(_ANY_DATE), found)
 
-    return F.flatten(F.transform(lines, of_line))
+    return F.flatten(F.array_compact(F.transform(lines, of_line)))
 
 
 def best_date(found: Column) -> Column:
@@ -202,14 +206,22 @@ def lab_values(df: DataFrame, key: str, text: str, tests: Sequence[tuple[str, st
     text where one of its spellings (not within a word) stands before a number. The date is the line's own, else the
     document's."""
     body = F.array_join(split_lines(F.col(text)), "\n")
-    spelled = lambda names: "(?i)(?<![A-Za-z0-9])(?:" + "|".join(re.escape(n).replace(r"\ ", " +") for n in names) + ")" + _AFTER
-    df = df.select(key, body.alias("body_"))
-    hits = F.array(*(_struct(panel=F.lit(panel), test=F.lit(test), hit=F.regexp_extract("body_", p, 0), at=F.regexp_instr("body_", F.lit(p))) for panel, test, names in tests for p in [spelled(names)]))
+    # with the character before, so that the first place of a hit's text is the hit
+    spelled = lambda names: "(?i)(?:^|[^A-Za-z0-9])(?:" + "|".join(re.escape(n).replace(r"\ ", " +") for n in names) + ")" + _AFTER
+    df = df.select(key, body.alias("body_")).withColumn("low_", F.lower("body_"))
+    # a plain search of each spelling's first word leaves out most expressions
+    met = lambda names: reduce(Column.__or__, (F.contains("low_", F.lit(w)) for w in sorted({n.split()[0] for n in names})))
+    hits = F.array_compact(F.array(*(F.when(met(names), _struct(panel=F.lit(panel), test=F.lit(test), hit=F.regexp_extract("body_", spelled(names), 0))) for panel, test, names in tests)))
+
     # the lines that a hit begins and ends in
-    before = lambda h: F.substring_index(F.substring(F.col("body_"), F.lit(1), h["at"] - 1), "\n", -1)
-    behind = lambda h: F.substring_index(F.substring(F.col("body_"), h["at"] + F.length(h["hit"]), F.length("body_")), "\n", 1)
-    hits = F.transform(F.filter(hits, lambda h: h["hit"] != ""), lambda h: h.withField("line", F.concat(before(h), h["hit"], behind(h))))
-    rows = df.select(key, best_date(dates_in(F.split("body_", "\n"))).alias("whole_"), F.inline(hits))
+    def with_line(h: Column) -> Column:
+        at, opens = F.position(h["hit"], F.col("body_")), F.startswith(h["hit"], F.lit("\n"))
+        before = F.when(~opens, F.substring_index(F.substring(F.col("body_"), F.lit(1), at - 1), "\n", -1)).otherwise("")
+        behind = F.substring_index(F.substring(F.col("body_"), at + F.length(h["hit"]), F.length("body_")), "\n", 1)
+        return h.withField("line", F.concat(before, F.regexp_replace(h["hit"], "^\n", ""), behind))
+
+    hits = F.transform(F.filter(hits, lambda h: h["hit"] != ""), with_line)
+    rows = df.withColumns({"hits_": hits, "whole_": best_date(dates_in(F.split("body_", "\n")))}).select(key, "whole_", F.inline("hits_"))
     own = best_date(dates_in(F.array("line")))
     last = "(?i)" + _AFTER + "$"
     part = lambda i: F.nullif(F.regexp_extract("hit", last, i), F.lit(""))
