@@ -26,6 +26,13 @@ def normalise_name(s: Column) -> Column:
     return F.trim(s)
 
 
+def round_half(x: Column | str, places: int) -> Column:
+    """Rounded half away from zero, by the number's first ten decimals: the noise of a sum in another order doesn't decide ties.
+    Numbers outside of decimal(38, 10) are rounded as they are."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.coalesce(F.round(x.try_cast("decimal(38,10)"), places).cast("double"), F.round(x, places))
+
+
 def parse_number(s: Column) -> Column:
     """Text with a decimal comma or point to decimal(10,4); anything else is null."""
     return F.replace(F.trim(s), F.lit(","), F.lit(".")).try_cast("decimal(10,4)")

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions import scalar
+
 KEYS = ("patient_id", "analyte")
 DAY = 86400.0
 
@@ -159,13 +161,16 @@ def trajectory_features(df: DataFrame, keys: Sequence[str] = KEYS, v: str = "val
 
 
 def series_stats(df: DataFrame, keys: Sequence[str] = KEYS, v: str = "value") -> DataFrame:
-    """last, mean, population deviation, slope per day, change from first to last, n."""
-    df, at = df.filter(F.col(v).isNotNull()).withColumn("d", days()), F.struct("ts", "evidence_id")
+    """last, mean, population deviation, slope per day (0 where all rows have one time), change from first to last, n."""
+    df, at = df.filter(F.col(v).isNotNull()), F.struct("ts", "evidence_id")
+    # time counts from the series' first row: of days since 1970, rows a few seconds apart keep half their digits
+    start = df.groupBy(*(F.col(k).alias(f"{k}_") for k in keys)).agg(F.min("ts").alias("start_"))
+    df = df.join(start, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]).withColumn("d", (micros() - micros("start_")) / F.lit(DAY * 1e6))
     agg = df.groupBy(*keys).agg(
         F.max_by(v, at).alias("last"), F.min_by(v, at).alias("first"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.coalesce(F.regr_slope(v, "d"), F.lit(0.0)).alias("slope"), F.count(F.lit(1)).alias("n")
     )
     r = lambda c: F.round(c, 4).alias(c)
-    return agg.select(*keys, r("last"), F.round("mean", 8).alias("mean"), r("std"), r("slope"), F.round(F.col("last") - F.col("first"), 4).alias("delta"), "n")
+    return agg.select(*keys, r("last"), scalar.round_half("mean", 8).alias("mean"), scalar.round_half("std", 4).alias("std"), scalar.round_half("slope", 4).alias("slope"), F.round(F.col("last") - F.col("first"), 4).alias("delta"), "n")
 
 
 def robust_z(df: DataFrame, keys: Sequence[str] = KEYS, v: str = "value") -> DataFrame:

@@ -64,8 +64,8 @@ _add("a5_trajectory_features", series.trajectory_features, _ENDS + f""", every a
     case when m is null then 0.0 when m = 1 then 1.0 else round(case when ups + downs = 0 then steps else ups - downs end / steps::double, 4) end as monotonicity,
     case when t.deviation > 0 then t.evidence_id end as inflection_id, coalesce(t.deviation, 0) as inflection_deviation
   from k left join t using (patient_id, analyte)""")
-_add("a6_series_stats", series.series_stats, f"""select patient_id, analyte, round(arg_max(value, (ts, evidence_id)), 4) as last, round(avg(value), 8) as mean, round(stddev_pop(value), 4) as std,
-    round(coalesce(regr_slope(value, {_DAY}), 0), 4) as slope, round(arg_max(value, (ts, evidence_id)) - arg_min(value, (ts, evidence_id)), 4) as delta, count(*) as n from o where value is not null group by 1, 2""")
+_add("a6_series_stats", series.series_stats, """select patient_id, analyte, round(arg_max(value, (ts, evidence_id)), 4) as last, round(avg(value)::decimal(38, 10), 8)::double as mean, round(stddev_pop(value)::decimal(38, 10), 4)::double as std,
+    round(coalesce(nullif(regr_slope(value, age / 86400e6), 'nan'::double), 0)::decimal(38, 10), 4)::double as slope, round(arg_max(value, (ts, evidence_id)) - arg_min(value, (ts, evidence_id)), 4) as delta, count(*) as n from (select *, epoch_us(ts) - epoch_us(min(ts) over (partition by patient_id, analyte)) as age from o where value is not null) group by 1, 2""")
 _add("a8_robust_z", series.robust_z, """@m as (select patient_id, analyte, median(value) as mid, arg_max(value, (ts, evidence_id)) as last, stddev_pop(value) as std, avg(value) as mean from o where value is not null group by 1, 2),
   a as (select patient_id, analyte, median(abs(value - mid)) as mad from o join m using (patient_id, analyte) where value is not null group by 1, 2)
   select patient_id, analyte, round(case when mad > 1e-9 then (last - mid) / (1.4826 * mad) when std > 1e-9 then (last - mean) / std else 0 end, 4) as robust_z from m join a using (patient_id, analyte)""")
