@@ -34,7 +34,8 @@ def _people(t):
 
 _last = lambda n: next((f"arg_max(value / {d}, (ts, evidence_id)) filter (where analyte = '{e}' and value is not null)" for e, (lab, d) in _LABS.items() if lab == n), "null::double")
 _own = {lab: (e, d) for e, (lab, d) in _LABS.items()}
-_fit = lambda n: "round(coalesce(regr_slope(value / {1}, datediff('day', date '1970-01-01', ts::date)) filter (where analyte = '{0}'), 0), 8)".format(*_own[n])
+_half = lambda c, n: f"round(({c})::decimal(38, 10), {n})::double"
+_fit = lambda n: _half("coalesce(nullif(regr_slope(value / {1}, datediff('day', date '1970-01-01', ts::date) - 20000.0::double) filter (where analyte = '{0}'), 'nan'::double), 0)", 8).format(*_own[n])
 _clamp = lambda c: f"least(1.0, greatest(0.0, {c}))"
 _RISKS = ", ".join(
     f"case when {n} is not null then {_clamp(c)} end"
@@ -47,6 +48,6 @@ _add("m1_feature_table", lambda t: features.feature_table(_metrics(t), _people(t
       greatest(0.0, hba1c_slope) + greatest(0.0, creatinine_slope) + greatest(0.0, alt_slope) + greatest(0.0, -hemoglobin_slope) as up
     from w left join customer on c_custkey = patient_id)
   select patient_id, age, sex_female, {", ".join((*features.CORE, "total_cholesterol"))}, {", ".join(f"{n}_slope" for n in features.SLOPES)},
-    case when alt > 0 then round(ast / alt, 6) end as ast_alt_ratio, null::double as tc_hdl_ratio, null::double as non_hdl, present::double as n_recent_labs, round(1 - present / 11.0::double, 6) as missing_fraction,
-    case when len(risks) = 0 then 0.35 else round(list_sum(risks) / len(risks), 6) end::double as risk_mean_proxy, case when len(risks) = 0 then 0.35 else round(list_max(risks), 6) end::double as risk_max_proxy,
-    round(least(1.0, up * 50), 6)::double as forecast_worsening_proxy, round(least(20.0, up * 200), 6)::double as trend_penalty from k""")
+    case when alt > 0 then {_half('ast / alt', 6)} end as ast_alt_ratio, null::double as tc_hdl_ratio, null::double as non_hdl, present::double as n_recent_labs, {_half('1 - present / 11.0::double', 6)} as missing_fraction,
+    case when len(risks) = 0 then 0.35 else {_half('list_sum(risks) / len(risks)', 6)} end::double as risk_mean_proxy, case when len(risks) = 0 then 0.35 else {_half('list_max(risks)', 6)} end::double as risk_max_proxy,
+    {_half('least(1.0, up * 50)', 6)} as forecast_worsening_proxy, {_half('least(20.0, up * 200)', 6)} as trend_penalty from k""")
