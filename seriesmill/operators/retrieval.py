@@ -145,11 +145,20 @@ def concept_score(code: Column, concept: Column, name: Column, alias: Column, as
     return F.when(asked.isNull(), 0.5).when((code == asked) | (concept == asked), 1.0).when(name == asked, 0.95).when(alias == asked, 0.9).otherwise(0.0)
 
 
-def contains_join(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """Names that occur in a question: candidates share the name's first token, containment decides."""
-    q = queries.select("query_id", F.lower("text").alias("low"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("tok"))
+def contains_join(queries: DataFrame, names: DataFrame, most_names: int = 100_000) -> DataFrame:
+    """Names that occur in a question: candidates share the name's first token, containment decides. Names are counted and
+    broadcast while they are few; beyond that tokens alone are shuffled, and a text meets its candidates by id. Texts
+    spread out by token are never broadcast nor shuffled."""
     n = names.select("name", F.lower("name").alias("low_name"), F.regexp_extract(F.lower("name"), "[a-z0-9]+", 0).alias("tok"))
-    return q.join(n, "tok").filter(F.contains("low", "low_name")).select("query_id", "name").distinct()
+    texts = queries.select("query_id", F.lower("text").alias("low"))
+    tokens = F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)))
+    if names.limit(most_names + 1).count() <= most_names:
+        met = texts.select("query_id", "low", F.explode(tokens).alias("tok")).join(F.broadcast(n), "tok")
+    else:
+        told = texts.select("query_id", F.explode(tokens).alias("tok")).join(n.hint("shuffle_hash"), "tok").distinct()
+        # ids may repeat: each text must hold the token itself
+        met = told.withColumnRenamed("query_id", "q_").join(texts.hint("merge"), F.col("q_").eqNullSafe(F.col("query_id"))).filter(F.array_contains(tokens, F.col("tok")))
+    return met.filter(F.contains("low", "low_name")).select("query_id", "name").distinct()
 
 
 def rerank(results: DataFrame, roles: DataFrame, longitudinal: Column, weight: float = 0.25) -> DataFrame:
