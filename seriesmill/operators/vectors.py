@@ -23,6 +23,8 @@ from ..session import scratch
 SAMPLE, MOST_CELLS, PER_CELL, PROBE = 20_000, 2048, 500, 200
 #: Vectors of a part of a cell, and queries that meet it together.
 PART, TOGETHER = 4096, 8192
+#: Numbers of a product, and rows of queries with their cells, that a task holds at once.
+BLOCK, ROWS = 1 << 20, 1 << 14
 
 
 def _kept(df: DataFrame, label: str) -> DataFrame:
@@ -57,10 +59,12 @@ def _by_cells(df: DataFrame, centres: np.ndarray, most: int) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            near = np.stack(b["e"].to_numpy()) @ centres.T
-            cells = np.argsort(-near, axis=1, kind="stable")[:, :most]
-            rows = np.repeat(np.arange(len(b)), cells.shape[1])
-            yield pd.DataFrame({"i": b["i"].to_numpy()[rows], "e": b["e"].to_numpy()[rows], "cell": cells.ravel().astype(np.int32), "place": np.tile(np.arange(cells.shape[1], dtype=np.int32), len(b))})
+            # a row for each cell: few rows at a time, or a batch would be held as often as it has cells
+            for at in range(0, len(b), step := max(1, ROWS // most)):
+                i, e = b["i"].to_numpy()[at : at + step], b["e"].to_numpy()[at : at + step]
+                cells = np.argsort(-(np.stack(e) @ centres.T), axis=1, kind="stable")[:, :most]
+                rows = np.repeat(np.arange(len(e)), cells.shape[1])
+                yield pd.DataFrame({"i": i[rows], "e": e[rows], "cell": cells.ravel().astype(np.int32), "place": np.tile(np.arange(cells.shape[1], dtype=np.int32), len(e))})
 
     return df.select("i", "e").mapInPandas(deal, "i long, e array<double>, cell int, place int")
 
@@ -98,10 +102,14 @@ class VectorIndex:
         def best(ask: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
             if not len(ask) or not len(own):
                 return pd.DataFrame({"q": [], "i": [], "score": [], "place": []})
-            score = np.round(np.stack(ask["e"].to_numpy()) @ np.stack(own["e"].to_numpy()).T, 6)
-            least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(ask), -np.inf)
-            a, b = np.nonzero(score >= least[:, None])
-            return pd.DataFrame({"q": ask["i"].to_numpy()[a], "i": own["i"].to_numpy()[b], "score": score[a, b], "place": ask["place"].to_numpy()[a]})
+            # some rows of the product at a time: whole it would be TOGETHER times PART numbers, several times over
+            points, i, q, place, found = np.stack(own["e"].to_numpy()), own["i"].to_numpy(), ask["i"].to_numpy(), ask["place"].to_numpy(), []
+            for at in range(0, len(ask), step := max(1, BLOCK // len(own))):
+                score = np.round(np.stack(ask["e"].iloc[at : at + step].to_numpy()) @ points.T, 6)
+                least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+                a, b = np.nonzero(score >= least[:, None])
+                found.append(pd.DataFrame({"q": q[at + a], "i": i[b], "score": score[a, b], "place": place[at + a]}))
+            return pd.concat(found)
 
         keys = ["cell", "part", "share"]
         return asked.select(*keys, "i", "e", "place").groupBy(*keys).cogroup(stored.select(*keys, "i", "e").groupBy(*keys)).applyInPandas(best, "q long, i long, score double, place int")

@@ -64,3 +64,21 @@ def test_outlier_factor_through_the_index(spark):
 def test_no_vectors(spark):
     df = frame(spark, [])
     assert vectors.build_index(df).search(df, 3).count() == 0
+
+
+def test_products_and_dealt_rows_are_held_in_blocks(spark, monkeypatch):
+    v = clouds(200, 5)
+    df = frame(spark, v)
+    monkeypatch.setattr(vectors, "BLOCK", 300)
+    monkeypatch.setattr(vectors, "ROWS", 16)
+    sizes = []
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, schema: sizes.extend(len(x) for x in f(iter([self.toPandas()]))) or self)
+    unit = df.selectExpr("vec_id as i", "embedding as e")
+    vectors._by_cells(unit, np.eye(8)[:4], 4)
+    assert sum(sizes) == 800 and max(sizes) <= 16
+    monkeypatch.undo()
+    monkeypatch.setattr(vectors, "BLOCK", 300)
+    monkeypatch.setattr(vectors, "ROWS", 16)
+    index = vectors.build_index(df, cells=6, probes=6)
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    assert answers(index.search(df, 5)) == nearest(rows, 5)
