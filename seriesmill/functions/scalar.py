@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "were", "what", "which", "with")
 
 
+def let(x: Column, of) -> Column:
+    """``of(x)`` with x evaluated once; within lambda functions Spark would evaluate it wherever it stands."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
 def tokenize(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
     """Lower-case runs of letters and digits of at least two characters that aren't stop words; repeats stay."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
@@ -51,19 +56,27 @@ SHORT_MONTHS = {**{m[:3]: i + 1 for i, m in enumerate(MONTHS)}, "sept": 9}
 def parse_date_any(s: Column) -> Column:
     """The date at the text's start: three parts between signs or blanks, as year-month-day, day-month-year (month first where only that
     can be), or with a month's name in second or first place. Two-digit years are from 1950 to 2049; 1900 to 2100."""
-    parts = F.split(F.lower(F.trim(s)), r"[-/.,\s]+")
-    digits = lambda i, most: F.regexp_extract(F.try_element_at(parts, F.lit(i)), rf"^\d{{1,{most}}}", 0).try_cast("int")
     named = F.create_map(*(F.lit(x) for pair in {**{m: i + 1 for i, m in enumerate(MONTHS)}, **SHORT_MONTHS}.items() for x in pair))
-    month = lambda i: F.element_at(named, F.try_element_at(parts, F.lit(i)))
-    a, b, c = digits(1, 4), digits(2, 2), digits(3, 4)
-    first = F.regexp_like(F.try_element_at(parts, F.lit(1)), F.lit(r"^\d{4}"))
-    swap = (b > 12) & (a <= 12)
-    day = F.when(first, digits(3, 2)).when(month(2).isNotNull(), a).when(month(1).isNotNull(), b).when(swap, b).otherwise(a)
-    number = F.when(first, F.coalesce(month(2), b)).when(month(2).isNotNull(), month(2)).when(month(1).isNotNull(), month(1)).when(swap, a).otherwise(b)
-    year = F.when(first, a).otherwise(c)
-    year = F.when(year < 50, year + 2000).when(year < 100, year + 1900).otherwise(year)
-    found = F.when(number.between(1, 12) & day.between(1, 31) & year.between(1900, 2100), F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, number, day), F.lit("yyyy-MM-dd")).cast("date"))
-    return found
+    field = lambda **of: F.named_struct(*(x for name, c in of.items() for x in (F.lit(name), c)))
+
+    def cells(parts: Column) -> Column:
+        digits = lambda i, most: F.regexp_extract(F.try_element_at(parts, F.lit(i)), rf"^\d{{1,{most}}}", 0).try_cast("int")
+        month = lambda i: F.element_at(named, F.try_element_at(parts, F.lit(i)))
+        first = F.regexp_like(F.try_element_at(parts, F.lit(1)), F.lit(r"^\d{4}"))
+        return field(a=digits(1, 4), b=digits(2, 2), c=digits(3, 4), third=digits(3, 2), m1=month(1), m2=month(2), first=first)
+
+    def named_parts(x: Column) -> Column:
+        a, b, first, swap = x["a"], x["b"], x["first"], (x["b"] > 12) & (x["a"] <= 12)
+        day = F.when(first, x["third"]).when(x["m2"].isNotNull(), a).when(x["m1"].isNotNull(), b).when(swap, b).otherwise(a)
+        number = F.when(first, F.coalesce(x["m2"], b)).when(x["m2"].isNotNull(), x["m2"]).when(x["m1"].isNotNull(), x["m1"]).when(swap, a).otherwise(b)
+        year = F.when(first, a).otherwise(x["c"])
+        return field(day=day, number=number, year=F.when(year < 50, year + 2000).when(year < 100, year + 1900).otherwise(year))
+
+    def found(x: Column) -> Column:
+        day, number, year = x["day"], x["number"], x["year"]
+        return F.when(number.between(1, 12) & day.between(1, 31) & year.between(1900, 2100), F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, number, day), F.lit("yyyy-MM-dd")).cast("date"))
+
+    return let(let(let(F.split(F.lower(F.trim(s)), r"[-/.,\s]+"), cells), named_parts), found)
 
 
 #: Which date of a document speaks for it: kind -> (rank, confidence): fixed values.

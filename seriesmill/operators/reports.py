@@ -142,7 +142,8 @@ def dates_in(lines: Column) -> Column:
             for k in ("test", "result", "report", "administrative"):
                 kind = kind.when(ends(k), k)
             kind = kind.when(office, "administrative").otherwise("unlabelled")
-            return _struct(line_no=i + 1, place=j + 1, raw=m["raw"], date=scalar.parse_date_any(m["raw"]), kind=kind, confidence=scalar.date_confidence(kind))
+            of_kind = lambda k: _struct(line_no=i + 1, place=j + 1, raw=m["raw"], date=scalar.parse_date_any(m["raw"]), kind=k, confidence=scalar.date_confidence(k))
+            return scalar.let(kind, of_kind)
 
         found = F.filter(F.transform(both, one), lambda d: d["date"].isNotNull())
         return F.when(line.rlike(_ANY_DATE), found)
@@ -163,8 +164,9 @@ def dates(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def document_date(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, date, kind, confidence, line_no: one row for each document that has such a date."""
-    best = df.select(key, best_date(dates_in(split_lines(F.col(text)))).alias("d")).filter("d is not null")
-    return best.select(key, "d.date", "d.kind", "d.confidence", "d.line_no")
+    # spread out, as a filter on it would be evaluated below as well
+    best = F.array_compact(F.array(best_date(dates_in(split_lines(F.col(text))))))
+    return df.select(key, F.inline(best)).select(key, "date", "kind", "confidence", "line_no")
 
 
 # --- named tests ---
@@ -205,27 +207,32 @@ def lab_values(df: DataFrame, key: str, text: str, tests: Sequence[tuple[str, st
     """key, panel, test, value, unit, ref_low, ref_high, date, date_kind, date_confidence: of each named test the first place in the
     text where one of its spellings (not within a word) stands before a number. The date is the line's own, else the
     document's."""
-    body = F.array_join(split_lines(F.col(text)), "\n")
     # with the character before, so that the first place of a hit's text is the hit
     spelled = lambda names: "(?i)(?:^|[^A-Za-z0-9])(?:" + "|".join(re.escape(n).replace(r"\ ", " +") for n in names) + ")" + _AFTER
-    df = df.select(key, body.alias("body_")).withColumn("low_", F.lower("body_"))
-    # a plain search of each spelling's first word leaves out most expressions
-    met = lambda names: reduce(Column.__or__, (F.contains("low_", F.lit(w)) for w in sorted({n.split()[0] for n in names})))
-    hits = F.array_compact(F.array(*(F.when(met(names), _struct(panel=F.lit(panel), test=F.lit(test), hit=F.regexp_extract("body_", spelled(names), 0))) for panel, test, names in tests)))
-
-    # the lines that a hit begins and ends in
-    def with_line(h: Column) -> Column:
-        at, opens = F.position(h["hit"], F.col("body_")), F.startswith(h["hit"], F.lit("\n"))
-        before = F.when(~opens, F.substring_index(F.substring(F.col("body_"), F.lit(1), at - 1), "\n", -1)).otherwise("")
-        behind = F.substring_index(F.substring(F.col("body_"), at + F.length(h["hit"]), F.length("body_")), "\n", 1)
-        return h.withField("line", F.concat(before, F.regexp_replace(h["hit"], "^\n", ""), behind))
-
-    hits = F.transform(F.filter(hits, lambda h: h["hit"] != ""), with_line)
-    rows = df.withColumns({"hits_": hits, "whole_": best_date(dates_in(F.split("body_", "\n")))}).select(key, "whole_", F.inline("hits_"))
-    own = best_date(dates_in(F.array("line")))
+
+    def of_text(x: Column) -> Column:
+        body = x["body"]
+        # a plain search of each spelling's first word leaves out most expressions
+        met = lambda names: reduce(Column.__or__, (F.contains(x["low"], F.lit(w)) for w in sorted({n.split()[0] for n in names})))
+        hits = F.array_compact(F.array(*(F.when(met(names), _struct(panel=F.lit(panel), test=F.lit(test), hit=F.regexp_extract(body, spelled(names), 0))) for panel, test, names in tests)))
+
+        # the lines that a hit begins and ends in
+        def with_line(h: Column, at: Column) -> Column:
+            before = F.when(~F.startswith(h["hit"], F.lit("\n")), F.substring_index(F.substring(body, F.lit(1), at - 1), "\n", -1)).otherwise("")
+            behind = F.substring_index(F.substring(body, at + F.length(h["hit"]), F.length(body)), "\n", 1)
+            return F.concat(before, F.regexp_replace(h["hit"], "^\n", ""), behind)
+
+        def dated(h: Column, whole: Column) -> Column:
+            line = scalar.let(F.position(h["hit"], body), lambda at: with_line(h, at))
+            return h.withField("d", F.coalesce(best_date(dates_in(F.array(line))), whole))
+
+        return scalar.let(best_date(dates_in(F.split(body, "\n"))), lambda whole: F.transform(F.filter(hits, lambda h: h["hit"] != ""), lambda h: dated(h, whole)))
+
+    # the text is put together once, not wherever an expression reads it
+    found = scalar.let(F.array_join(split_lines(F.col(text)), "\n"), lambda body: scalar.let(_struct(body=body, low=F.lower(body)), of_text))
+    rows = df.select(key, F.inline(found))
     last = "(?i)" + _AFTER + "$"
     part = lambda i: F.nullif(F.regexp_extract("hit", last, i), F.lit(""))
-    rows = rows.withColumn("d", F.coalesce(own, F.col("whole_")))
     return rows.select(
         key, "panel", "test", _number(part(1)).alias("value"), part(2).alias("unit"), _number(part(3)).alias("ref_low"), _number(part(4)).alias("ref_high"),
         F.col("d.date").alias("date"), F.col("d.kind").alias("date_kind"), F.col("d.confidence").alias("date_confidence"),
