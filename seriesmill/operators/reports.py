@@ -68,25 +68,35 @@ def lab_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     known = lambda roles: F.size(F.filter(roles, lambda r: r.isNotNull()))
     # the first word of a header may stand alone in a sentence: two known cells make one
     head = lambda x: (known(x["roles"]) >= 2) & ~x["line"].rlike(r"\d")
-    df = df.select(key, lines.alias("lines_"))
-    plain = F.exists("lines_", lambda x: x["line"].rlike(_NAMED + _TAIL) & _lookup(HEADERS, F.regexp_extract(x["line"], _NAMED, 1)).isNull())
-    heads = F.transform(F.filter("lines_", head), lambda x: _struct(line_no=x["line_no"], roles=x["roles"]))
-    # read before the lines are spread out, else once for each of them
-    rows = df.withColumns({"heads_": heads, "plain_": plain}).select(key, "heads_", "plain_", F.inline("lines_"))
-    above = F.try_element_at(F.filter("heads_", lambda h: h["line_no"] < F.col("line_no")), F.lit(-1))["roles"]
-    rows = rows.filter(F.col("line").rlike(r"\d")).select(key, "plain_", "line_no", "line", "cells", above.alias("above"))
-
-    named, barred, wide = F.col("line").rlike(_NAMED + _TAIL), F.contains("line", F.lit("|")), F.size("cells") >= 2
-    place = lambda role: F.array_position("above", F.lit(role)).cast("int")
-    cell = lambda role: F.when(place(role) > 0, F.try_element_at("cells", place(role)))
-    whole = F.coalesce(F.size("cells") == F.size("above"), F.lit(False)) & (place("name") > 0) & (place("value") > 0)
-    first_name = F.col("above").isNull() | (place("name") == 1)
-    by_columns = wide & (barred & ~F.col("plain_") | ~barred & F.col("above").isNotNull())
-    name = F.when(named, F.regexp_extract("line", _NAMED, 1)).when(by_columns & whole, cell("name")).when(by_columns & first_name, F.element_at("cells", 1))
-    rest = F.array_join(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), " ")
-    tail = F.when(named, F.regexp_replace("line", _NAMED, "")).when(by_columns & whole, F.concat_ws(" ", cell("value"), cell("unit"), cell("range"), cell("flag"))).when(by_columns & first_name, rest)
-    clean = F.regexp_replace(F.regexp_replace(F.trim(name), r"\s+", " "), r"^[|:-]+|[|:-]+$", "")
-    rows = rows.select(key, "line_no", "line", clean.alias("name"), tail.alias("tail")).filter(F.col("tail").rlike("(?i)^" + _TAIL) & F.col("name").rlike("[A-Za-z]"))
+
+    def read(x: Column) -> Column:
+        """name and tail of a line; null where it is shaped like no row."""
+        cells, above = x["cells"], x["above"]
+        barred, wide = F.contains(x["line"], F.lit("|")), F.size(cells) >= 2
+        place = lambda role: F.array_position(above, F.lit(role)).cast("int")
+        cell = lambda role: F.when(place(role) > 0, F.try_element_at(cells, place(role)))
+        whole = F.coalesce(F.size(cells) == F.size(above), F.lit(False)) & (place("name") > 0) & (place("value") > 0)
+        first_name = above.isNull() | (place("name") == 1)
+        by_columns = wide & (barred & ~x["plain"] | ~barred & above.isNotNull())
+        rest = F.array_join(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), " ")
+        named = _struct(name=F.regexp_extract(x["line"], _NAMED, 1), tail=F.regexp_replace(x["line"], _NAMED, ""))
+        columns = _struct(name=cell("name"), tail=F.concat_ws(" ", cell("value"), cell("unit"), cell("range"), cell("flag")))
+        first = _struct(name=F.element_at(cells, 1), tail=rest)
+        return F.when(x["line"].rlike(_NAMED + _TAIL), named).when(by_columns & whole, columns).when(by_columns & first_name, first)
+
+    def row(x: Column, r: Column) -> Column:
+        clean = F.regexp_replace(F.regexp_replace(F.trim(r["name"]), r"\s+", " "), r"^[|:-]+|[|:-]+$", "")
+        return F.when(r["tail"].rlike("(?i)^" + _TAIL), _struct(line_no=x["line_no"], line=x["line"], name=clean, tail=r["tail"]))
+
+    def of_lines(lines: Column) -> Column:
+        plain = F.exists(lines, lambda x: x["line"].rlike(_NAMED + _TAIL) & _lookup(HEADERS, F.regexp_extract(x["line"], _NAMED, 1)).isNull())
+        heads = F.transform(F.filter(lines, head), lambda x: _struct(line_no=x["line_no"], roles=x["roles"]))
+        above = lambda d, x: F.try_element_at(F.filter(d["heads"], lambda h: h["line_no"] < x["line_no"]), F.lit(-1))["roles"]
+        one = lambda d, x: scalar.let(_struct(line_no=x["line_no"], line=x["line"], cells=x["cells"], plain=d["plain"], above=above(d, x)), lambda y: scalar.let(read(y), lambda r: row(y, r)))
+        return scalar.let(_struct(plain=plain, heads=heads), lambda d: F.transform(F.filter(lines, lambda x: x["line"].rlike(r"\d")), lambda x: one(d, x)))
+
+    # each step is evaluated once, for the document or for its line; only the rows are spread out
+    rows = df.select(key, F.inline(F.array_compact(scalar.let(lines, of_lines)))).filter(F.col("name").rlike("[A-Za-z]"))
     rows = rows.filter(_lookup(HEADERS, F.col("name")).isNull() & ~F.startswith(F.lower("name"), F.lit("complete blood")))
     part = lambda i: F.nullif(F.regexp_extract("tail", "(?i)^" + _TAIL, i), F.lit(""))
     flag = F.element_at(F.create_map(*map(F.lit, ("H", "high", "HIGH", "high", "L", "low", "LOW", "low"))), F.upper(part(5)))

@@ -11,7 +11,7 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("read", [reports.lab_values, reports.dates, reports.document_date])
+@pytest.mark.parametrize("read", [reports.lab_lines, reports.lab_values, reports.dates, reports.document_date])
 def test_text_is_split_once(spark, tmp_path, read):
     spark.createDataFrame([(1, "WBC: 5.0 g/dL\nTest date: 3 May 2024")], "k int, t string").write.parquet(str(tmp_path / "t"))
     df = read(spark.read.parquet(str(tmp_path / "t")), "k", "t")
