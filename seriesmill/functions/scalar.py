@@ -204,10 +204,11 @@ def explanation(status: Column, name: Column, value: Column, templates: DataFram
 def word_error_accuracy(ref: Column, hyp: Column) -> Column:
     """1 - word error rate, at least 0. Each word becomes one character (its place among both texts' words), so that
     levenshtein counts words."""
-    a, b = F.split(ref, r"\s+"), F.split(hyp, r"\s+")
-    both = F.array_distinct(F.concat(a, b))
-    spell = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0x10000), 8, "0")), "UTF-32")), "")
-    return F.greatest(F.lit(0.0), 1.0 - F.levenshtein(spell(a), spell(b)) / F.greatest(F.size(a), F.lit(1)))
+    spell = lambda ws, both: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0x10000), 8, "0")), "UTF-32")), "")
+    accuracy = lambda a, b, both: F.greatest(F.lit(0.0), 1.0 - F.levenshtein(spell(a, both), spell(b, both)) / F.greatest(F.size(a), F.lit(1)))
+    texts = F.named_struct(F.lit("a"), F.split(ref, r"\s+"), F.lit("b"), F.split(hyp, r"\s+"))
+    # the distinct words are found once, not for each word
+    return let(texts, lambda x: let(F.array_distinct(F.concat(x["a"], x["b"])), lambda both: accuracy(x["a"], x["b"], both)))
 
 
 SQL_FUNCTIONS = {

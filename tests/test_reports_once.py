@@ -23,3 +23,10 @@ def test_date_is_cut_once(spark):
     df = spark.createDataFrame([("3 May 2024",), ("2024-02-30",), ("05/13/24",), (None,)], "s string").select(scalar.parse_date_any(F.col("s")).cast("string").alias("d"))
     assert plan(df).count("split(") == 1
     assert [r["d"] for r in df.collect()] == ["2024-05-03", None, "2024-05-13", None]
+
+
+def test_words_of_two_texts_are_cut_once(spark):
+    rows = [("a b c d", "a x c"), ("a", "b"), ("", "a b"), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(rows, "a string, b string").select(F.round(scalar.word_error_accuracy(F.col("a"), F.col("b")), 6).alias("x"))
+    assert plan(df).count("split(") == 2
+    assert [r["x"] for r in df.collect()] == [0.5, 0.0, 0.0, 0.0, 0.0]
