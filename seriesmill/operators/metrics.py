@@ -19,6 +19,25 @@ def ranking(results: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     nDCG at k against all relevant ids and against the retrieved ones."""
     n_gold = gold.groupBy("query_id").agg(F.countDistinct("id").alias("n_gold"))
     hits = results.join(gold.select("query_id", "id", F.lit(True).alias("hit")).distinct(), ["query_id", "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return _ranked(hits, n_gold, k)
+
+
+def ranking_by_label(results: DataFrame, queries: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
+    """``ranking`` where all other ids with a query's label are relevant: queries (query_id), which are ids themselves, and labels (id,
+    label). Relevant ids are counted by label, so that no table has a row for each query and relevant id. An id with several
+    labels is relevant by any of them."""
+    own = labels.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    sets = own.groupBy("labels").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.explode("labels"))
+    # sets of labels that share one, each pair of sets once
+    met = sets.select(F.col("labels").alias("asked"), "label").join(sets, "label").select("asked", "labels", "n").distinct().groupBy("asked").agg((F.sum("n") - 1).alias("n_gold"))
+    asked = queries.select("query_id").distinct().join(own.select(F.col("id").alias("query_id"), F.col("labels").alias("asked")), "query_id")
+    n_gold = asked.join(met, "asked").filter("n_gold > 0").select("query_id", "n_gold")
+    both = results.join(asked, "query_id", "left").join(own, "id", "left")
+    hit = F.coalesce(F.arrays_overlap("asked", "labels"), F.lit(False)) & (F.col("query_id") != F.col("id"))
+    return _ranked(both.select("query_id", "id", "rank", hit.alias("hit")), n_gold, k)
+
+
+def _ranked(hits: DataFrame, n_gold: DataFrame, k: int) -> DataFrame:
     gain = F.when(F.col("hit") & (F.col("rank") <= k), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
     per = hits.groupBy("query_id").agg(
         F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.count_if(F.col("hit") & (F.col("rank") <= k)).alias("found"), F.count_if(F.col("rank") <= k).alias("returned"), F.sum(gain).alias("dcg")

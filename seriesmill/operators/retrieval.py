@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,21 +47,76 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
-    """Exact cosine top-k. Queries are counted and broadcast while they are few; beyond that blocks of them are joined, so
-    memory is bounded either way, and each task keeps its best k before the last ranking."""
-    sized = lambda df: df.select("vec_id", "embedding", F.greatest(scalar.norm(F.col("embedding")), F.lit(1e-12)).alias("norm"))
-    unit = lambda df, i, e: sized(df).select(F.col("vec_id").alias(i), F.transform("embedding", lambda x: x / F.col("norm")).alias(e))
-    q, v = unit(queries, "query_id", "qe"), unit(vectors, "vec_id", "ve")
-    if queries.limit(most_queries + 1).count() <= most_queries:
-        pairs = v.join(F.broadcast(q), F.col("query_id") != F.col("vec_id"))
-    else:
-        # every block of queries meets every block of vectors once
-        blocks = 64
-        q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-        pairs = v.join(q, "qb").filter("query_id <> vec_id")
-    scored = pairs.select("query_id", "vec_id", F.round(scalar.dot(F.col("qe"), F.col("ve")), 6).alias("score"))
+#: Vectors and queries of a block of pairs, and numbers of a product that a task holds at once.
+PART, TOGETHER, PRODUCT = 8192, 8192, 1 << 19
+
+
+def _best(k: int):
+    """Of a block of queries and one of vectors (id, e, size): each query's k best by the exact score, ties by id, with all that could tie
+    once scores are rounded to six places."""
+
+    def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sums in the order of the components, so that the last bit doesn't depend on how rows are dealt."""
+        s = np.zeros(a.shape[1])
+        for x, y in zip(a, b, strict=True):
+            s = s + x * y
+        return s
+
+    def unit(e: pd.Series) -> np.ndarray:
+        """Vectors in length 1, by row."""
+        matrix = np.stack(e.to_numpy()).astype(float)
+        with np.errstate(all="ignore"):
+            return matrix / np.maximum(np.sqrt(fold(matrix.T, matrix.T)), 1e-12)[:, None]
+
+    def run(ask: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "raw": np.zeros(0), "known": np.zeros(0, bool)})]
+        for size, some in ask.groupby("size"):
+            same = (own["size"] == size) & (size >= 0)
+            q, i = some["id"].to_numpy(), own["id"].to_numpy()[same]
+            # pairs without a score come last, by id
+            rest = np.sort(own["id"].to_numpy()[~same])
+            rest = rest[: k + np.unique(rest, return_counts=True)[1].max(initial=0)]
+            out.append(pd.DataFrame({"query_id": np.repeat(q, len(rest)), "vec_id": np.tile(rest, len(q)), "raw": 0.0, "known": False}).query("query_id != vec_id"))
+            if not len(i):
+                continue
+            order = np.argsort(i, kind="stable")
+            i, matrix, asked = i[order], unit(own["e"][same].iloc[order]), unit(some["e"])
+            columns = np.ascontiguousarray(matrix.T)
+            for at in range(0, len(q), step := max(1, PRODUCT // len(i))):
+                part = asked[at : at + step]
+                with np.errstate(all="ignore"):
+                    score = np.nan_to_num(part @ matrix.T, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+                # a query's own row may be among its best, even several times
+                score[q[at : at + step, None] == i] = -np.inf
+                least = np.partition(score, -k, axis=1)[:, -k] - 2e-6 if len(i) > k else np.full(len(score), -np.inf)
+                a, b = np.nonzero((score >= least[:, None]) & (q[at : at + step, None] != i))
+                with np.errstate(all="ignore"):
+                    raw = np.concatenate([fold(part.T[:, a[f : f + PART]], columns[:, b[f : f + PART]]) for f in range(0, max(len(a), 1), PART)])
+                found = pd.DataFrame({"query_id": q[at + a], "vec_id": i[b], "raw": raw, "known": True})
+                # copies have one score: the k least ids of each are enough
+                out.append(found[found.groupby(["query_id", "raw"], dropna=False).cumcount() < k])
+        return pd.concat(out)
+
+    return run
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Exact cosine top-k. Every block of queries meets every block of vectors once, by a product in pieces of bounded size, and only each
+    block's k best go on to the last ranking."""
+
+    def sized(df: DataFrame) -> DataFrame:
+        e = F.col("embedding")
+        whole = e.isNotNull() & F.forall(e, lambda x: x.isNotNull())
+        return df.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("id"), F.when(whole, e).alias("e"), F.when(whole, F.size(e)).otherwise(-1).alias("size"))
+
+    blocks = lambda df, most: -(-df.count() // most) or 1
+    nq, nv = blocks(queries, TOGETHER), blocks(vectors, PART)
+    number = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q, v = sized(queries).withColumn("qb", number(nq)).withColumn("vb", every(nv)), sized(vectors).withColumn("vb", number(nv)).withColumn("qb", every(nq))
+    found = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(_best(k), "query_id long, vec_id long, raw double, known boolean")
+    # a score that isn't a number comes back from pandas as null
+    scored = found.select("query_id", "vec_id", F.when(F.col("known"), F.round(F.coalesce("raw", F.lit(float("nan"))), 6)).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
 
