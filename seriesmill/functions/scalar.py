@@ -91,7 +91,7 @@ def date_confidence(kind: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for k, (_, c) in DATE_RANKS.items() for x in (k, c))), kind)
 
 
-def max_scale(score: str, query: str) -> Column:
+def max_scale(score: str, query: str | list[str]) -> Column:
     top = F.max(score).over(Window.partitionBy(query))
     return F.when(top > 0, F.col(score) / top).otherwise(0.0)
 
