@@ -230,14 +230,18 @@ def gram_tfidf(texts: DataFrame, keys: Sequence[str], sizes: Sequence[int] = (3,
     each lower-cased word between two blanks; weights are (1 + ln count) times the smoothed inverse document frequency. The
     cosine of two texts is the sum of products over shared grams. Null and empty texts have no rows, but count as texts;
     only the ``most`` grams kept are broadcast."""
-    padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    of_size = lambda n: F.when(
-        F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substr(padded, i, F.lit(n)))
-    )
-    words = texts.select(*keys, F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
-    grams = words.select(*keys, F.explode(F.flatten(F.array_compact(F.array(*map(of_size, sizes))))).alias("gram"))
-    counts = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
-    kept = counts.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("all"), "gram").limit(most)
+
+    def spelled(words: DataFrame) -> DataFrame:
+        """A row for each gram of word_, which stays a column: within lambda functions it would be put together anew for each gram."""
+        sized = words.withColumn("size_", F.explode(F.array(*map(F.lit, sizes)))).filter(F.length("word_") >= F.col("size_"))
+        placed = sized.withColumn("at_", F.explode(F.sequence(F.lit(1), F.length("word_") - F.col("size_") + 1)))
+        return placed.withColumn("gram", F.substr("word_", F.col("at_"), F.col("size_"))).drop("word_", "size_", "at_")
+
+    words = texts.select(*keys, F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word_")).filter("word_ <> ''").withColumn("word_", F.concat(F.lit(" "), "word_", F.lit(" ")))
+    # the commonest are counted by word, and only they are counted by text
+    common = spelled(words.groupBy("word_").agg(F.count(F.lit(1)).alias("n"))).groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(most).select("gram")
+    counts = spelled(words.repartition(*keys)).join(F.broadcast(common), "gram", "left_semi").groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
+    kept = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     total = texts.agg(F.count(F.lit(1)).alias("texts"))
     idf = kept.crossJoin(F.broadcast(total)).select("gram", (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(F.broadcast(idf), "gram").withColumn("w", (1 + F.log("n")) * F.col("idf"))
