@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import scalar
+from ..session import scratch
 
 
 def chunks(df: DataFrame, key: str, text: str, size: int = 300, overlap: int = 50) -> DataFrame:
@@ -32,6 +37,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     """queries (query_id, text), docs (doc_id, text) -> query_id, doc_id, score: Okapi BM25 with the smoothed idf
     ln(1 + (N - df + 0.5) / (df + 0.5)). Only postings of query terms meet a query; repeated query terms count. With
     ``scope`` columns on both sides, a query meets the documents of its own scope, and all statistics are the scope's."""
+    if not scope:
+        return term_scores(queries, docs, {"score": "bm25"}, k1, b)
     at, term = list(scope), [*scope, "term"]
     sized = docs.select("doc_id", *at, F.size(scalar.tokenize(F.col("text"))).alias("n"))
     whole = sized.groupBy(*at).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_length"))
@@ -39,12 +46,47 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     found = postings(docs, "doc_id", "text", at).join(terms.select(*term).distinct(), term, "left_semi")
     # counted by tf, so that both uses of the postings have the same columns and share one shuffle
     freq = found.groupBy(*term).agg(F.count_if(F.col("tf") > 0).alias("df"))
-    met = found.join(freq, term).join(terms, term)
-    # without a scope, the corpus' totals are one row
-    met = met.join(whole, at) if at else met.crossJoin(F.broadcast(whole))
+    met = found.join(freq, term).join(terms, term).join(whole, at)
+    return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(_okapi(k1, b)), 6).alias("score"))
+
+
+def _okapi(k1: float, b: float) -> Column:
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder and read back, where several plans read it."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Terms of queries that are broadcast; with more of them, postings and terms are shuffled.
+MOST_TERMS = 500_000
+
+
+def term_scores(queries: DataFrame, docs: DataFrame, names: dict[str, str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, doc_id and a column for each of ``names`` (column -> bm25, or coverage: the share of a query's distinct terms that a
+    document holds) for each query and document with a common term. Texts are read once: postings of query terms are kept, and
+    with them, as the term '', how many documents have an id and a length. What a document's terms add up to is
+    summed where its postings are, so rows of (query, document, term) aren't shuffled."""
+    terms = kept(postings(queries, "query_id", "text").select("query_id", "term", F.col("tf").alias("qtf")), "terms")
+    few = F.broadcast if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS else lambda df: df
+    wanted = terms.select("term").union(terms.sparkSession.range(1).select(F.lit(""))).distinct()
+    words = docs.select("doc_id", scalar.tokenize(F.col("text")).alias("w"))
+    each = words.select("doc_id", F.size("w").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("w", F.array().cast("array<string>")))).alias("term"))
+    counted = each.join(few(wanted), "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    every = kept(counted, "postings")
+    # one row: the corpus' totals; a text that is null counts as a document, without a length
+    sized = F.when(F.col("length") >= 0, F.col("tf"))
+    whole = every.filter("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("length").cast("double") * sized) / F.sum(sized)).alias("avg_length"))
+    found = every.filter("term <> ''")
+    asked = terms.withColumn("asked", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    weights = asked.join(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").crossJoin(F.broadcast(whole))
+    met = found.repartition("doc_id").join(few(weights), "term")
+    made = {"bm25": F.sum(_okapi(k1, b)), "coverage": F.count(F.lit(1)) / F.max("asked")}
+    return met.groupBy("query_id", "doc_id").agg(*(F.round(made[kind], 6).alias(c) for c, kind in names.items()))
 
 
 #: Vectors and queries of a block of pairs, and numbers of a product that a task holds at once.
@@ -140,20 +182,95 @@ def preset(name: str) -> dict[str, float]:
 
 
 def fuse_columns(scored: DataFrame, weights: dict[str, float], i: str = "doc_id") -> DataFrame:
-    """Like ``fuse_weighted`` where the scores are columns of one table, null where one lacks the id."""
-    parts = [F.coalesce(scalar.max_scale(c, "query_id"), F.lit(0.0)) * w for c, w in weights.items() if w]
-    return scored.select("query_id", i, F.round(sum(parts, F.lit(0.0)), 6).alias("score"))
+    """Like ``fuse_weighted`` where the scores are columns of one table, null where one lacks the id. A query's greatest scores are an
+    aggregate, so its rows need not come together; ``scored`` is read twice."""
+    used = {c: w for c, w in weights.items() if w}
+    tops = scored.groupBy(F.col("query_id").alias("q_")).agg(*(F.max(c).alias(f"top_{n}") for n, c in enumerate(used)))
+    few = tops.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
+    both = scored.join(F.broadcast(tops) if few else tops, F.col("query_id").eqNullSafe(F.col("q_")))
+    part = lambda n, c: F.when(F.col(f"top_{n}") > 0, F.col(c) / F.col(f"top_{n}")).otherwise(0.0)
+    parts = [F.coalesce(part(n, c), F.lit(0.0)) * w for n, (c, w) in enumerate(used.items())]
+    return both.select("query_id", i, F.round(sum(parts, F.lit(0.0)), 6).alias("score"))
+
 
+#: Queries whose candidates are counted against all rows at once; with more, each query's rows are ranked, as many queries
+#: share the work.
+MOST_QUERIES = 2000
 
-def fuse_rank_columns(scored: DataFrame, columns: Sequence[str], k: int = 60, i: str = "doc_id") -> DataFrame:
+
+def fuse_rank_columns(scored: DataFrame, columns: Sequence[str], k: int = 60, i: str = "doc_id", most: int | None = None) -> DataFrame:
     """Reciprocal rank fusion where the scores are columns of one table. An id without a score has the rank after all rows of
-    its query."""
+    its query. With ``most``, only rows that can be among a query's ``most`` best are told, with the same scores; ids must
+    be unique in a query then, and ``scored`` is read several times."""
+    if most and all(dict(scored.dtypes)[c] in ("float", "double") for c in columns) and scored.select("query_id").distinct().limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        return _best_by_rank(scored.select("query_id", i, *columns), columns, k, i, most)
     w = Window.partitionBy("query_id")
     after = F.count(F.lit(1)).over(w) + 1
     rank = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(w.orderBy(F.desc_nulls_last(c), i))).otherwise(after)
     return scored.select("query_id", i, F.round(sum((1.0 / (k + rank(c)) for c in columns), F.lit(0.0)), 8).alias("score"))
 
 
+def _best_by_rank(rows: DataFrame, columns: Sequence[str], k: int, i: str, most: int) -> DataFrame:
+    """A row beyond the first m (k + most) - k of each of m columns has less than 1 / (k + most), which a column's first ``most`` have at
+    least. So only the first ones of each column can be best. Their ranks in the other columns are counts of the rows ahead of them,
+    taken where the rows are."""
+    w, deep = Window.partitionBy("query_id"), len(columns) * (k + most) - k
+    first = [rows.withColumn("at_", F.row_number().over(w.orderBy(F.desc_nulls_last(c), i))).filter(F.col("at_") <= deep).drop("at_") for c in columns]
+    own = reduce(DataFrame.union, first).distinct().collect()
+    local = rows.sparkSession.createDataFrame([(n, *r) for n, r in enumerate(own)], StructType([StructField("no_", IntegerType()), *rows.schema.fields]))
+    # by query and column the candidates with a score, from the last to the first: their scores, ids and numbers; a null id is the first of its score
+    place = lambda x: (x is not None, x)
+    asked: dict = {}
+    for n, r in enumerate(own):
+        asked.setdefault(r["query_id"], []).append((n, r[i], *(r[c] for c in columns)))
+    limits = {}
+    for q, some in asked.items():
+        for j in range(len(columns)):
+            order = sorted((x for x in some if x[j + 2] is not None), key=lambda x: place(x[1]), reverse=True)
+            order = [order[x] for x in np.argsort(np.array([x[j + 2] for x in order], float), kind="stable")]
+            limits[q, j] = np.array([x[j + 2] for x in order], float), [place(x[1]) for x in order], np.array([x[0] for x in order], int)
+
+    def behind(x: np.ndarray, ids, top: np.ndarray, own_ids: list) -> np.ndarray:
+        """Of each row, how many candidates it is ahead of; among equal scores the lesser id is ahead."""
+        low, high = np.searchsorted(top, x, "left"), np.searchsorted(top, x, "right")
+        for at in np.flatnonzero(low < high):
+            low[at] = bisect.bisect_left(own_ids, 0, low[at], high[at], key=lambda other, mine=place(ids[at].as_py()): -1 if other > mine else 0)
+        return low
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {key: np.zeros(len(top) + 1, np.int64) for key, (top, _, _) in limits.items()}
+
+        def add(table: pa.Table) -> None:
+            code = table["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+            number, names, ids = code.indices.to_numpy(), code.dictionary.to_pylist(), table[i].combine_chunks()
+            order = np.argsort(number, kind="stable")
+            ends = np.searchsorted(number[order], np.arange(len(names) + 1))
+            for j, c in enumerate(columns):
+                there = table[c].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+                x = table[c].combine_chunks().fill_null(0.0).to_numpy(zero_copy_only=False).astype(float)
+                for q, a, b in zip(names, ends[:-1], ends[1:], strict=True):
+                    at = order[a:b][there[order[a:b]]]
+                    top, own_ids, _ = limits[q, j]
+                    found[q, j] += np.bincount(behind(x[at], ids.take(pa.array(at)), top, own_ids), minlength=len(top) + 1)
+
+        held, size = [], 0
+        for batch in batches:
+            held, size = [*held, batch], size + len(batch)
+            if size >= TOGETHER * 32:
+                add(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            add(pa.Table.from_batches(held))
+        told = [(int(n), j, int(x)) for (q, j), (_, _, numbers) in limits.items() for n, x in zip(numbers, np.cumsum(found[q, j][::-1])[::-1][1:], strict=True) if x]
+        yield pa.RecordBatch.from_pydict({name: pa.array([t[at] for t in told], kind) for at, (name, kind) in enumerate((("no_", pa.int32()), ("by_", pa.int32()), ("n_", pa.int64())))})
+
+    ahead = rows.mapInArrow(count, "no_ int, by_ int, n_ long").groupBy("no_").agg(*(F.sum(F.when(F.col("by_") == j, F.col("n_"))).alias(f"n{j}_") for j in range(len(columns))))
+    sizes = rows.groupBy(F.col("query_id").alias("q_")).agg(F.count(F.lit(1)).alias("rows_"))
+    both = local.join(ahead, "no_", "left").join(sizes, F.col("query_id").eqNullSafe(F.col("q_")))
+    rank = lambda j, c: F.when(F.col(c).isNotNull(), F.coalesce(f"n{j}_", F.lit(0)) + 1).otherwise(F.col("rows_") + 1)
+    return both.select("query_id", i, F.round(sum((1.0 / (k + rank(j, c)) for j, c in enumerate(columns)), F.lit(0.0)), 8).alias("score"))
+
+
 def fuse_weighted(tables: Sequence[tuple[DataFrame, float]], i: str = "doc_id") -> DataFrame:
     """Sum of max-scaled scores by weight; parts without weight are left out of the plan."""
     parts = [t.select("query_id", i, (scalar.max_scale("score", "query_id") * w).alias("part")) for t, w in tables if w]

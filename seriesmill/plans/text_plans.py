@@ -105,13 +105,13 @@ _add("x15_knn", lambda t: ret.knn(t("embeddings").filter("vec_id % 100 = 0"), t(
 
 def _both(t):
     """Two scores of each match: BM25 and the document's length."""
-    return _bm25(t).join(t("documents").select("doc_id", F.col("n_chars").cast("double").alias("n")), "doc_id")
+    return ret.kept(_bm25(t).join(t("documents").select("doc_id", F.col("n_chars").cast("double").alias("n")).hint("shuffle_hash"), "doc_id"), "both")
 
 
 _TWO = f"{_P}, l as (select query_id, doc_id, n_chars::double as score from b join documents using (doc_id))"
 _add("x17_fuse_weighted", lambda t: _top(ret.fuse_columns(_both(t), {"score": 0.7, "n": 0.3}), 3).select("query_id", "doc_id", "rank"), f"""with {_TWO}, u as (select query_id, doc_id, 0.7 * score / max(score) over (partition by query_id) as p from b union all select query_id, doc_id, 0.3 * score / max(score) over (partition by query_id) from l),
   f2 as (select query_id, doc_id, round(sum(p), 6) as score from u group by 1, 2) select query_id, doc_id, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from f2) where rank <= 3""")
-_add("x18_fuse_rrf", lambda t: _top(ret.fuse_rank_columns(_both(t), ["score", "n"]), 3).select("query_id", "doc_id", "rank"), f"""with {_TWO}, a1 as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from b), a2 as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from l),
+_add("x18_fuse_rrf", lambda t: _top(ret.fuse_rank_columns(_both(t), ["score", "n"], most=3), 3).select("query_id", "doc_id", "rank"), f"""with {_TWO}, a1 as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from b), a2 as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from l),
   f2 as (select a1.query_id, a1.doc_id, round(1.0 / (60 + a1.r) + 1.0 / (60 + a2.r), 8) as score from a1 join a2 on a1.query_id = a2.query_id and a1.doc_id = a2.doc_id) select query_id, doc_id, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from f2) where rank <= 3""")
 _RULES = [(1, "contact", r"@|\+[0-9]"), (2, "shout", r"[A-Z]{6,}"), (3, "table", r" \| ")]
 _add("x7_match_rules", lambda t: ret.match_rules(t("documents"), "doc_id", "text", _RULES).groupBy("category").count(), r"select case when regexp_matches(text, '@|\+[0-9]') then 'contact' when regexp_matches(text, '[A-Z]{6,}') then 'shout' when regexp_matches(text, ' \| ') then 'table' end as category, count(*) as count from documents group by 1")
