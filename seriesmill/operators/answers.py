@@ -18,22 +18,29 @@ Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 
 def term_coverage(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Share of a query's distinct terms that a document holds; pairs without a common term are left out."""
-    terms = retrieval.postings(queries, "query_id", "text").select("query_id", "term")
-    asked = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    held = retrieval.postings(docs, "doc_id", "text").select("doc_id", "term").join(terms, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
-    return held.join(asked, "query_id").select("query_id", "doc_id", F.round(F.col("hits") / F.col("n"), 6).alias("score"))
+    return retrieval.term_scores(queries, docs, {"score": "coverage"})
+
+
+#: Scorers that count common terms; those at hand read the texts together.
+TERM_SCORERS: dict[Scorer, str] = {retrieval.bm25: "bm25", term_coverage: "coverage"}
 
 
 def retrieve(
     queries: DataFrame, items: DataFrame, scorers: dict[str, Scorer], weights: dict[str, float], k: int, eligible: DataFrame | None = None, by_rank: bool = False, i: str = "doc_id"
 ) -> DataFrame:
     """query_id, item id, score, rank: the k best of each query. Only scorers with weight run; their scores become columns of
-    one table, fused by weight or by rank. ``eligible`` (item ids) gates what is fused, so scales don't depend on it."""
-    told = [scorers[name](queries, items).select("query_id", i, F.lit(name).alias("by"), "score") for name, w in weights.items() if w]
+    one table, which is kept, fused by weight or by rank. ``eligible`` (item ids) gates what is fused, so scales don't depend on it."""
     used = [name for name, w in weights.items() if w]
-    columns = [F.max(F.when(F.col("by") == name, F.col("score"))).alias(name) for name in used]
-    scored = reduce(DataFrame.unionByName, told).groupBy("query_id", i).agg(*columns)
-    fused = retrieval.fuse_rank_columns(scored, used, i=i) if by_rank else retrieval.fuse_columns(scored, weights, i)
+    terms = {name: TERM_SCORERS[scorers[name]] for name in used if scorers[name] in TERM_SCORERS and i == "doc_id"}
+    scored = retrieval.term_scores(queries, items, terms) if terms else None
+    if len(terms) < len(used):
+        told = [scored.select("query_id", i, F.lit(name).alias("by"), F.col(name).alias("score")) for name in terms]
+        told += [scorers[name](queries, items).select("query_id", i, F.lit(name).alias("by"), "score") for name in used if name not in terms]
+        columns = [F.max(F.when(F.col("by") == name, F.col("score"))).alias(name) for name in used]
+        scored = reduce(DataFrame.unionByName, told).groupBy("query_id", i).agg(*columns)
+    scored = retrieval.kept(scored, "scored")
+    # where rows are gated after they are ranked, those behind the best may be needed
+    fused = retrieval.fuse_rank_columns(scored, used, i=i, most=None if eligible is not None else k) if by_rank else retrieval.fuse_columns(scored, weights, i)
     if eligible is not None:
         fused = fused.join(eligible.select(i), i, "left_semi")
     return topk_positive(fused, "query_id", k, "score", i)
