@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -153,13 +154,16 @@ def _half_up(x: float, digits: int) -> float:
     return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
 
-def monitor_stream(stream: DataFrame, t: str = "ts", keys: Sequence[str] = series.KEYS, v: str = "value", i: str = "evidence_id", late: str = "1 hour", z_limit: float = 2.0, step_limit: float = 0.25, k: float = 0.5, h: float = 4.0) -> DataFrame:
+def monitor_stream(stream: DataFrame, t: str = "ts", keys: Sequence[str] = series.KEYS, v: str = "value", i: str = "evidence_id", late: str = "1 hour", z_limit: float = 2.0, step_limit: float = 0.25, k: float = 0.5, h: float = 4.0, groups: int = 1024) -> DataFrame:
     """``series.monitor`` of the newest reading, each time readings of a series arrive: keys, at_us, and monitor's columns; the row
     with the most readings (n) is the last word. Readings may come late, up to the watermark: the ones newer than that wait
     in the state with their own time and are taken in order, so a late one changes what is said and it is said anew.
     Older ones are final and kept as sums and, for the CUSUM against a mean that moves on, as the two convex hulls of the
     series' running sums: a few points each, whatever the series' length. A timer folds the waiting ones once they are
-    final. Nothing but readings with a value counts."""
+    final. Nothing but readings with a value counts.
+
+    Series are dealt over ``groups`` groups, each with one state, since a group costs Spark several milliseconds a time however small it
+    is; a state is read and written whole, so more series need more groups."""
     names = list(keys)
     waiting = np.dtype([("us", np.int64), ("id", np.int64), ("v", np.float64)])
 
@@ -199,31 +203,55 @@ def monitor_stream(stream: DataFrame, t: str = "ts", keys: Sequence[str] = serie
         told = "+".join(name for name, on in (("causal_z", by_z), ("pct_delta", by_step), ("cusum", by_sum)) if on)
         return count, by_z or by_sum, _half_up(1 - 2 * strength, 4), "statistical_monitor", _half_up(z, 4), _half_up(step, 4), by_sum, told
 
+    def arrived(none: int, batches: Iterator[pd.DataFrame]) -> dict[tuple, np.ndarray]:
+        """The new readings of each series, in order. A key that is null is so in the whole group."""
+        b = pd.concat(list(batches), ignore_index=True)
+        us, i, there = b["us_"].to_numpy(), b["id_"].astype(np.int64).to_numpy(), [x for at, x in enumerate(names) if not none >> at & 1]
+        order = np.lexsort((i, us))
+        rows = np.empty(len(b), waiting)
+        rows["us"], rows["id"], rows["v"] = us[order], i[order], b["v_"].to_numpy()[order]
+        number = b.groupby(there, sort=False, dropna=False).ngroup().to_numpy()[order] if there else np.zeros(len(b), int)
+        own = np.argsort(number, kind="stable")
+        opens = np.flatnonzero(np.diff(number[own], prepend=-1))
+        first = [b[x].iloc[order[own[opens]]].tolist() if x in there else [None] * len(opens) for x in names]
+        return dict(zip(zip(*first, strict=True), np.split(rows[own], opens[1:]), strict=True))
+
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, base, total, square, last, low, up, held = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, b"", b"", b"")
-        low, up, rows = Hull(1.0, low), Hull(-1.0, up), np.frombuffer(held, waiting)
-        if not state.hasTimedOut:
-            fresh = [np.array(list(zip(b["us_"], b["id_"], b["v_"], strict=True)), waiting) for b in batches]
-            rows = np.sort(np.concatenate([rows, *fresh]), order=["us", "id"])
-            found = judge(n, base, total, square, low, up, last, rows)
-            yield pd.DataFrame([(*key, int(rows["us"][-1]), *found)], columns=columns)
-        # the newest reading always waits, as it is judged against those before it
-        final = rows["us"] < state.getCurrentWatermarkMs() * 1000
-        final[-1:] = False
-        done, rows = rows[final], rows[~final]
-        n, base, total, square = settle(n, base, total, square, low, up, done)
-        last = float(done["v"][-1]) if len(done) else last
-        state.update((n, base, total, square, last, low.packed(), up.packed(), rows.tobytes()))
-        if len(rows) > 1:
-            state.setTimeoutTimestamp(max(int(rows["us"][-2]) // 1000, state.getCurrentWatermarkMs()) + 1)
+        every = pickle.loads(state.get[0]) if state.exists else {}
+        fresh = {} if state.hasTimedOut else arrived(key[1], batches)
+        mark, out, wakes = state.getCurrentWatermarkMs(), [], []
+        for one in fresh.keys() - every.keys():
+            every[one] = (0, 0.0, 0.0, 0.0, 0.0, b"", b"", b"")
+        for one, (n, base, total, square, last, low, up, held) in every.items():
+            rows = np.frombuffer(held, waiting)
+            if one in fresh:
+                rows = np.sort(np.concatenate([rows, fresh[one]]), order=["us", "id"]) if held else fresh[one]
+                out.append((*one, int(rows["us"][-1]), *judge(n, base, total, square, Hull(1.0, low), Hull(-1.0, up), last, rows)))
+            # the newest reading always waits, as it is judged against those before it
+            final = rows["us"] < mark * 1000
+            final[-1:] = False
+            if final.any():
+                done, rows = rows[final], rows[~final]
+                lower, upper = Hull(1.0, low), Hull(-1.0, up)
+                n, base, total, square = settle(n, base, total, square, lower, upper, done)
+                last, low, up = float(done["v"][-1]), lower.packed(), upper.packed()
+            every[one] = n, base, total, square, last, low, up, rows.tobytes()
+            if len(rows) > 1:
+                wakes.append(int(rows["us"][-2]) // 1000)
+        state.update((pickle.dumps(every),))
+        if wakes:
+            state.setTimeoutTimestamp(max(min(wakes), mark) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     columns = [*names, "at_us", "n", "alarm", "score", "method", "causal_z", "pct_delta", "cusum_alarm", "triggers"]
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     out = ", ".join(f"`{x}` {kinds[x]}" for x in names) + ", at_us long, n long, alarm boolean, score double, method string, causal_z double, pct_delta double, cusum_alarm boolean, triggers string"
-    held = "n long, base double, total double, square double, last double, low binary, up binary, held binary"
     rows = stream.filter(F.col(v).isNotNull()).withColumn("at_", F.col(t).cast("timestamp")).withWatermark("at_", late)
-    rows = rows.select(*names, "at_", F.unix_micros("at_").alias("us_"), F.col(i).cast("long").alias("id_"), F.col(v).cast("double").alias("v_"))
-    return rows.groupBy(*names).applyInPandasWithState(fold, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+    none = sum((F.when(F.col(x).isNull(), F.lit(1 << at)).otherwise(F.lit(0)) for at, x in enumerate(names)), F.lit(0))
+    dealt = [F.pmod(F.xxhash64(*names), F.lit(groups)).cast("int").alias("group_"), none.cast("int").alias("none_")]
+    rows = rows.select(*dealt, *names, "at_", F.unix_micros("at_").alias("us_"), F.col(i).cast("long").alias("id_"), F.col(v).cast("double").alias("v_"))
+    return rows.groupBy("group_", "none_").applyInPandasWithState(fold, out, "series binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def last_word(rows: DataFrame, keys: Sequence[str] = series.KEYS) -> DataFrame:
