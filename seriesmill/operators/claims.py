@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .retrieval import kept
 
 
 def _row() -> Column:
@@ -149,7 +150,8 @@ def verify_claims(told: DataFrame, selected: DataFrame, facts: DataFrame, within
     left aside; each date must be that of a cited row, year first or day first. Where a claim's list of numbers or dates
     is null, they are read from its sentence, without the dates and what stands in brackets. Reasons are sorted; a claim with none is
     grounded."""
-    told = told.withColumn("claim_", F.monotonically_increasing_id()) if "claim_" not in told.columns else told
+    # read three times below, so sheets and sentences are made once
+    told = kept(told, "told")
     plain = F.regexp_replace("sentence", r"\[[^\]]*\]", " ")
     said = lambda name, read: F.coalesce(name, read) if name in told.columns else read
     dates = said("dates", F.regexp_extract_all(plain, F.lit(_DATE), F.lit(0)))
@@ -182,7 +184,8 @@ def verify_claims(told: DataFrame, selected: DataFrame, facts: DataFrame, within
 
 def audit(verified: DataFrame, selected: DataFrame) -> DataFrame:
     """query_id, claims, grounded, unsupported, grounding_rate, utilisation (share of the selected rows that grounded claims cite),
-    hallucination."""
+    hallucination. ``verified`` is kept, as it is read twice."""
+    verified = kept(verified.select("query_id", "grounded", "cited"), "verified")
     per = verified.groupBy("query_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if("grounded").alias("grounded"))
     cited = verified.filter("grounded").select("query_id", F.explode("cited").alias("evidence_id")).distinct()
     used = selected.select("query_id", "evidence_id").distinct().join(cited.withColumn("used", F.lit(1)), ["query_id", "evidence_id"], "left").groupBy("query_id").agg(F.count("used").alias("used"), F.count(F.lit(1)).alias("selected"))
