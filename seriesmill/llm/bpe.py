@@ -3,9 +3,10 @@
 A prefix of a piece has one BPE encoding, and its last token starts at an earlier boundary, its parent: boundaries form
 a tree. A boundary is live while some token may still start there, that is while the bytes after it begin a token. Tokens
 on the way to the deepest common ancestor of all live boundaries can't change any more and are emitted, so the lookahead
-is bounded by the longest token. What is left (the token before that ancestor, the bytes after it, the tree over them) is
-the state; states and arcs are made when first met. A token may follow another if no merge crosses their border: the
-merges that build the left one's right edge and the right one's left edge are replayed in order of rank.
+is bounded by the longest token. What is left (the live boundaries, the tokens from that ancestor to each, the token before it)
+is the state; states and arcs are numbers, made when first met. A token may follow another if no merge crosses their border: the
+merges that build the left one's right edge and the right one's left edge are replayed in order of rank. Pieces are taken in
+order of their bytes, so that those with a common beginning share its states.
 
 Defined cases: null text is empty; an empty text has no tokens; rows are independent, so repeated rows, ties and empty
 tables need no rule; columns besides doc_id and text are ignored.
@@ -18,6 +19,7 @@ import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -28,7 +30,9 @@ from .pieces import PartMemory, exact
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: States that a worker's machine keeps, and bytes of parts that it remembers.
-STATES, MEMORY = 150_000, 60 << 20
+STATES, MEMORY = 400_000, 60 << 20
+#: Bytes of a piece whose states are held for the next piece.
+SHARED = 64
 NEVER = 1 << 60
 
 
@@ -37,9 +41,29 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.begins = {t[:n] for t in ranks for n in range(1, len(t))}
+        self.spelled = {i: t for t, i in ranks.items()}
         self.edges: dict[bytes, tuple[list[bytes], list[bytes]]] = {}
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        #: By the ids of both, as one number.
+        self.fits: dict[int, bool] = {}
+        self._begin()
+
+    def _begin(self) -> None:
+        """The trie of all tokens: ``below`` has a node's child by node * 256 + byte, ``ends`` its token or -1, ``inner`` 1 if it
+        has children. Node 0 is the empty beginning."""
+        self.below: dict[int, int] = {}
+        self.ends, self.inner = [-1], bytearray(1)
+        below, ends, inner = self.below, self.ends, self.inner
+        for token, rank in self.ranks.items():
+            node = 0
+            for byte in token:
+                to = below.get(node << 8 | byte)
+                if to is None:
+                    inner[node] = 1
+                    to = below[node << 8 | byte] = len(ends)
+                    ends.append(-1)
+                    inner.append(0)
+                node = to
+            ends[node] = rank
 
     def merge(self, piece: bytes, below: int = NEVER) -> list[bytes]:
         """Plain merging by rank, lowest and leftmost first: for single tokens only."""
@@ -59,10 +83,11 @@ class Merges:
             self.edges[token] = ([*left, token], [*right, token])
         return self.edges[token]
 
-    def may_follow(self, one: bytes, two: bytes) -> bool:
-        known = self.fits.get((one, two))
+    def may_follow(self, one: int, two: int) -> bool:
+        key = one << 32 | two
+        known = self.fits.get(key)
         if known is None:
-            known = self.fits[one, two] = self._stays(one, two)
+            known = self.fits[key] = self._stays(self.spelled[one], self.spelled[two])
         return known
 
     def _stays(self, one: bytes, two: bytes) -> bool:
@@ -82,88 +107,110 @@ class Merges:
                 j += 1
 
 
-class State:
-    """``before``: the token left of the root boundary, as far as it still matters; ``bytes``: those after the root;
-    ``parents``: of each boundary, the root being 0; ``live``: boundaries where a token may still start."""
-
-    __slots__ = ("arcs", "before", "bytes", "final", "live", "parents")
-
-    def __init__(self, before: bytes | None, pending: bytes, parents: tuple[int, ...], live: Iterable[int]):
-        self.before, self.bytes, self.parents, self.live = before, pending, parents, live
-        self.arcs: dict[int, tuple[State, tuple[int, ...]]] = {}
-        self.final: tuple[int, ...] | None = None
-
-
 class Transducer:
-    """encode(piece) for one piece; at most ``most`` states are kept, then the machine starts afresh, in the middle of a piece
-    too: the state at hand goes on."""
+    """Pieces to ids. A state is a tuple of its live boundaries from left to right, two entries for each: the trie node of the bytes
+    after it, and its path: the token left of the root boundary (-1: none, or it doesn't matter any more), then the tokens from
+    the root to it. The last one is the end of what was read. At most ``most`` states are kept, then the machine starts
+    afresh, in the middle of a piece too: the state at hand goes on."""
+
+    START = (0, (-1,))
 
     def __init__(self, merges: Merges, most: int = STATES):
-        self.merges, self.most = merges, most
+        self.merges, self.most, self.resets = merges, most, -1
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        #: By state * 256 + byte: the next state, or the complement of a place in ``emits``, which has it behind the ids emitted.
+        self.arcs: dict[int, int] = {}
+        self.emits: list[tuple[tuple[int, ...], int]] = []
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple[bytes | None, bytes], State] = {}
-        self.start = State(None, b"", (0,), (0,))
-        self.merges.fits.clear()
-
-    def _path(self, data: bytes, parents, at: int) -> tuple[int, ...]:
-        """Ids from the root boundary to ``at``."""
-        out = []
-        while at:
-            out.append(self.merges.ranks[data[parents[at] : at]])
-            at = parents[at]
-        return tuple(reversed(out))
-
-    def _extend(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        ranks, begins, parents = self.merges.ranks, self.merges.begins, state.parents
-        data = state.bytes + bytes((byte,))
-        here, live = -1, []
-        for j in state.live:
-            token = data[j:]
-            if here < 0 and token in ranks:
-                before = data[parents[j] : j] if j else state.before
-                if before is None or self.merges.may_follow(before, token):
-                    here = j
-            if token in begins:
-                live.append(j)
-        parents, n = (*parents, here), len(data)
-        live.append(n)
-        root = live[0]
-        for other in live[1:] if root else ():
-            while root != other:  # parents lie to the left, so the right one climbs
-                if root > other:
-                    root = parents[root]
-                else:
-                    other = parents[other]
-        ids: tuple[int, ...] = ()
-        before = b"" if live[0] != root else state.before
-        if root:
-            ids = self._path(data, parents, root)
-            if live[0] == root:
-                before = data[parents[root] : root]
-            data, live = data[root:], [p - root for p in live]
-            parents = (0, *[p - root for p in parents[root + 1 :]])
-        to = self.states.get((before, data))
+        for held in (self.numbers, self.states, self.arcs, self.emits, self.merges.fits):
+            held.clear()
+        self.resets += 1
+        self._number(self.START)
+
+    def _number(self, state: tuple) -> int:
+        to = self.numbers.get(state)
         if to is None:
-            if len(self.states) >= self.most:
+            if len(self.states) >= max(self.most, 2):
                 self.reset()
-            to = self.states[before, data] = State(before, data, parents, live)
-        arc = state.arcs[byte] = (to, ids)
-        return arc
-
-    def encode(self, piece: bytes) -> list[int]:
-        whole = self.merges.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        state, out = self.start, []
-        for byte in piece:
-            state, ids = state.arcs.get(byte) or self._extend(state, byte)
-            if ids:
-                out += ids
-        if state.final is None:
-            state.final = self._path(state.bytes, state.parents, len(state.bytes))
-        return [*out, *state.final]
+                return self._number(state)
+            to = self.numbers[state] = len(self.states)
+            self.states.append(state)
+        return to
+
+    def _extend(self, at: int, byte: int) -> int:
+        merges, state, resets = self.merges, self.states[at], self.resets
+        below, ends, inner = merges.below, merges.ends, merges.inner
+        here, nodes, paths = None, [], []
+        for k in range(0, len(state), 2):
+            node = below.get(state[k] << 8 | byte)
+            if node is None:
+                continue
+            path = state[k + 1]
+            if here is None and (token := ends[node]) >= 0 and (path[-1] < 0 or merges.may_follow(path[-1], token)):
+                here = (*path, token)
+            if inner[node]:
+                nodes.append(node)
+                paths.append(path)
+        nodes.append(0)
+        paths.append(here)
+        first, least, same = paths[0], min(map(len, paths)), 1
+        while same < least and all(p[same] == first[same] for p in paths):
+            same += 1
+        if least > same:  # no token starts at the root any more
+            if same > 1 or first[0] >= 0:
+                paths = [(-1, *p[same:]) for p in paths]
+        elif same > 1:
+            paths = [p[same - 1 :] for p in paths]
+        to = self._number(tuple([x for pair in zip(nodes, paths, strict=True) for x in pair]))
+        if same > 1:
+            self.emits.append((first[1:same], to))
+            to = -len(self.emits)
+        if resets == self.resets:
+            self.arcs[at << 8 | byte] = to
+        return to
+
+    def encode_many(self, pieces: list[bytes]) -> list[list[int]]:
+        """In order of their bytes: a piece goes on from the state that it and the piece before have in common, sought among
+        the first ``SHARED`` bytes."""
+        ranks, arcs, emits, found = self.merges.ranks, self.arcs, self.emits, [[]] * len(pieces)
+        last, ids, passed, sizes, resets = b"", [], [0], [0], self.resets  # states passed, and how many ids there were
+        for k in sorted(range(len(pieces)), key=pieces.__getitem__):
+            piece = pieces[k]
+            whole = ranks.get(piece)
+            if whole is not None:
+                found[k] = [whole]
+                continue
+            if resets != self.resets:
+                last, ids, passed, sizes, resets = b"", [], [0], [0], self.resets
+            head = piece[:SHARED]
+            at, most = 0, min(len(head), len(last))
+            while at < most and head[at] == last[at]:
+                at += 1
+            del passed[at + 1 :], sizes[at + 1 :], ids[sizes[at] :]
+            state, last = passed[at], head
+            for byte in head[at:]:
+                to = arcs.get(state << 8 | byte)
+                if to is None:
+                    to = self._extend(state, byte)
+                if to < 0:
+                    more, to = emits[~to]
+                    ids += more
+                state = to
+                passed.append(state)
+                sizes.append(len(ids))
+            for byte in piece[SHARED:]:
+                to = arcs.get(state << 8 | byte)
+                if to is None:
+                    to = self._extend(state, byte)
+                if to < 0:
+                    more, to = emits[~to]
+                    ids += more
+                state = to
+            found[k] = [*ids, *self.states[state][-1][1:]]
+        return found
 
 
 class Utf8Machine:
@@ -208,18 +255,31 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Whole texts to ids and back. ``states`` bounds the machine, ``most`` the bytes of remembered parts."""
 
+    #: Characters of parts that are cut and encoded together.
+    CUT = 1 << 20
+
     def __init__(self, ranks: dict[bytes, int], pattern: str, states: int, most: int):
-        self.transducer = Transducer(Merges(ranks), states)
+        merges = Merges(ranks)
+        self.transducer = Transducer(merges, states)
         self.cut = regex.compile(exact(pattern)).findall
         self.memory = PartMemory(self._encode, most)
-        self.spelled = {i: t for t, i in ranks.items()}
+        self.spelled = merges.spelled
 
     def _encode(self, parts: list[str], letters: bool) -> list[list[int]]:
         """Letters alone, with a space or not, need no expression to cut them."""
-        encode, cut = self.transducer.encode, self.cut
+        encode = self.transducer.encode_many
         if letters:
-            return [encode(x.encode("utf-8")) for x in parts]
-        return [[i for piece in cut(x) for i in encode(piece.encode("utf-8"))] for x in parts]
+            return encode([x.encode("utf-8") for x in parts])
+        out, group, n = [], [], 0
+        for k, x in enumerate(parts):
+            group.append(self.cut(x))
+            n += len(x)
+            if n >= self.CUT or k + 1 == len(parts):
+                distinct = list(dict.fromkeys(chain.from_iterable(group)))
+                known = dict(zip(distinct, encode([p.encode("utf-8") for p in distinct]), strict=True))
+                out += [[i for p in cuts for i in known[p]] for cuts in group]
+                group, n = [], 0
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all([text]))
