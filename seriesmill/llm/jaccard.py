@@ -10,7 +10,8 @@
    root down, in each task over the elements it was dealt. A pair of tree nodes is left out if their elements or components
    can't meet, if their sizes are too far apart, or if the summed coordinate minima of their upper corners bound the overlap
    too low. The same tests end on pairs of points.
-5. Pairs that survive are verified on the whole texts. No link between different components is missed.
+5. Pairs that survive are bounded once more by finer group counts, then verified on the whole texts. No link between
+   different components is missed.
 
 Elements with more than ``CELL`` points are dealt to cells of two chunks each. Keys with many rows on one side of a join are
 split over several tasks (``skew.salted``). Frequent shingles and the bits of shared elements steer only the order and what
@@ -40,6 +41,8 @@ from .skew import picked, salted
 SHINGLE = 4
 PERCENT = 85
 GROUPS = 128
+#: Groups of the counts that bound a pair before its texts are shuffled.
+FINE = 1024
 FULL = 255
 #: Most points in one chunk of an element's cell; children of a tree node; most pairs of vectors compared at once.
 CELL, FAN, PAIRS = 4096, 16, 20_000
@@ -107,6 +110,11 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def group_counts(s: np.ndarray, groups: int) -> bytes:
+    """How many of the hashes fall into each group, at most FULL, a byte each."""
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % groups, minlength=groups), FULL).astype(np.uint8).tobytes()
+
+
 def _points(frequent: np.ndarray, place: np.ndarray):
     """Rows (doc_id, mark, n, vec, prefix): group counts as bytes, prefix in the common order."""
 
@@ -124,8 +132,7 @@ def _points(frequent: np.ndarray, place: np.ndarray):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     often = frequent[at] == s
                     first = np.concatenate([s[~often], s[often][np.argsort(place[at[often]], kind="stable")]])
-                counts = np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS), FULL)
-                rows.append((mark, len(s), counts.astype(np.uint8).tobytes(), _signed(first[:p].copy())))
+                rows.append((mark, len(s), group_counts(s, GROUPS), _signed(first[:p].copy())))
                 ids.append(k)
             out = pd.DataFrame(rows, columns=["mark", "n", "vec", "prefix"])
             out.insert(0, "doc_id", batch["doc_id"].iloc[ids].array)
@@ -225,11 +232,17 @@ def _tree_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
-            v, w = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), GROUPS) for c in ("vec", "vec2"))
+            v, w = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("vec", "vec2"))
             n, n2 = batch["n"].to_numpy(), batch["n2"].to_numpy()
             yield batch.loc[may_link(n, n2, overlap_bound(n, n2, v, w)), ["a", "b"]]
 
 
+def _fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in _slices(batches):
+        found = [shingles(t) for t in batch["text"]]
+        yield pd.DataFrame({"node": batch["node"].array, "n": [len(s) for s in found], "vec": [group_counts(s, FINE) for s in found]})
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of one b together: its set is made once."""
     last, t = None, np.zeros(0, np.uint64)
@@ -243,17 +256,37 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[good, ["a", "b"]]
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole texts link. Only texts of nodes in pairs are shuffled."""
-    pairs = settle(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _rows_of(side: str, pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, text) of the nodes on one side of pairs, as often as a row stands for its node, and the settled table that they are
+    picked by."""
+    nodes = pairs.select(F.col(side).alias("node")).distinct()
     of = settle(classes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("rep"), F.col("mark").alias("rep_mark")), "nodes")
+    return picked(docs, of, (F.col("doc_id") == F.col("rep")) & (F.col("mark") == F.col("rep_mark"))).select("node", "text"), of
+
+
+def _bounded_finely(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs, settled, that fine counts leave over: of long texts, the coarse ones leave many that don't link."""
+    pairs = settle(pairs, "wide-pairs")
+    (left, of_left), (right, of_right) = (_rows_of(side, pairs, docs, classes) for side in "ab")
+    left, right = (rows.mapInPandas(_fine, "node long, n long, vec binary").dropDuplicates(["node"]) for rows in (left, right))
+    one = pairs.join(left.select(F.col("node").alias("a"), "n", "vec"), "a")
+    both = salted(one, right.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("vec").alias("vec2")), "b", "a", of=pairs)
+    out = settle(both.mapInPandas(_bounded, "a long, b long"), "pairs")
+    forget(pairs, of_left, of_right)
+    return out
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole texts link. Only texts of nodes in pairs that finer counts leave over are shuffled, each
+    for the sides that it stands on."""
+    pairs = _bounded_finely(pairs, docs, classes)
+    (left, of_left), (right, of_right) = (_rows_of(side, pairs, docs, classes) for side in "ab")
     # a row that stands for a node, wherever it lies; rows that repeat it are left out
-    own = picked(docs, of, (F.col("doc_id") == F.col("rep")) & (F.col("mark") == F.col("rep_mark"))).select("node", "text").dropDuplicates(["node"])
-    one = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = salted(one, own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b", "a", of=pairs)
+    left, right = (rows.dropDuplicates(["node"]) for rows in (left, right))
+    one = pairs.join(left.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = salted(one, right.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b", "a", of=pairs)
     links = settle(both.mapInPandas(_verify, "a long, b long"), "links")
-    forget(pairs, of)
+    forget(pairs, of_left, of_right)
     return links
 
 
@@ -319,7 +352,7 @@ def node_links(docs: DataFrame, frequent: DataFrame, classes: DataFrame) -> Data
     sent = settle(sent, "sent")
     # of an element's points in order of size, only those stay that have a neighbour near enough in size; the least node of each
     # run of such neighbours leads it. Elements that are dealt to several tasks keep all points and one leader
-    met = salted(sent, shared, "token", "node", keep=True)
+    met = salted(sent, shared, "token", "node", keep=True, counts=shared.select("token", F.col("size").alias("rows_")))
     by_size = Window.partitionBy("token", "salt_").orderBy("n")
     met = met.withColumn("run", F.sum(F.when(PERCENT * F.col("n") <= 100 * F.lag("n").over(by_size), 0).otherwise(1)).over(by_size))
     run, hot = Window.partitionBy("token", "salt_", "run"), F.col("copies_") > 1
@@ -340,9 +373,10 @@ def node_links(docs: DataFrame, frequent: DataFrame, classes: DataFrame) -> Data
     # across those components, all pairs that the tree can't rule out
     told = rows.join(parts.select(F.col("id").alias("node"), "component"), "node", "left").select("token", "node", "n", "prev", "size", F.coalesce("component", "node").alias("comp"))
     told = settle(told, "told")
-    mixed = told.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("token")
+    mixed = told.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("rows_"))
+    mixed = settle(mixed.filter("c1 <> c2").select("token", "rows_"), "mixed")
     cells = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
-    dealt = salted(told, mixed, "token", "node").withColumn("own", F.pmod(F.xxhash64("node"), cells).cast("int"))
+    dealt = salted(told, mixed.select("token"), "token", "node", counts=mixed).withColumn("own", F.pmod(F.xxhash64("node"), cells).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     # odd cells hold two chunks
@@ -351,7 +385,7 @@ def node_links(docs: DataFrame, frequent: DataFrame, classes: DataFrame) -> Data
     dealt = dealt.repartition("token", "cell").sortWithinPartitions("token", "cell")
     more = verified(dealt.mapInPandas(_tree_pairs, "a long, b long").distinct(), docs, classes)
     out = settle(links.union(more), "all-links")
-    forget(points, shared, rows, near, told, links, more, parts)
+    forget(points, shared, rows, near, told, mixed, links, more, parts)
     return out
 
 

@@ -22,15 +22,17 @@ def fits(t: DataFrame) -> bool:
     return (t.agg(F.sum(sum(sized[1:], sized[0]))).first()[0] or 0) <= BROADCAST
 
 
-def salted(left: DataFrame, right: DataFrame, key: str | tuple[str, ...], *by: str, of: DataFrame | None = None, hot: int = HOT, keep: bool = False) -> DataFrame:
+def salted(left: DataFrame, right: DataFrame, key: str | tuple[str, ...], *by: str, of: DataFrame | None = None, hot: int = HOT, keep: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """The inner join of ``left`` with ``right``, whose keys are distinct. Rows of a key that ``left`` has more than ``hot``
     times are dealt by ``by`` to as many tasks as needed, each with a copy of the right row. ``of``: a settled table with the
     keys of ``left`` as often as there, to count them by; else ``left`` is read for that. ``keep``: leave the dealing's number
-    (salt_) in, and the number of tasks that the key's rows are dealt to (copies_)."""
+    (salt_) in, and the number of tasks that the key's rows are dealt to (copies_). ``counts``: a settled table of the keys and how
+    often ``left`` has them (rows_), where that is known; keys that ``right`` lacks may be left out."""
     keys, of = [key] if isinstance(key, str) else list(key), left if of is None else of
     hot = max(hot, -(-of.count() // HOT_KEYS))
     copies = F.ceil(F.col("rows_") / F.lit(hot)).cast("int")
-    many = settle(of.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_")).filter(F.col("rows_") > hot).select(*keys, copies.alias("copies_")), "hot-keys")
+    counted = of.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_")) if counts is None else counts
+    many = settle(counted.filter(F.col("rows_") > hot).select(*keys, copies.alias("copies_")), "hot-keys")
     if many.isEmpty():
         plain = left.join(right, keys)
         return plain.withColumns({"salt_": F.lit(0), "copies_": F.lit(1)}) if keep else plain
