@@ -230,7 +230,7 @@ def _tree_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in _slices(batches):
         if len(batch):
             v, w = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("vec", "vec2"))
             n, n2 = batch["n"].to_numpy(), batch["n2"].to_numpy()
@@ -239,8 +239,9 @@ def _bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in _slices(batches):
-        found = [shingles(t) for t in batch["text"]]
-        yield pd.DataFrame({"node": batch["node"].array, "n": [len(s) for s in found], "vec": [group_counts(s, FINE) for s in found]})
+        out = pd.DataFrame([(len(s), group_counts(s, FINE)) for s in map(shingles, batch["text"])], columns=["n", "vec"])
+        out.insert(0, "node", batch["node"].array)
+        yield out
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
