@@ -104,7 +104,9 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(k) > 1_500_000:
                 yield pd.DataFrame({"word": None, "gram": keys[0], "n": counts[0]})
                 keys, counts = [], []
-    yield told(words)
+    # a task may have no rows, and an empty column of words has no type that Arrow takes
+    if words:
+        yield told(words)
     if keys:
         yield pd.DataFrame({"word": None, "gram": keys[0], "n": counts[0]})
 
