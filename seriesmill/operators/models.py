@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from . import series
 from .retrieval import knn
 from .vectors import VectorIndex
@@ -91,6 +92,9 @@ def local_outlier_factor(vectors: DataFrame, k: int = 10, index: VectorIndex | N
     """Local outlier factor on cosine distance: the neighbour table once, through ``index`` where there is one (else of all
     pairs), then two joins of it with its own aggregates."""
     n = (index.search(vectors, k) if index else knn(vectors, vectors, k)).select("query_id", "vec_id", F.greatest(1.0 - F.col("score"), F.lit(1e-9)).alias("d"))
+    path = scratch(vectors.sparkSession, "neighbours")  # k rows a vector, read several times
+    n.write.parquet(path)
+    n = vectors.sparkSession.read.schema(n.schema).parquet(path)
     reach = n.groupBy("query_id").agg(F.max("d").alias("kd"))
     wide = n.join(reach.select(F.col("query_id").alias("vec_id"), "kd"), "vec_id").groupBy("query_id").agg((1.0 / F.avg(F.greatest("d", "kd"))).alias("density"))
     near = n.join(wide.select(F.col("query_id").alias("vec_id"), F.col("density").alias("nd")), "vec_id").groupBy("query_id").agg(F.avg("nd").alias("nd"))
